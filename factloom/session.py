@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +32,27 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that they need no PYTHONPATH."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    folder = Path(tempfile.mkdtemp(prefix="factloom-ship-"))
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(folder / "factloom.zip", "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(folder / "factloom.zip"))
+    _shipped.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches in this session; a smaller setting of the caller stays."""
+    """Ship the package and bound Arrow batches in this session; a smaller setting of the caller stays."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
         now = spark.conf.get(key, None)
         try:
