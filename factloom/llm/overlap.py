@@ -36,10 +36,12 @@ def _bits(words: Column) -> Column:
 
 def _longs(bits: Column) -> list[Column]:
     """The code as four longs."""
-    return [
-        F.aggregate(F.filter(bits, lambda b, k=k: F.floor(b / WORD) == k), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % WORD)))
-        for k in range(BITS // WORD)
-    ]
+
+    def one(k: int) -> Column:
+        own = F.filter(bits, lambda b: F.floor(b / WORD) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % WORD)))
+
+    return [one(k) for k in range(BITS // WORD)]
 
 
 def hamming(a: str, b: str) -> Column:
@@ -53,13 +55,18 @@ def _size_class(n: Column, t: float) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(-math.log(t)) + 1e-9).cast("int")
 
 
-def block_keys(names: Column, bits: Column, cls: Column, t: float) -> Column:
-    """Keys of all pairs of blocks of a code in one size class; a block's content is its set bits."""
-    most = F.floor(F.pow(F.lit(1 / t), cls + 1) * (1 - t) + 1e-6).cast("int")  # d <= (1-t) * larger set
+def block_contents(bits: Column, cls: Column, t: float) -> Column:
+    """Content of each block of a code: a hash of its set bits. A set of a words is within (1-t)/t * a words of any similar
+    one, and a is below the upper end of its class; there are two blocks more than that."""
+    most = F.floor(F.pow(F.lit(1 / t), cls + 1) * ((1 - t) / t) + 1e-6).cast("int")
     m = F.least(most + 2, F.lit(BITS))
-    content = F.transform(F.sequence(F.lit(0), m - 1), lambda s: F.xxhash64(s, F.filter(bits, lambda b: F.floor(b * m / BITS) == s)))
-    pair = lambda s: F.transform(F.sequence(s + 1, m - 1), lambda u: F.xxhash64(names, cls, s, u, F.get(content, s), F.get(content, u)))
-    return F.flatten(F.transform(F.sequence(F.lit(0), m - 2), pair))
+    return F.transform(F.sequence(F.lit(0), m - 1), lambda s: F.xxhash64(s, F.filter(bits, lambda b: F.floor(b * m / BITS) == s)))
+
+
+def block_keys(names: Column, content: Column, cls: Column) -> Column:
+    """Keys of all pairs of blocks of a code in one size class."""
+    pair = lambda x, s: F.transform(F.slice(content, s + 2, F.size(content)), lambda y: F.xxhash64(names, cls, x, y))
+    return F.flatten(F.transform(content, pair))
 
 
 def prepared(records: DataFrame, key: str, split: str, a: str, b: str, text: str) -> DataFrame:
@@ -88,7 +95,8 @@ def similar_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
     longs = [f"f_{k}" for k in range(BITS // WORD)]
 
     def keyed(part: DataFrame, p: str) -> DataFrame:
-        keyed = part.select("cls_key", "n", *longs, F.explode(F.array_distinct(block_keys(F.col("names"), F.col("bits"), F.col("cls"), t))).alias("block"))
+        part = part.select("names", "cls_key", "cls", "n", *longs, block_contents(F.col("bits"), F.col("cls"), t).alias("content"))
+        keyed = part.select("cls_key", "n", *longs, F.explode(F.array_distinct(block_keys(F.col("names"), F.col("content"), F.col("cls")))).alias("block"))
         return keyed.select("block", F.col("cls_key").alias(f"cls_{p}"), F.col("n").alias(f"n_{p}"), *[F.col(c).alias(f"{p}{c[1:]}") for c in longs])
 
     held = coded.filter("side = 1").withColumn("cls", F.explode(F.filter(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1), lambda c: c >= 0)))
