@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import hygiene
+from .queries import MODULES
 
-ORACLE = {**hygiene.ORACLE}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

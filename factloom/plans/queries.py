@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from . import hygiene
+from . import corpus, hygiene, matrix
 
-QUERIES = {**hygiene.QUERIES}
+MODULES = (matrix, corpus, hygiene)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
