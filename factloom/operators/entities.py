@@ -163,6 +163,15 @@ def best_antecedent(scored: DataFrame, mention: str, earlier: str, score: str, l
     return ok.groupBy(mention).agg(F.max_by(earlier, F.struct(score, earlier)).alias(earlier))
 
 
+def nearest_same_name(mentions: DataFrame, doc: str, mention: str, label: str) -> DataFrame:
+    """[M24] For each mention the nearest earlier one of its document with the same name, else with the same name in another case. Two windows;
+    mentions are not paired."""
+    w = Window.partitionBy(doc, label).orderBy(mention)
+    v = Window.partitionBy(doc, "_low").orderBy(mention)
+    out = mentions.withColumn("_low", F.lower(label)).withColumn("earlier", F.coalesce(F.lag(mention).over(w), F.lag(mention).over(v)))
+    return out.filter("earlier is not null").select(mention, "earlier")
+
+
 def longest_canonical(mentions: DataFrame, cluster: str, phrase: str) -> DataFrame:
     """The longest phrase of each cluster, ties by the phrase."""
     return mentions.groupBy(cluster).agg(F.max_by(phrase, F.struct(F.length(phrase), phrase)).alias("canonical"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, hygiene, matrix
+from . import corpus, hygiene, kb, matrix, measures
 
-MODULES = (matrix, corpus, hygiene)
+MODULES = (matrix, corpus, kb, measures, hygiene)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
