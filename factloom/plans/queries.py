@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, hygiene, kb, matrix, measures
+from . import corpus, fits, hygiene, kb, matrix, measures
 
-MODULES = (matrix, corpus, kb, measures, hygiene)
+MODULES = (matrix, corpus, kb, measures, fits, hygiene)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
