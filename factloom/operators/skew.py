@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settled
+from .naming import free
+
 #: Keys of at least 1 / PARTS of a task's fair load are placed one by one.
 PARTS = 4
 
@@ -42,7 +45,7 @@ def loads(df: DataFrame, key: str) -> DataFrame:
 
 def plan(df: DataFrame, key: str, tasks: int) -> Plan:
     """Split and pack the heavy keys of ``df`` over ``tasks`` bins, largest shard first into the emptiest bin."""
-    counted = loads(df, key)
+    counted = settled(loads(df, key), "loads")
     total = counted.agg(F.sum("load")).first()[0] or 0
     fair = max(1.0, total / tasks)
     heavy = counted.filter(F.col("load") >= F.lit(max(2.0, fair / PARTS))).orderBy(F.col("load").desc(), key).collect() if total else []
@@ -61,45 +64,52 @@ def plan(df: DataFrame, key: str, tasks: int) -> Plan:
     return Plan([(r[key], p) for r, p in zip(heavy, placed)], tasks, total, df.schema[key].dataType)
 
 
-def _planned(df: DataFrame, p: Plan) -> DataFrame:
-    schema = T.StructType([T.StructField("_k", p.key_type), T.StructField("_bins", T.ArrayType(T.IntegerType()))])
+def _planned(df: DataFrame, p: Plan, k: str, bins: str) -> DataFrame:
+    schema = T.StructType([T.StructField(k, p.key_type), T.StructField(bins, T.ArrayType(T.IntegerType()))])
     return F.broadcast(df.sparkSession.createDataFrame(p.rows, schema))  # at most PARTS * tasks rows
 
 
-def _spread() -> Column:
-    """Which shard a row takes: rows are dealt round within their input partition."""
-    return F.monotonically_increasing_id()
-
+def placed(df: DataFrame, key: str, p: Plan, bin_: str, shard: str) -> DataFrame:
+    """``df`` with the bin and shard of each row; a split key's rows are dealt round its shards within each input partition.
 
-def fragment(df: DataFrame, key: str, p: Plan) -> DataFrame:
-    """``df`` with ``_bin`` INT and ``_shard`` INT, each bin in a partition of its own."""
+    The deal counts rows, so the input must come in one order on every reading, as files and written tables do.
+    """
+    k, bins, deal = free([*df.columns, bin_, shard], "_k", "_bins", "_deal")
     light = F.pmod(F.xxhash64(key), F.lit(p.tasks)).cast("int")
-    m = _planned(df, p)
-    out = df.withColumn("_deal", _spread()).join(m, df[key].eqNullSafe(m["_k"]), "left")
-    out = out.withColumn("_shard", F.coalesce(F.pmod(F.col("_deal"), F.size("_bins")).cast("int"), F.lit(0))) if p.rows else out.withColumn("_shard", F.lit(0))
-    out = out.withColumn("_bin", F.coalesce(F.get("_bins", F.col("_shard")), light)).drop("_deal", "_k", "_bins")
-    return out.repartitionById(p.tasks, F.col("_bin"))
+    m = _planned(df, p, k, bins)
+    out = df.withColumn(deal, F.monotonically_increasing_id())
+    out = out.join(m, out[key].eqNullSafe(m[k]), "left")
+    out = out.withColumn(shard, F.coalesce(F.pmod(F.col(deal), F.size(bins)).cast("int"), F.lit(0)))
+    return out.withColumn(bin_, F.coalesce(F.get(bins, F.col(shard)), light)).drop(deal, k, bins)
+
 
+def fragment(df: DataFrame, key: str, p: Plan, bin_: str, shard: str) -> DataFrame:
+    """``placed`` rows, each bin in a partition of its own: for per-key work that needs the rows themselves."""
+    return placed(df, key, p, bin_, shard).repartitionById(p.tasks, F.col(bin_))
 
-def replicate(df: DataFrame, key: str, p: Plan) -> DataFrame:
-    """The matching side: a row of a split key once for each of its shards, any other row once."""
+
+def replicate(df: DataFrame, key: str, p: Plan, bin_: str, shard: str) -> DataFrame:
+    """The matching side: a row of a split key once for each of its shards, any other row once; null keys left out."""
+    k, bins = free([*df.columns, bin_, shard], "_k", "_bins")
     light = F.pmod(F.xxhash64(key), F.lit(p.tasks)).cast("int")
-    m = _planned(df, p)
-    out = df.filter(F.col(key).isNotNull()).join(m, df[key] == m["_k"], "left")
-    out = out.select(*df.columns, F.posexplode(F.coalesce(F.col("_bins"), F.array(light))).alias("_shard", "_bin"))
-    return out.repartitionById(p.tasks, F.col("_bin"))
+    m = _planned(df, p, k, bins)
+    out = df.filter(F.col(key).isNotNull()).join(m, df[key] == m[k], "left")
+    out = out.select(*df.columns, F.posexplode(F.coalesce(F.col(bins), F.array(light))).alias(shard, bin_))
+    return out.repartitionById(p.tasks, F.col(bin_))
 
 
-def balanced_aggregate(df: DataFrame, key: str, aggs: dict[str, tuple[Column, str]], tasks: int) -> DataFrame:
+def balanced_aggregate(df: DataFrame, key: str, aggs: dict[str, tuple[Column, str]], tasks: int, p: Plan | None = None) -> DataFrame:
     """Per key: ``aggs`` maps a result name to (value, kind), kind in count, sum, min, max.
 
-    Rows are aggregated per (key, shard) in their bins, then the shards of a key are combined: a second, tiny step.
+    Rows are combined per key and shard in the tasks that read them, so that only partial results are shuffled, a split key's to as many
+    places as it has shards; the shards of a key are combined in a second, tiny step.
     """
-    p = plan(df, key, tasks)
+    p = p or plan(df, key, tasks)
+    b, s = free([key, *aggs], "_bin", "_shard")
     f = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
     again = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-    part = fragment(df.select(key, *[v.alias(n) for n, (v, _) in aggs.items()]), key, p)
-    local = part.groupBy(key, "_bin", "_shard").agg(*[f[kind](n).alias(n) for n, (_, kind) in aggs.items()])
+    part = placed(df.select(key, *[v.alias(n) for n, (v, _) in aggs.items()]), key, p, b, s)
+    local = part.groupBy(key, b, s).agg(*[f[kind](n).alias(n) for n, (_, kind) in aggs.items()])
     return local.groupBy(key).agg(*[again[kind](n).alias(n) for n, (_, kind) in aggs.items()])
 
 
@@ -109,16 +119,19 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, tasks: int, how:
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     p = plan(left, key, tasks)
-    clash = set(left.columns) - {key}
-    right = right.select(F.col(key).alias("_rk"), *[F.col(c).alias(c + "_r" if c in clash else c) for c in right.columns if c != key])
-    a, b = fragment(left, key, p), replicate(right, "_rk", p)
-    a, b = a.withColumnsRenamed({"_bin": "_ba", "_shard": "_sa"}), b.withColumnsRenamed({"_bin": "_bb", "_shard": "_sb"})
-    out = a.join(b, (F.col("_ba") == F.col("_bb")) & (a[key] == F.col("_rk")) & (F.col("_sa") == F.col("_sb")), how)
-    return out.drop("_ba", "_sa", "_bb", "_sb", "_rk")
+    mine = list(left.columns)
+    names = dict(zip((c for c in right.columns if c != key), free(mine, *[c + "_r" if c in mine else c for c in right.columns if c != key])))
+    rk, ba, sa, bb, sb = free([*mine, *names.values()], "_key", "_bin_l", "_shard_l", "_bin_r", "_shard_r")
+    right = right.select(F.col(key).alias(rk), *[F.col(c).alias(n) for c, n in names.items()])
+    a, b = fragment(left, key, p, ba, sa), replicate(right, rk, p, bb, sb)
+    out = a.join(b, (a[ba] == b[bb]) & (a[key] == b[rk]) & (a[sa] == b[sb]), how)
+    return out.select(*mine, *names.values())
 
 
 def dominant_keys(df: DataFrame, key: str, share: float, tasks: int) -> DataFrame:
     """(key, n, share): keys, null left out, that hold at least ``share`` of all rows, null keys' rows counted among all."""
-    per = balanced_aggregate(df.select(key), key, {"n": (F.lit(1), "count")}, tasks)
-    total = df.count()
-    return per.filter(F.col(key).isNotNull() & (F.col("n") >= F.lit(share) * F.lit(total))).withColumn("share", F.col("n") / F.lit(max(total, 1)))
+    df = df.select(key)
+    p = plan(df, key, tasks)
+    n, part = free([key], "n", "share")
+    per = balanced_aggregate(df, key, {n: (F.lit(1), "count")}, tasks, p)
+    return per.filter(F.col(key).isNotNull() & (F.col(n) >= F.lit(share) * F.lit(p.total))).withColumn(part, F.col(n) / F.lit(max(p.total, 1)))

@@ -42,7 +42,7 @@ def p3_typed_relations(spark: SparkSession, d: str) -> DataFrame:
 
 def parsed_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Flat tables of the document deliveries received last, written once so that each table reads its own columns only."""
-    docs = latest_per_key(table(spark, d, "parsed_docs"), "filename", F.col("received_at"))
+    docs = latest_per_key(table(spark, d, "parsed_docs").select("filename", "received_at", "sentences"), "filename", F.col("received_at"))
     return nested.flatten(settled(docs, "parsed"), ["filename"], "documents")
 
 
