@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.naming import free
+
 
 def latest_scores(cells: DataFrame) -> DataFrame:
     """(relation, arg1, arg2, predicted, cell_id): per tuple of a relation the valid cell scored last, then of the largest id.
@@ -30,18 +32,20 @@ def partition_bounds(rows: DataFrame, group: str, score: str, n: int) -> DataFra
     Spark limits each partition to its N best rows of a group before the exchange (WindowGroupLimit), so that exchange
     carries at most N rows for each group and partition.
     """
-    local = rows.select(group, score, F.spark_partition_id().alias("_p"))
-    w = Window.partitionBy(group, "_p").orderBy(F.col(score).desc())
-    nth = local.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).filter(F.col("_k") == n)
+    part, place = free([group, score, "bound"], "_part", "_place")
+    local = rows.select(group, score, F.spark_partition_id().alias(part))
+    w = Window.partitionBy(group, part).orderBy(F.col(score).desc())
+    nth = local.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= n).filter(F.col(place) == n)
     return nth.groupBy(group).agg(F.max(score).alias("bound"))
 
 
-def top_n(rows: DataFrame, group: str, score: str, ties: list[Column], n: int) -> DataFrame:
-    """The N best rows of each group with ``rnk`` INT 1..N; ``ties`` orders equal scores and should be total.
+def top_n(rows: DataFrame, group: str, score: str, ties: list[Column], n: int, rank: str = "rnk") -> DataFrame:
+    """The N best rows of each group with ``rank`` INT 1..N; ``ties`` orders equal scores and should be total.
 
-    Rows equal to the bound survive, so ties across partitions are decided by the tie columns alone.
+    Rows equal to the bound survive, so ties across partitions are decided by the tie columns alone. All columns of ``rows`` stay.
     """
-    bounds = partition_bounds(rows, group, score, n).withColumnRenamed(group, "_g")
-    alive = rows.join(bounds, rows[group].eqNullSafe(bounds["_g"]), "left").filter(F.col("bound").isNull() | (F.col(score) >= F.col("bound"))).drop("_g", "bound")
+    g, bound = free([*rows.columns, rank], "_group", "_bound")
+    bounds = partition_bounds(rows, group, score, n).select(F.col(group).alias(g), F.col("bound").alias(bound))
+    alive = rows.join(bounds, rows[group].eqNullSafe(bounds[g]), "left").filter(F.col(bound).isNull() | (F.col(score) >= F.col(bound))).drop(g, bound)
     w = Window.partitionBy(group).orderBy(F.col(score).desc(), *ties)
-    return alive.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= n)
+    return alive.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
