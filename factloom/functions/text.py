@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Special tokens in the order of their ids, and short function words that context features leave out.
 SPECIALS = ["_pad", "_unk", "_go", "_eos"]
@@ -36,6 +40,49 @@ def vectorize(words: Column, ids: Column, go: bool = False, eos: bool = False) -
     return F.concat(*parts) if len(parts) > 1 else out
 
 
+#: Entries of a vocabulary that is sent to the workers, at most.
+MAX_VOCABULARY = 4_000_000
+
+
+def vectorizer(vocab: list[tuple[str, int]], go: bool = False, eos: bool = False):
+    """Like ``vectorize``, for vocabularies beyond a few dozen words: a function of a column of words. Words are looked up by hash, a
+    batch at a time; null lists stay null."""
+    if len(vocab) > MAX_VOCABULARY:
+        raise ValueError("join the words to a larger vocabulary")
+    words, ids = [w for w, _ in vocab], np.array([i for _, i in vocab], np.int32)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def look_up(lists: pa.Array) -> pa.Array:
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(words, pa.string())), -1).to_numpy(zero_copy_only=False)
+        found = np.where(at < 0, UNK, ids[at] if len(ids) else UNK)
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(n + go + eos)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        out[np.arange(len(found)) + np.repeat((go + eos) * np.arange(len(n)) + go, n)] = found
+        if go:
+            out[ends - n - go - eos] = GO
+        if eos:
+            out[ends - 1] = EOS
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out), mask=lists.is_null())
+
+    return look_up
+
+
+def decoder(words: list[str]):
+    """Words of ids, their places in a list, joined by blanks; other ids are ``_unk``. A function of a column of ids."""
+
+    @F.arrow_udf(T.StringType())
+    def spell(lists: pa.Array) -> pa.Array:
+        table = pa.array([*words, "_unk"], pa.string())
+        ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        text = table.take(pa.array(np.where((ids < 0) | (ids >= len(words)), len(words), ids)))
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        back = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), text, mask=lists.is_null())
+        return pc.binary_join(back, " ")
+
+    return spell
+
+
 def pad(ids: Column, size: int | Column) -> Column:
     """Zeros on the right up to ``size``; longer lists stay as they are."""
     n = F.lit(size) if isinstance(size, int) else size

@@ -67,12 +67,12 @@ def vocab_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def vectorized(spark: SparkSession, d: str) -> DataFrame:
     """Ids of the sentences, padded to 40, with lengths, weights and decoded again."""
-    v = F.broadcast(counts.as_map(_vocab(spark, d), "token", "id"))  # one row of 500 entries
-    w = F.broadcast(counts.as_map(_vocab(spark, d), "id", "token").withColumnRenamed("vocab", "words"))
-    df = _corpus(spark, d).filter("sentences is not null").select("rec_id", "loaded_at", text.tokens(_masked()).alias("t")).crossJoin(v).crossJoin(w)
-    df = df.select("rec_id", "loaded_at", "words", text.vectorize(F.col("t"), F.col("vocab"), eos=True).alias("ids"))
+    vocab = [(r.token, r.id) for r in _vocab(spark, d).select("token", "id").collect()]  # 500 entries, the vocabulary's bound
+    words = [w for w, _ in sorted(vocab, key=lambda p: p[1])]
+    df = _corpus(spark, d).filter("sentences is not null").select("rec_id", "loaded_at", text.tokens(_masked()).alias("t"))
+    df = df.select("rec_id", "loaded_at", text.vectorizer(vocab, eos=True)("t").alias("ids"))
     p = text.pad(F.col("ids"), 40)
-    return df.select("rec_id", "loaded_at", F.size("ids").alias("n_ids"), F.array_join(p, " ").alias("padded"), F.aggregate(text.weights(p), F.lit(0.0), lambda s, x: s + x).alias("weight"), F.array_join(text.decode(F.col("ids"), F.col("words")), " ").alias("decoded"))
+    return df.select("rec_id", "loaded_at", F.size("ids").alias("n_ids"), F.array_join(p, " ").alias("padded"), F.aggregate(text.weights(p), F.lit(0.0), lambda s, x: s + x).alias("weight"), text.decoder(words)("ids").alias("decoded"))
 
 
 def relation_vocab(spark: SparkSession, d: str) -> DataFrame:

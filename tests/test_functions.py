@@ -102,6 +102,18 @@ def test_vocabulary_and_vectors(spark, rows):
     assert (got.e, got.g, got.p, got.q, got.w) == ([4, 1, 5, 3], [2, 4, 1, 5, 3], [4, 1, 5, 3, 0, 0], [4, 1, 5, 3], [1.0, 1.0, 1.0, 1.0, 0.0, 0.0])
 
 
+def test_vectorizer(spark):
+    df = spark.createDataFrame([(["a", "c", "b", None],), ([],), (None,), (["b"] * 50_000,)], "w array<string>")
+    for go in (False, True):
+        for eos in (False, True):
+            got = [r[0] for r in df.select(text.vectorizer([("a", 4), ("b", 5)], go, eos)("w")).collect()]
+            g, e = [2] * go, [3] * eos
+            assert got == [[*g, 4, 1, 5, 1, *e], [*g, *e], None, [*g, *[5] * 50_000, *e]]
+    ids = spark.createDataFrame([([0, 1, 9, None],), ([],), (None,)], "i array<int>")
+    assert [r[0] for r in ids.select(text.decoder(["x", "y"])("i")).collect()] == ["x y _unk _unk", "", None]
+    assert df.limit(0).select(text.vectorizer([])("w")).count() == 0
+
+
 def test_prefix_field(spark):
     f = F.split(F.lit("POSITIVE\tx\ty\tREL$r1\tpath#p\tREL$r2"), "\t")
     assert _one(spark, text.first_with_prefix(f, "REL$")) == "r1"
