@@ -45,8 +45,7 @@ def ranked_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 def running_pr(spark: SparkSession, d: str) -> DataFrame:
     """[W1] Running precision and recall of each relation's list."""
-    r = R.running(_scored(spark, d), ["relation"], _order(), "hit").select("relation", "cell_id", "rnk", "tp", "precision", "recall")
-    return _rounded(r, "precision", "recall")
+    return R.running(_scored(spark, d), ["relation"], _order(), "hit").select("relation", "cell_id", "rnk", "tp", "precision", "recall")
 
 
 def pool_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +74,12 @@ def interp_11pt(spark: SparkSession, d: str) -> DataFrame:
 def precision_envelope(spark: SparkSession, d: str) -> DataFrame:
     """[W7] Highest precision from each place on."""
     run = R.running(_scored(spark, d), ["relation"], _order(), "hit")
-    return _rounded(R.precision_envelope(run, ["relation"]).select("relation", "cell_id", "envelope"), "envelope")
+    return R.precision_envelope(run, ["relation"]).select("relation", "cell_id", "envelope")
 
 
 def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
     """[W8] Precision at 50, 100, 200, 300 and 400."""
-    return _rounded(R.precision_at(_run(spark, d), ["system", "relation"], [50, 100, 200, 300, 400]), "precision")
+    return R.precision_at(_run(spark, d), ["system", "relation"], [50, 100, 200, 300, 400])
 
 
 def best_f1(spark: SparkSession, d: str) -> DataFrame:
@@ -257,14 +256,14 @@ _F1 = "coalesce(2 * \"precision\" * recall / nullif(\"precision\" + recall, 0),
 
 ORACLE = {
     "ranked_predictions": f"WITH {_S} SELECT cell_id, row_number() OVER w rnk, (sum(hit) OVER w)::BIGINT hits FROM s WINDOW w AS (ORDER BY score DESC, cell_id ROWS UNBOUNDED PRECEDING)",
-    "running_pr": f"WITH {_RUN} SELECT relation, cell_id, rnk::INTEGER rnk, tp::BIGINT tp, round(\"precision\", 6) \"precision\", round(recall, 6) recall FROM run WHERE system = 'A'",
+    "running_pr": f"WITH {_RUN} SELECT relation, cell_id, rnk::INTEGER rnk, tp::BIGINT tp, \"precision\", recall FROM run WHERE system = 'A'",
     "pool_topk": f"WITH {_RUN} SELECT DISTINCT relation, arg1, arg2 FROM run WHERE rnk <= 100",
     "average_precision": f"WITH {_AP} SELECT * FROM ap",
     "map_systems": f"WITH {_AP} SELECT system, round(avg(ap), 6) AS \"map\", round(sum(ap * n_gold) / sum(n_gold), 6) weighted_map FROM ap GROUP BY 1",
     "interp_11pt": f"""WITH {_RUN}, v AS (SELECT system, relation, i::INTEGER lvl, CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE coalesce(max("precision") FILTER (rnk <= 1000 AND recall >= i / 10 - 1e-9), 0) END p FROM run, range(11) t(i) GROUP BY 1, 2, i)
         SELECT system, lvl AS "level", round(avg(p), 6) AS "precision" FROM v GROUP BY 1, 2""",
-    "precision_envelope": f"WITH {_RUN} SELECT relation, cell_id, round(max(\"precision\") OVER (PARTITION BY relation ORDER BY rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) envelope FROM run WHERE system = 'A'",
-    "precision_at_k": f"WITH {_RUN} SELECT system, relation, rnk::INTEGER k, round(\"precision\", 6) \"precision\" FROM run WHERE rnk IN (50, 100, 200, 300, 400)",
+    "precision_envelope": f"WITH {_RUN} SELECT relation, cell_id, max(\"precision\") OVER (PARTITION BY relation ORDER BY rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) envelope FROM run WHERE system = 'A'",
+    "precision_at_k": f"WITH {_RUN} SELECT system, relation, rnk::INTEGER k, \"precision\" FROM run WHERE rnk IN (50, 100, 200, 300, 400)",
     "best_f1": f"""WITH {_RUN}, f AS (SELECT *, {_F1} f1 FROM run), x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY system, relation ORDER BY round(f1, 12) DESC, rnk) = 1), a AS (SELECT system, relation, avg("precision") area, count(*) n FROM run GROUP BY 1, 2)
         SELECT system, relation, rnk::INTEGER rnk, tp::BIGINT tp, round("precision", 6) "precision", round(recall, 6) recall, round(f1, 6) f1, round(area, 6) area, n FROM x JOIN a USING (system, relation)""",
     "pooled_f1": f"""WITH {_RUN}, f AS (SELECT *, {_F1} f1 FROM run WHERE system = 'A'), x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY relation ORDER BY round(f1, 12) DESC, rnk) = 1),
