@@ -158,6 +158,46 @@ def span_head_udf(head: pd.Series, start: pd.Series, end: pd.Series) -> pd.Serie
     return pd.Series(out, dtype="Int32")
 
 
+def surface_spans(phrase: str, words: list[str | None], ner: list[str | None], head: list[int | None]) -> list[tuple[int, int]]:
+    """Spans [start, end) where a phrase may stand in a sentence: from each entity token whose word is part of the phrase, or is its
+    abbreviation, up the tree as long as the parent's word is part of the phrase."""
+    parts = [w for w in re.split(r"[-\s]", phrase) if w]
+    short = "".join(w[0] for w in parts)
+    part_of = lambda i: i < len(words) and bool(words[i]) and words[i] in phrase
+    out = []
+    for i, word in enumerate(words):
+        if not word or (i < len(ner) and ner[i] or "O") == "O" or not (part_of(i) or (short.isupper() and word == short)):
+            continue
+        top, seen = i, {i}
+        while top < len(head) and head[top] is not None and 0 <= head[top] and part_of(head[top]) and head[top] not in seen:
+            top = head[top]
+            seen.add(top)
+        out.append((min(i, top), max(i, top) + 1))
+    return out
+
+
+def nearest_surface_span(phrase: str, words: list[str | None], ner: list[str | None], head: list[int | None], slot: tuple[int, int]) -> tuple[int, int] | None:
+    """Of the spans of a phrase the one whose head is nearest to the slot's, the first of equal ones."""
+    at = head_of_span(head, *slot)
+    return min(surface_spans(phrase, words, ner, head), key=lambda s: abs(head_of_span(head, *s) - at), default=None)
+
+
+SPAN_TYPE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
+@F.pandas_udf(SPAN_TYPE)
+def surface_udf(phrase: pd.Series, words: pd.Series, ner: pd.Series, head: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+    """Span of a phrase nearest to a slot [start, end); nulls where there is none."""
+    rows = []
+    for p, w, n, h, s, e in zip(phrase, words, ner, head, start, end):
+        if not p or w is None or pd.isna(s) or pd.isna(e):
+            rows.append((None, None))
+            continue
+        h = [] if h is None else [None if pd.isna(x) else int(x) for x in h]
+        rows.append(nearest_surface_span(p, list(w), [] if n is None else list(n), h, (int(s), int(e))) or (None, None))
+    return pd.DataFrame(rows, columns=["start", "end"]).astype("Int32")
+
+
 def _text(toks: Column) -> Column:
     return F.array_join(F.transform(toks, lambda t: t["word"]), " ")
 

@@ -168,3 +168,15 @@ def noisy_attribute(c: Column) -> Column:
 def before_2008(path: Column) -> Column:
     """[P11] Whether a document's path is of the years 2000 to 2007."""
     return path.rlike(r"/200[0-7]/")
+
+
+def score_label(c: Column) -> tuple[Column, Column]:
+    """(score, label) of ``score:label``; the score is null where it's no number, the label may hold colons."""
+    label = F.when(F.contains(c, F.lit(":")), F.substring(c, F.call_function("instr", c, F.lit(":")) + 1, F.lit(1 << 30)))
+    return F.split(c, ":", 2)[0].try_cast("double"), label
+
+
+def relation_phrase(relation: Column) -> Column:
+    """A KB relation as words: the last part of its path, underscores as blanks; a table of fixed phrases can be joined before it."""
+    last = F.element_at(F.split(F.regexp_replace(relation, r"^REL\$", ""), "/"), -1)
+    return F.translate(last, "_", " ")

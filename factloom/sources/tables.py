@@ -11,3 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of the folder; columns and filters of the query reach the scan."""
     tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ids_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """[S19] Rows whose key is among the ids: a batch lookup, whatever the size of either side."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def grouped_by(df: DataFrame, key: str, value: str) -> DataFrame:
+    """[S19] The sorted values of each key, as an index would give them."""
+    from pyspark.sql import functions as F
+
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
