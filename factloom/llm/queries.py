@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.deliveries import once_per_key
+from ..session import settled
 from ..sources.tables import table
 from . import bpe, forms, freq, leak, names, overlap, together, topn
 
@@ -30,8 +31,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_terms(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """One array of terms for each record, by field."""
-    corpus = once_per_key(table(spark, d, "corpus_records").select("rec_id", "relations", "sentences"), "rec_id")
-    kb = once_per_key(table(spark, d, "kb_relations").select("rel_key", F.col("mention.feature").alias("f")), "rel_key")
+    # written once without the repeats: two fields are counted in it, each in two passes
+    corpus = settled(once_per_key(table(spark, d, "corpus_records").select("rec_id", "relations", "sentences"), "rec_id"), "corpus")
+    kb = settled(once_per_key(table(spark, d, "kb_relations").select("rel_key", F.col("mention.feature").alias("f")), "rel_key"), "features")
     return {
         "relations": corpus.select(F.array(F.trim("relations")).alias("terms")),
         "sentences": corpus.select(F.split(F.lower("sentences"), " ").alias("terms")),
