@@ -5,7 +5,7 @@ A tuple is (arg1, arg2); arg2 is null for unary relations, and null equals null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_prefix
@@ -38,12 +38,13 @@ def frequency_filter(cells: DataFrame, rel_cutoff: int, tuple_cutoff: int, predi
     """[P4] Two stages, in this order: cells whose relation has at least ``rel_cutoff`` cells (repeats counted), then tuples with
     ``tuple_cutoff`` <= n < ``below`` surviving predictable cells that aren't negative. Adds n_rel and n_tuple.
 
-    The relation counts are a partial aggregate joined back, so a relation that holds much of the table is never in one task.
+    Both counts are partial aggregates joined back, so no relation or tuple, however much of the table it holds, has to be in one task.
     """
     rels = cells.groupBy("relation").agg(F.count(F.lit(1)).alias("n_rel")).filter(F.col("n_rel") >= rel_cutoff)
     kept = cells.join(rels, "relation")
-    counts = F.count_if(has_prefix(F.col("relation"), predict) & (F.col("relation") != negative)).over(Window.partitionBy(*TUPLE))
-    return kept.withColumn("n_tuple", counts).filter((F.col("n_tuple") >= tuple_cutoff) & (F.col("n_tuple") < below))
+    n = F.count_if(has_prefix(F.col("relation"), predict) & (F.col("relation") != negative))
+    tuples = kept.groupBy(*TUPLE).agg(n.alias("n_tuple")).filter((F.col("n_tuple") >= tuple_cutoff) & (F.col("n_tuple") < below))
+    return tuple_join(kept, tuples, TUPLE, "inner")
 
 
 def roles(cells: DataFrame) -> DataFrame:
@@ -59,9 +60,9 @@ def role_of(relation: Column, features: list[str], predicted: list[str], unused:
 
 def sample_negative_labels(cells: DataFrame, keep_every: int, line_no: Column, negative: str = "NA", prefix: str = "REL$") -> DataFrame:
     """[P3] Of the tuples labelled NA only each ``keep_every``-th keeps its label cells; all keep their other cells."""
-    na = F.max(F.col("relation") == prefix + negative).over(Window.partitionBy(*TUPLE))
-    dropped = F.col("_na") & (F.pmod(line_no, F.lit(keep_every)) != 0) & F.col("relation").startswith(prefix)
-    return cells.withColumn("_na", na).filter(~dropped).drop("_na")
+    na = cells.filter(F.col("relation") == prefix + negative).select(*TUPLE).distinct().withColumn("_na", F.lit(True))
+    dropped = F.coalesce("_na", F.lit(False)) & (F.pmod(line_no, F.lit(keep_every)) != 0) & F.col("relation").startswith(prefix)
+    return tuple_join(cells, na, TUPLE, "left").filter(~dropped).drop("_na")
 
 
 def known_cells(test: DataFrame, train: DataFrame, labels: list[str]) -> DataFrame:
@@ -72,14 +73,11 @@ def known_cells(test: DataFrame, train: DataFrame, labels: list[str]) -> DataFra
 
 
 def remove_uninformative(cells: DataFrame, label: str = "REL$", only_labelled: bool = False) -> DataFrame:
-    """[P7] Leaves out tuples with at most one training cell and no hidden one; with ``only_labelled`` also those without a positive label.
-    One window per tuple."""
-    w = Window.partitionBy(*TUPLE)
+    """[P7] Leaves out tuples with at most one training cell and no hidden one; with ``only_labelled`` also those without a positive label."""
     hide = F.coalesce("hide", F.lit(False))
-    keep = (F.count_if(~hide).over(w) > 1) | F.max(hide).over(w)
-    if only_labelled:
-        keep = keep & F.max(F.col("relation").startswith(label) & (F.col("gold") > 0.5)).over(w)
-    return cells.withColumn("_k", keep).filter("_k").drop("_k")
+    good = F.max(F.col("relation").startswith(label) & (F.col("gold") > 0.5)) if only_labelled else F.lit(True)
+    told = cells.groupBy(*TUPLE).agg(F.count_if(~hide).alias("_n"), F.max(hide).alias("_h"), good.alias("_g")).filter("(_n > 1 or _h) and _g")
+    return tuple_join(cells, told.select(*TUPLE), TUPLE, "left_semi")
 
 
 def whitelist(cells: DataFrame, relations: DataFrame, tuples: DataFrame) -> DataFrame:

@@ -61,6 +61,23 @@ def running(df: DataFrame, by: list[str], order: list[Column], hit: str, n_gold:
     return out.withColumns({"precision": F.col("tp") / F.col("rnk"), "recall": F.coalesce(F.try_divide(F.col("tp"), F.col("_gold")), F.lit(0.0))}).drop("_gold")
 
 
+def running_by_range(df: DataFrame, by: list[str], order: list[Column], hit: str) -> DataFrame:
+    """[W1] As ``running``, for lists of which one may hold much of the table: rows are sorted by ranges over list and order, each range counts
+    for itself, and the counts of a list's earlier ranges are added. No task holds more than its range; lists that end within one range need
+    no more than that. The lists' columns must not be null."""
+    every = [F.col(c) for c in by] + order
+    parts = df.repartitionByRange(*every).sortWithinPartitions(*every)
+    rows = settled(parts.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id(), "_h": F.coalesce(F.col(hit), F.lit(0))}), "runs")
+    ranges = rows.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"), F.sum("_h").alias("_hits"))
+    w = Window.partitionBy(*by)
+    before = lambda c: F.coalesce(F.sum(c).over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*by, "_p", "_first", before("_n").alias("_bn"), before("_hits").alias("_bh"), F.sum("_hits").over(w).alias("_gold"))
+    local = F.sum("_h").over(Window.partitionBy(*by, "_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.join(ranges, [*by, "_p"]).withColumns({"rnk": (F.col("_i") - F.col("_first") + F.col("_bn") + 1).cast("int"), "tp": local + F.col("_bh")})
+    out = out.withColumns({"precision": F.col("tp") / F.col("rnk"), "recall": F.coalesce(F.try_divide(F.col("tp"), F.col("_gold")), F.lit(0.0))})
+    return out.drop("_p", "_i", "_h", "_first", "_bn", "_bh", "_gold")
+
+
 def average_precision(run: DataFrame, by: list[str], hit: str, gold: DataFrame) -> DataFrame:
     """[W5] Mean over the gold facts of a list of the precision at their place, 0 where they aren't retrieved. ``gold`` has (by, n_gold)."""
     s = run.filter(F.col(hit) == 1).groupBy(*by).agg(F.sum("precision").alias("_s"))

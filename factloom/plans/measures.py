@@ -48,6 +48,11 @@ def running_pr(spark: SparkSession, d: str) -> DataFrame:
     return R.running(_scored(spark, d), ["relation"], _order(), "hit").select("relation", "cell_id", "rnk", "tp", "precision", "recall")
 
 
+def running_pr_by_range(spark: SparkSession, d: str) -> DataFrame:
+    """[W1] The same by ranges, for lists that dominate the table."""
+    return R.running_by_range(_scored(spark, d), ["relation"], _order(), "hit").select("relation", "cell_id", "rnk", "tp", "precision", "recall")
+
+
 def pool_topk(spark: SparkSession, d: str) -> DataFrame:
     """[O2, U4] Facts among the first hundred of either system."""
     return R.pool(_systems(spark, d), ["relation"], ["arg1", "arg2"], _order(), 100, "system")
@@ -239,7 +244,7 @@ def tensor_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ranked_predictions, running_pr, pool_topk, average_precision, map_systems, interp_11pt, precision_envelope, precision_at_k, best_f1, pooled_f1, last_hit, heldout_rank, rank_by_type, confusion, class_prf,
+    ranked_predictions, running_pr, running_pr_by_range, pool_topk, average_precision, map_systems, interp_11pt, precision_envelope, precision_at_k, best_f1, pooled_f1, last_hit, heldout_rank, rank_by_type, confusion, class_prf,
     micro_macro_cum, early_stop, top3_dims, softmax_top, best_labels, rank_diff, dropped_to_zero, two_best_lines, restricted_ranks, to_annotate, annotated_precision, pattern_matches, sign_test,
     heldout_candidates, scored_cells, tensor_scores,
 )}
@@ -307,3 +312,4 @@ ORACLE = {
     "tensor_scores": """WITH a AS (SELECT vec_id, unnest(embedding)::DOUBLE v, unnest(range(len(embedding))) i FROM embeddings)
         SELECT a.vec_id, round(0.5 * sum(a.v * abs(a.v) * abs(b.v)), 4) score FROM a JOIN a b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1""",
 }
+ORACLE["running_pr_by_range"] = ORACLE["running_pr"]
