@@ -239,8 +239,8 @@ def to_annotate(rank: DataFrame, gold: DataFrame, fact: list[str]) -> DataFrame:
 
 
 def matching(df: DataFrame, col: str, patterns: DataFrame) -> DataFrame:
-    """Rows joined to the patterns (pattern) that match them; patterns are a short list."""
-    return df.crossJoin(F.broadcast(patterns)).filter(F.expr(f"`{col}` rlike pattern"))
+    """Rows joined to the patterns (pattern) that match them; patterns are a short list, which Spark broadcasts if its size allows."""
+    return df.crossJoin(patterns).filter(F.expr(f"`{col}` rlike pattern"))
 
 
 def compare_systems(ap: DataFrame, a: str, b: str, least: float = 0.001) -> DataFrame:

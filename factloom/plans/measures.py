@@ -224,7 +224,7 @@ def heldout_candidates(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d)
     tuples = s.filter("hide and hit = 1").select("arg1", "arg2").distinct()
     labels = s.groupBy("relation").agg(F.round(F.avg("score"), 6).alias("score"))
-    every = tuples.crossJoin(F.broadcast(labels))  # labels are the targets, a short list
+    every = tuples.crossJoin(labels)  # every label is asked of every tuple
     return R.ranked(every, ["arg1", "arg2"], [F.col("score").desc(), F.col("relation")])
 
 

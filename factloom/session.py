@@ -80,9 +80,11 @@ def settled(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts the lineage, is computed once however often it is read, stays readable when executors are lost, and a later
-    reader takes only the columns it needs. The folder's owner clears it between jobs, as with checkpoints.
+    reader takes only the columns it needs. It is deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
