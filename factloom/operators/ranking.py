@@ -99,8 +99,8 @@ def interpolated(run: DataFrame, by: list[str], levels: int = 10, depth: int | N
 
 
 def precision_envelope(run: DataFrame, by: list[str]) -> DataFrame:
-    """[W7] ``envelope``: the highest precision from each place down to the end."""
-    w = Window.partitionBy(*by).orderBy("rnk").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """[W7] ``envelope``: the highest precision from each place down to the end. Read from the end, so that the frame grows row by row."""
+    w = Window.partitionBy(*by).orderBy(F.col("rnk").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return run.withColumn("envelope", F.max("precision").over(w))
 
 
@@ -189,10 +189,16 @@ def top_of_array(values: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(items), 1, k), lambda x: F.struct((-x["n"]).alias("value"), x["i"].alias("place")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(values: Column) -> Column:
     """[O4] Softmax of an array, stable."""
-    e = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    powers = lambda top: F.transform(values, lambda v: F.exp(v - top))
+    share = lambda e: _let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+    return _let(F.array_max(values), lambda top: _let(powers(top), share))
 
 
 def argmax(values: Column) -> Column:

@@ -88,3 +88,10 @@ def settled(df: DataFrame, name: str = "part") -> DataFrame:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose rows cost much each, over all cores: where the files give fewer splits than there are cores, rows are dealt round;
+    where they give enough, as any large table does, nothing is shuffled. Only for plain scans, whose splits are known before they run."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
