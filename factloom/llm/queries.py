@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.deliveries import once_per_key
-from ..session import settled
+from ..session import settled, spread
 from ..sources.tables import table
 from . import bpe, forms, freq, leak, names, overlap, together, topn
 
@@ -76,9 +76,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_entity_pairs(table(spark, d, "kb_entities"), table(spark, d, "entity_mentions"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their texts over all cores: each is worked through in Python."""
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode_corpus(table(spark, d, "documents"))
+    return bpe.encode_corpus(_texts(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +93,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_matches(spark: SparkSession, d: str) -> DataFrame:
     """The longest verbatim match of each document and item, and where it is in both."""
-    return leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leak.leaks(_texts(spark, d), table(spark, d, "eval_items"))
 
 
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -99,12 +104,12 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look alike and differ as stored."""
-    return forms.same_form_pairs(table(spark, d, "documents"))
+    return forms.same_form_pairs(_texts(spark, d))
 
 
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every document in its one form, with its tokens of mixed scripts and whole-script look-alikes."""
-    return forms.with_forms(table(spark, d, "documents"))
+    return forms.with_forms(_texts(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p5_found, p5_terms, p6_found, p6_scores, p7_found, p8_ids, p9_found, p9_matches, p9_clean, p10_found, p10_forms)}
