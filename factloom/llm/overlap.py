@@ -1,11 +1,11 @@
 """Same or near-same records across splits (problem 1).
 
-Method: each word of a record sets one bit of a 256-bit code. Two word sets that differ in d words have codes within
-Hamming distance d, and a Jaccard similarity of at least t allows d <= (1-t)/(1+t) * (a+b) for sets of a and b words. The
-code is cut into r+2 blocks, r being the largest distance possible for the size class; codes within r agree in at least two
-blocks, so records of two splits that share the names and the content of any two blocks are candidates (the permuted
-codes: one for each pair of blocks). Candidates within the Hamming radius are verified on the word sets. Unlike sampled
-bits, word bits never lose a pair: the distance of codes is never above that of the sets.
+Method: each word of a record sets one bit of a code of 65536 bits, kept as the places of its set bits. Two word sets that
+differ in d words have codes within Hamming distance d, and a Jaccard similarity of at least t allows d <= (1-t)/(1+t) * (a+b)
+for sets of a and b words. The code is cut into r+2 blocks, r being the largest distance possible for the size class; codes
+within r agree in at least two blocks, so records of two splits that share the names and the content of any two blocks are
+candidates (the permuted codes: one for each pair of blocks). Where r is large, one agreeing block is enough to be one. Candidates within the Hamming radius of the code folded to 256 bits are verified on the word sets. Unlike sampled bits,
+word bits never lose a pair: the distance of codes, folded or not, is never above that of the sets.
 
 Records are compared as classes (same names, same word set), so copies are not paired with each other; the pairs of
 records are spelled out at the end only, as the result asks for them.
@@ -18,15 +18,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.folding import folded_words
 from ..operators.deliveries import once_per_key
 from ..session import settled
 
 SIMILARITY = 0.8
-BITS, WORD = 256, 64
+#: Bits of the code, of the folded code, and of a word of it; the largest radius that is searched by pairs of blocks.
+BITS, FOLDED, WORD = 1 << 16, 256, 64
+PAIRED = 12
 
 
 def _bits(words: Column) -> Column:
@@ -35,18 +40,18 @@ def _bits(words: Column) -> Column:
 
 
 def _longs(bits: Column) -> list[Column]:
-    """The code as four longs."""
+    """The folded code as four longs."""
 
     def one(k: int) -> Column:
-        own = F.filter(bits, lambda b: F.floor(b / WORD) == k)
+        own = F.filter(bits, lambda b: F.floor(b % FOLDED / WORD) == k)
         return F.aggregate(own, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % WORD)))
 
-    return [one(k) for k in range(BITS // WORD)]
+    return [one(k) for k in range(FOLDED // WORD)]
 
 
 def hamming(a: str, b: str) -> Column:
     """Hamming distance of two codes given as columns a_0.. and b_0.."""
-    parts = [F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))) for k in range(BITS // WORD)]
+    parts = [F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))) for k in range(FOLDED // WORD)]
     return sum(parts[1:], parts[0])
 
 
@@ -55,18 +60,42 @@ def _size_class(n: Column, t: float) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(-math.log(t)) + 1e-9).cast("int")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _contents_of_long(bits: pd.Series, m: pd.Series) -> pd.Series:
+    """Content of each of many blocks, in one pass over the set bits: their hashes joined by exclusive or, mixed with the block's number."""
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    out = []
+    for places, blocks in zip(bits, m):
+        if places is None:
+            out.append(None)
+            continue
+        at = np.asarray(places, np.int64)
+        held = np.zeros(int(blocks), np.uint64)
+        np.bitwise_xor.at(held, at * int(blocks) // BITS, mix(at.astype(np.uint64) + np.uint64(1)))
+        out.append(mix(held + np.arange(len(held), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+    return pd.Series(out, dtype=object)
+
+
 def block_contents(bits: Column, cls: Column, t: float) -> Column:
     """Content of each block of a code: a hash of its set bits. A set of a words is within (1-t)/t * a words of any similar
-    one, and a is below the upper end of its class; there are two blocks more than that."""
-    most = F.floor(F.pow(F.lit(1 / t), cls + 1) * ((1 - t) / t) + 1e-6).cast("int")
-    m = F.least(most + 2, F.lit(BITS))
-    return F.transform(F.sequence(F.lit(0), m - 1), lambda s: F.xxhash64(s, F.filter(bits, lambda b: F.floor(b * m / BITS) == s)))
+    one, and a is below the upper end of its class; there are two blocks more than that. Long records, of many blocks, are worked through
+    in one pass in Python."""
+    most = F.floor(F.pow(F.lit(1 / t), cls + 1) * ((1 - t) / t) + 1e-6)
+    m = F.least(most + 2, F.lit(BITS)).cast("int")
+    few = F.transform(F.sequence(F.lit(0), m - 1), lambda s: F.xxhash64(s, F.filter(bits, lambda b: F.floor(b * m / BITS) == s)))
+    return F.when(most <= PAIRED, few).otherwise(_contents_of_long(F.when(most > PAIRED, bits), m))
 
 
 def block_keys(names: Column, content: Column, cls: Column) -> Column:
-    """Keys of all pairs of blocks of a code in one size class."""
+    """Keys of all pairs of blocks of a code in one size class, or of its single blocks if there are many."""
     pair = lambda x, s: F.transform(F.slice(content, s + 2, F.size(content)), lambda y: F.xxhash64(names, cls, x, y))
-    return F.flatten(F.transform(content, pair))
+    single = F.transform(content, lambda x: F.xxhash64(names, cls, x))
+    return F.when(F.size(content) <= PAIRED + 2, F.flatten(F.transform(content, pair))).otherwise(single)
 
 
 def prepared(records: DataFrame, key: str, split: str, a: str, b: str, text: str) -> DataFrame:
@@ -92,7 +121,7 @@ def similar_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
     bits = _bits(F.col("words"))
     coded = live.select("side", "names", "cls_key", F.size("words").alias("n"), bits.alias("bits"))
     coded = coded.select("side", "names", "cls_key", "n", "bits", _size_class(F.col("n"), t).alias("cls"), *[c.alias(f"f_{k}") for k, c in enumerate(_longs(F.col("bits")))])
-    longs = [f"f_{k}" for k in range(BITS // WORD)]
+    longs = [f"f_{k}" for k in range(FOLDED // WORD)]
 
     def keyed(part: DataFrame, p: str) -> DataFrame:
         part = part.select("names", "cls_key", "cls", "n", *longs, block_contents(F.col("bits"), F.col("cls"), t).alias("content"))

@@ -51,6 +51,21 @@ def test_brute_force(spark):
     assert got == want and (906, 907) in got and len(want) > 100
 
 
+def test_long_records(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        size = r.choice([45, 52, 53, 60, 66, 80, 150, 600])
+        base = random.Random(size)
+        words = [f"w{base.randrange(2000)}" for _ in range(size)]
+        for _ in range(r.randrange(size // 6)):
+            words[r.randrange(size)] = f"x{r.randrange(50)}"
+        rows.append((i, "train" if i % 2 else "test", "s", "Al", "Bo", " ".join(words), "x", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(x[0], x[1]) for x in overlap.split_overlaps(df).select("rec_id_train", "rec_id_held").collect()}
+    assert got == _brute(rows) and len(got) > 40
+
+
 def test_copies_and_report(spark):
     rows = [(i, "train", "s", "Al", "Bo", "one two three", None, 1) for i in range(300)] + [(1000 + i, "test", "t" if i else None, "Bo", "Al", "One, two; THREE", None, 1) for i in range(3)]
     df = spark.createDataFrame(rows, SCHEMA)
