@@ -8,9 +8,10 @@ tokens two edits apart count as near only through a token on record that is one
 has more than one slip. Classes that share a rare token or a neighbour of one are then compared over all orders of their
 remaining tokens: initials against full names, missing middle initials, missing legal forms, at most two edits in all.
 
-Tokens in more than ``RARE`` classes are shared words (first names, trades, legal forms); they alone don't make
-candidates. Names that have no rarer token are joined on a shared word and the initial of another instead, so no name is left
-out. Records of one class are linked whatever their number; classes, not copies, are compared.
+Tokens in more than ``RARE`` classes are shared words (first names, trades, legal forms, much-named persons); they alone don't
+make candidates. Every name is also joined on each such word, or on one that a slip made of it, together with a mark of
+another token: the word with a letter left out, or its initial against an initial. Records of one class are linked whatever
+their number; classes, not copies, are compared.
 
 Cases: null names and names without letters or digits link to nothing; other null columns don't matter; repeated rows link
 to each other; extra columns are ignored.
@@ -202,6 +203,78 @@ def near_tokens(tokens: DataFrame) -> DataFrame:
     return half.unionByName(half.select(F.col("u").alias("t"), F.col("t").alias("u"))).distinct()
 
 
+def without(s: str, most: int) -> set[str]:
+    """``s`` with up to ``most`` letters left out. Words within ``most`` edits have one of these in common."""
+    out = last = {s}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
+def two_apart(tokens: DataFrame) -> DataFrame:
+    """(t, u): ordered pairs of tokens of the column ``token``, of six letters or more, that are two edits apart."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(x, t) for t in pdf["token"] for x in without(t, 2)], columns=["rest", "t"], dtype=object)
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[[edits(t, u) == 2 for t, u in zip(pdf["t"], pdf["u"])]]
+
+    rests = tokens.filter("length(token) >= 6").select("token").mapInPandas(spread, "rest string, t string").select(F.xxhash64("rest").alias("rest"), "t")
+    pairs = rests.join(rests.withColumnRenamed("t", "u"), "rest").filter("t < u").select("t", "u").distinct()
+    half = settled(pairs.mapInPandas(exact, "t string, u string"), "two-apart")
+    return half.unionByName(half.select(F.col("u").alias("t"), F.col("t").alias("u")))
+
+
+#: Full names that share a short name with others, the short names, and these with a letter left out.
+_SHORTENED = {x for s, names in FORMAL.items() if len(names) > 1 for n in (s, *names) for x in without(n, 1)}
+
+
+@F.pandas_udf(T.BooleanType())
+def _has_short(tokens: pd.Series) -> pd.Series:
+    """Whether a token is, within one edit, one that an ambiguous short name may stand for."""
+    return tokens.map(lambda t: not _SHORTENED.isdisjoint(without(t, 1))).astype(bool)
+
+
+def marks(tokens: list[str], t: str, lone: str | None, looking: bool) -> set[str]:
+    """What the tokens beside ``t`` must have in common with those of a name that is to be compared: words within one edit and
+    short names share a mark, so do an initial and a word, of which one name is ``looking`` and the other is not. ``lone`` is a
+    word whose other spellings are found without marks."""
+    rest = list(tokens)
+    rest.remove(t)
+    if not rest:
+        return {"!"}
+    if lone is not None:
+        rest = [lone]
+    else:
+        rest = [o for o in rest if o[0] != "." and o not in FORMS] or rest
+    word, initial = ("i", "w") if looking else ("w", "i")
+    out = set()
+    for o in rest:
+        full = FORMAL.get(o, ())
+        if len(o) == 1:
+            out.add(initial + o)
+        elif o[0] != "." and o not in FORMS:
+            out |= {word + w[0] for w in (o, *full)}
+        if o != lone:
+            out |= {"=" + x for w in (o, *full) for x in (without(w, 1) if len(w) >= MIN_TOKEN else (w,))}
+    return out
+
+
+def _marked_keys(rows: DataFrame, looking: bool) -> DataFrame:
+    """Rows (cls, t, u, lone) with ``key``, one for each mark beside ``t``."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(c, t, u, m) for c, t, u, one in zip(pdf["cls"], pdf["t"], pdf["u"], pdf["lone"]) for m in marks(c.split(" "), t, one, looking)]
+            yield pd.DataFrame(out, columns=["cls", "t", "u", "mark"], dtype=object)
+
+    return rows.mapInPandas(spread, "cls string, t string, u string, mark string").select(F.xxhash64("u", "mark").alias("key"), "cls", "t", "u")
+
+
 @lru_cache(maxsize=100_000)
 def _word_cost(a: str, b: str) -> int:
     """Cost of taking one token for the other, 3 if it can't be."""
@@ -291,20 +364,24 @@ def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
     one = settled(near_tokens(df), "near")
     # two steps through a token on record; a token is near itself
     two = one.select("t", F.col("u").alias("m")).join(one.select(F.col("t").alias("m"), "u"), "m").filter("t <> u").select("t", "u")
-    near = one.unionByName(two).unionByName(df.select(F.col("token").alias("t"), F.col("token").alias("u"))).distinct()
+    far = two_apart(df.filter(F.col("df") > rare))
+    near = one.unionByName(two).unionByName(far).unionByName(df.select(F.col("token").alias("t"), F.col("token").alias("u"))).distinct()
     freq = df.select(F.col("token").alias("u"), (F.col("df") <= rare).alias("u_rare"))
     near = settled(near.join(freq, "u"), "neighbours")
 
-    marked = flat.join(df.select("token", (F.col("df") <= rare).alias("is_rare")), "token")
-    no_rare = marked.groupBy("cls").agg(F.max("is_rare").alias("any_rare")).filter("not any_rare").select("cls")
-    initials = F.array_distinct(F.transform(F.split("cls", " "), lambda o: F.substring(o, 1, 1)))
-    bare = settled(flat.join(no_rare, "cls").select("cls", "token"), "common")
-    # one side gives its own tokens, the other all neighbours of its tokens
-    own = marked.filter("is_rare").select(F.col("token").alias("key"), F.col("cls").alias("y"), F.col("token").alias("u"))
-    own = own.unionByName(bare.select(F.explode(F.transform(initials, lambda i: F.concat_ws(" ", "token", i))).alias("key"), F.col("cls").alias("y"), F.col("token").alias("u")))
-    reach = marked.filter("is_rare").select("cls", F.col("token").alias("t")).unionByName(bare.select("cls", F.col("token").alias("t"))).join(near, "t")
-    keys = F.when(F.col("u_rare"), F.array("u")).otherwise(F.transform(initials, lambda i: F.concat_ws(" ", "u", i)))
-    reach = reach.select(F.explode(keys).alias("key"), F.col("cls").alias("x"), "t")
+    # a rare token without a common neighbour meets any other spelling of it by itself, so only its initial is left to look for
+    flags = near.groupBy("t").agg(F.max(~F.col("u_rare")).alias("by_common"), F.max(F.when(F.col("t") == F.col("u"), F.col("u_rare"))).alias("t_rare"))
+    marked = flat.withColumnRenamed("token", "t").join(flags, "t")
+    lone = F.max(F.when(~F.col("by_common") & ~F.col("t").isin(*sorted(FORMS)) & ~_has_short("t"), F.col("t"))).alias("lone")
+    marked = settled(marked.join(marked.groupBy("cls").agg(lone), "cls"), "marked")
+    # one side gives its own tokens, the other the neighbours of its tokens; a common token goes with a mark of another token
+    own = marked.filter("t_rare").select(F.xxhash64("t").alias("key"), F.col("cls").alias("y"), F.col("t").alias("u"))
+    own = own.unionByName(_marked_keys(marked.filter("not t_rare").select("cls", "t", F.col("t").alias("u"), "lone"), False).select("key", F.col("cls").alias("y"), "u"))
+    near = near.join(flags.select("t", "t_rare"), "t")
+    reach = marked.select("cls", "t", "lone").join(near.filter("t_rare or not u_rare"), "t")
+    reach, common = reach.filter("u_rare"), reach.filter("not u_rare")
+    reach = reach.select(F.xxhash64("u").alias("key"), F.col("cls").alias("x"), "t")
+    reach = reach.unionByName(_marked_keys(common.select("cls", "t", "u", "lone"), True).select("key", F.col("cls").alias("x"), "t"))
     pairs = reach.join(own, "key").filter("x <> y")
     swap = F.col("x") > F.col("y")
     pairs = pairs.select(*[F.when(swap, b).otherwise(F.col(a)).alias(a) for a, b in (("x", F.col("y")), ("y", F.col("x")), ("t", F.col("u")), ("u", F.col("t")))]).distinct()

@@ -83,6 +83,23 @@ def test_copies_and_frequent_names(spark):
     assert sum(a >= first for a, b in got) == 40 * 39 // 2
 
 
+def test_slips_in_frequent_names(spark):
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    many = [f"{x}qqv{x} Hiapiaprika" for x in letters] + [f"Anthony {x}zzk{x}" for x in letters]
+    said = ["Anthnoy Hiapiaprika", "Anthony Hiapiaprkia", "A. Hiapiaprkia", "nAthony Hiapiaprika", "Anthony iHapiaprika", "Q. Hiapiaprika"]
+    n = len(many)
+    got = {(a - n, b - n) for a, b in _linked(spark, many + said) if a >= n}
+    assert got == {(0, 1), (0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), (2, 4), (3, 4)}
+
+
+@pytest.mark.parametrize("rare", [0, 1, 3])
+def test_frequency_steers_the_work_only(spark, rare):
+    names = [n for pair in SAME + OTHER for n in pair] + ["Pat Koudakria", "Patrick Koudakria", "Patrcik Koudakrai", "P. Koudakria", "P. Koudakrai", "nAthony iHapiaprika", "Kouleskazam Limted", "Kouleskazam Limited", "Kouleskazam", "Kouleskzaam"]
+    cls = N.name_classes(spark.createDataFrame([(n,) for n in names], "name string")).distinct()
+    got, all_compared = ({tuple(r) for r in N.linked_classes(cls, k).collect()} for k in (rare, 10**6))
+    assert got == all_compared
+
+
 def test_empty(spark):
     assert _linked(spark, []) == []
     assert N.linked_classes(spark.createDataFrame([], "cls string")).count() == 0
