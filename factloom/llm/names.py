@@ -10,7 +10,8 @@ remaining tokens: initials against full names, missing middle initials, missing
 
 Tokens in more than ``RARE`` classes are shared words (first names, trades, legal forms, much-named persons); they alone don't
 make candidates. Every name is also joined on each such word, or on one that a slip made of it, together with a mark of
-another token: the word with a letter left out, or its initial against an initial. Records of one class are linked whatever
+another token: the word with a letter left out, or its initial against an initial. Words of two or three letters meet by
+equality only; names that share nothing but initials are not linked. Records of one class are linked whatever
 their number; classes, not copies, are compared.
 
 Cases: null names and names without letters or digits link to nothing; other null columns don't matter; repeated rows link
@@ -359,9 +360,9 @@ def name_classes(names: DataFrame) -> DataFrame:
 def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
     """(x, y), x < y: classes of the column ``cls`` that name the same entity."""
     all_tokens = F.array_distinct(F.split("cls", " "))
-    flat = settled(classes.select("cls", F.explode(all_tokens).alias("token")).filter(F.length("token") >= MIN_TOKEN), "tokens")
+    flat = settled(classes.select("cls", F.explode(all_tokens).alias("token")).filter("length(token) > 1 and not startswith(token, '.')"), "tokens")
     df = settled(flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
-    one = settled(near_tokens(df), "near")
+    one = settled(near_tokens(df.filter(F.length("token") >= MIN_TOKEN)), "near")
     # two steps through a token on record; a token is near itself
     two = one.select("t", F.col("u").alias("m")).join(one.select(F.col("t").alias("m"), "u"), "m").filter("t <> u").select("t", "u")
     far = two_apart(df.filter(F.col("df") > rare))

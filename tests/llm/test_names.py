@@ -92,6 +92,15 @@ def test_slips_in_frequent_names(spark):
     assert got == {(0, 1), (0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), (2, 4), (3, 4)}
 
 
+def test_short_words(spark):
+    some = ["R. Lee", "Robert Lee", "T. Ng", "Tam Ng", "Tan Ng", "Bo Li", "Li, Bo.", "Bo Lo", "T. N."]
+    want = {(0, 1), (2, 3), (2, 4), (5, 6)}
+    assert set(_linked(spark, some)) == want
+    frequent = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}q Ng" for i in range(60)] + [f"{chr(97 + i // 26)}{chr(97 + i % 26)}q Lee" for i in range(60)]
+    no_t = [n for n in frequent if n[0] not in "tr"]
+    assert {p for p in _linked(spark, some + no_t) if p[1] < len(some)} == want
+
+
 @pytest.mark.parametrize("rare", [0, 1, 3])
 def test_frequency_steers_the_work_only(spark, rare):
     names = [n for pair in SAME + OTHER for n in pair] + ["Pat Koudakria", "Patrick Koudakria", "Patrcik Koudakrai", "P. Koudakria", "P. Koudakrai", "nAthony iHapiaprika", "Kouleskazam Limted", "Kouleskazam Limited", "Kouleskazam", "Kouleskzaam"]
