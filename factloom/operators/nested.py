@@ -108,18 +108,19 @@ def flatten(df: DataFrame, key: list[str], root: str = "root") -> dict[str, Data
     return tables
 
 
-def mention_tokens(tables: dict[str, DataFrame], key: str) -> DataFrame:
-    """(key, sent_no, mention_id, tok_no, head_no) of each token inside a mention of its sentence.
+def mention_tokens(tables: dict[str, DataFrame], key: str, row: str | None = None) -> DataFrame:
+    """(key, sent_no, mention_id, tok_no, head_no) of each token inside a mention of its sentence. ``row`` is a key column of the
+    tables that is never null and differs for each root row; needed where ``key`` can be null.
 
-    The mention's places are listed first, cut at the sentence's number of tokens, so both joins are equi-joins on key,
+    The mention's places are listed first, cut at the sentence's number of tokens, so both joins are equi-joins on row,
     sentence and place, and none compares all mentions with all tokens of a sentence.
     """
-    k = [key, "sentences_no"]
+    k = [row or key, "sentences_no"]
     sent = tables["sentences"].select(*k, F.col("tokens_size").alias("_n")).filter("_n > 0")
     tokens = tables["sentences.tokens"].select(*k, F.col("tokens_no").alias("tok_no"))
     heads = tables["sentences.deptree.head"].select(*k, F.col("head_no").alias("tok_no"), F.col("value").alias("_h"))
-    spans = tables["sentences.mentions"].select(*k, F.col("id").alias("mention_id"), "tok_from", "tok_to").filter("tok_from < tok_to and tok_to > 0")
+    spans = tables["sentences.mentions"].select(*k, F.col(key).alias("_key"), F.col("id").alias("mention_id"), "tok_from", "tok_to").filter("tok_from < tok_to and tok_to > 0")
     lo, hi = F.greatest("tok_from", F.lit(0)), F.least("tok_to", "_n")
-    places = spans.join(sent, k).filter(lo < hi).select(*k, "mention_id", F.explode(F.sequence(lo, hi - 1)).alias("tok_no"))
+    places = spans.join(sent, k).filter(lo < hi).select(*k, "_key", "mention_id", F.explode(F.sequence(lo, hi - 1)).alias("tok_no"))
     out = places.join(tokens, [*k, "tok_no"]).join(heads, [*k, "tok_no"], "left")
-    return out.select(key, F.col("sentences_no").alias("sent_no"), "mention_id", "tok_no", F.coalesce("_h", F.lit(-1)).alias("head_no"))
+    return out.select(F.col("_key").alias(key), F.col("sentences_no").alias("sent_no"), "mention_id", "tok_no", F.coalesce("_h", F.lit(-1)).alias("head_no"))

@@ -41,14 +41,15 @@ def p3_typed_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Flat tables of the document deliveries received last, written once so that each table reads its own columns only."""
+    """Flat tables of the document deliveries received last, written once so that each table reads its own columns only. Their key is
+    ``doc_row``, a number given in writing, as filenames can be null; the filename goes with it."""
     docs = latest_per_key(table(spark, d, "parsed_docs").select("filename", "received_at", "sentences"), "filename", F.col("received_at"))
-    return nested.flatten(settled(docs, "parsed"), ["filename"], "documents")
+    return nested.flatten(settled(docs.withColumn("doc_row", F.monotonically_increasing_id()), "parsed"), ["doc_row", "filename"], "documents")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Tokens inside mentions, with their heads."""
-    return nested.mention_tokens(parsed_tables(spark, d), "filename")
+    return nested.mention_tokens(parsed_tables(spark, d), "filename", "doc_row")
 
 
 def p4_tokens(spark: SparkSession, d: str) -> DataFrame:

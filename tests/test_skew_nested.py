@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.operators import nested, skew
+from factloom.plans import hygiene
 
 
 @pytest.fixture
@@ -97,3 +98,12 @@ def test_mention_tokens(spark, rows):
     got = rows(nested.mention_tokens(nested.flatten(df, ["filename"]), "filename"))
     assert got == [("d", 0, 1, 1, -1), ("d", 0, 1, 2, -1), ("d", 0, 2, 0, 5), ("d", 4, 5, 0, -1), ("d", 4, 5, 1, -1), ("d", 4, 5, 1, -1)]
     assert nested.mention_tokens(nested.flatten(df.limit(0), ["filename"]), "filename").count() == 0
+
+
+def test_documents_without_a_name(spark, rows, tmp_path):
+    tree = "struct<root:int,head:array<int>,reltype:array<string>>"
+    s = f"filename string, received_at timestamp, sentences array<struct<tokens:array<struct<word:string,tag:string,ner:string>>,mentions:array<struct<id:int,entityguid:string,tok_from:int,tok_to:int,label:string>>,deptree:{tree}>>"
+    doc = lambda i, n: [([("w", None, None)] * n, [(i, None, 0, 9, None)], (0, [i] * n, None))]
+    df = spark.createDataFrame([(None, None, doc(1, 2)), (None, None, doc(2, 1)), ("d", None, doc(3, 1))], s)
+    df.write.parquet(str(tmp_path / "parsed_docs.parquet"))
+    assert rows(hygiene.p4_found(spark, str(tmp_path))) == [(None, 0, 1, 0, 1), (None, 0, 1, 1, 1), (None, 0, 2, 0, 2), ("d", 0, 3, 0, 3)]
