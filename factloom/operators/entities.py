@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,16 +136,17 @@ def new_deliveries(incoming: DataFrame, wanted: DataFrame, stored: DataFrame, ke
     return incoming.join(wanted.select(key).distinct(), key, "left_semi").join(stored.select(key).distinct(), key, "left_anti")
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """[M24] (node, cluster): connected components, each named by its smallest node.
 
     Alternating large-star and small-star steps: in each, a node's neighbours are pointed at the smallest of them, which needs O(log n)
-    rounds; edges are written between rounds, so lineage stays short, and a count on the written table ends the loop.
+    rounds; edges are written between rounds, so lineage stays short, and a count on the written table ends the loop. It goes on
+    until nothing changes; where a bound of ``rounds`` is given and isn't enough, it raises.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     nodes = settled(e.select("u").union(e.select("v")).distinct(), "nodes")
     e = settled(e.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct(), "edges")
-    for _ in range(rounds):
+    for done in itertools.count(1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("_m", "u").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -154,6 +157,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
         e = nxt
         if not changed:
             break
+        if done == rounds:
+            raise RuntimeError(f"components: not converged after {rounds} rounds")
     return nodes.join(e.groupBy("u").agg(F.min("v").alias("_c")), "u", "left").select(F.col("u").alias("node"), F.coalesce("_c", "u").alias("cluster"))
 
 

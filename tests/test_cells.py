@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import cells as C
@@ -89,6 +90,12 @@ def test_components(spark, rows):
     assert entities.components(e.limit(0), "a", "b").count() == 0
 
 
+def test_components_never_stop_early(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    with pytest.raises(RuntimeError, match="not converged"):
+        entities.components(e, "a", "b", 2)
+
+
 def test_linking(spark, rows):
     m = spark.createDataFrame([(1, "Al"), (2, "Bo"), (3, "Bo"), (4, None)], "k int, label string")
     e = spark.createDataFrame([("g2", "Al"), ("g1", "Al"), ("g3", None)], "guid string, name string")
