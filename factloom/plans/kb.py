@@ -234,6 +234,16 @@ def coref_antecedents(spark: SparkSession, d: str) -> DataFrame:
     return E.nearest_same_name(m, "docid", "mention_key", "label")
 
 
+def triple_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """[M24] Clusters of entities joined by any relation, named by their smallest guid (components of any depth; checked by brute force)."""
+    return E.components(_triples(spark, d), "source", "dest")
+
+
+def mention_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """[M24] Clusters of mentions joined by the links to their antecedents, named by their smallest key."""
+    return E.components(coref_antecedents(spark, d), "mention_key", "earlier")
+
+
 def longest_names(spark: SparkSession, d: str) -> DataFrame:
     """The longest name of each linked entity."""
     m = table(spark, d, "entity_mentions").filter("entity is not null and label is not null")
@@ -251,7 +261,7 @@ def relation_cells(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     distant_labels, missing_triples, named_triples, unnamed_ends, relations_of_people, entity_relations, type_map, grouped_pairs, pair_topics, two_hop, second_order, label_alignment, last_scores,
     same_sentence_pairs, span_overlaps, first_overlaps, entity_link, mentions_in_text, canonical_companies, provenance, mention_coverage, slot_pairs, mention_texts, ner_spans, new_documents,
-    word_tag_strings, contexts, tree_paths, coref_clusters, coref_antecedents, longest_names, relation_cells,
+    word_tag_strings, contexts, tree_paths, coref_clusters, coref_antecedents, triple_clusters, mention_clusters, longest_names, relation_cells,
 )}
 
 _T = "t AS (SELECT rel_key, sourceguid source, destguid dest, reltype relation FROM kb_relations WHERE reltype <> 'NA')"
@@ -330,6 +340,8 @@ ORACLE = {
         r(node, cluster) AS (SELECT u, u FROM b UNION SELECT b.v, r.cluster FROM r JOIN b ON b.u = r.node WHERE r.cluster < b.v) SELECT node, min(cluster) AS "cluster" FROM r GROUP BY 1""",
     "coref_antecedents": """WITH m AS (SELECT docid, mention_key, label FROM entity_mentions WHERE docid IS NOT NULL AND label IS NOT NULL)
         SELECT x.mention_key, arg_max(y.mention_key, (CASE WHEN x.label = y.label THEN 2.0 ELSE 1.0 END, y.mention_key)) earlier FROM m x JOIN m y ON x.docid = y.docid AND y.mention_key < x.mention_key AND lower(x.label) = lower(y.label) GROUP BY 1""",
+    "mention_clusters": """WITH m AS (SELECT mention_key, min(mention_key) OVER w "cluster", count(*) OVER w n FROM entity_mentions WHERE docid IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY docid, lower(label)))
+        SELECT mention_key node, "cluster" FROM m WHERE n > 1""",
     "longest_names": "SELECT entity, arg_max(label, (length(label), label)) canonical FROM entity_mentions WHERE entity IS NOT NULL AND label IS NOT NULL GROUP BY 1",
     "relation_cells": """WITH k AS (SELECT * FROM kb_relations QUALIFY row_number() OVER (PARTITION BY rel_key ORDER BY loaded_at) = 1), m AS (SELECT sourceguid arg1, destguid arg2, unnest(mention) x FROM k),
         c AS (SELECT arg1, arg2, relation FROM (SELECT arg1, arg2, unnest(x.feature) relation FROM m) WHERE relation IS NOT NULL), f AS (SELECT * FROM c WHERE relation IN (SELECT relation FROM c GROUP BY 1 HAVING count(*) >= 5)),

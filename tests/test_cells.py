@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import cells as C
 from factloom.operators import counts, deliveries, entities, sampling, supervision
+from factloom.plans import kb
 
 CELL = "relation string, arg1 string, arg2 string"
 
@@ -90,6 +93,27 @@ def test_components(spark, rows):
     assert entities.components(e.limit(0), "a", "b").count() == 0
 
 
+def test_triple_clusters_take_every_relation(spark, rows, tmp_path):
+    r = random.Random(4)
+    made = [(i, f"e{r.randrange(150):03}", f"e{r.randrange(150):03}", r.choice(["/a/b", "/c/d", "/e/f"])) for i in range(90)]
+    extra = [(90, "x", None, "/a/b"), (91, "e000", "y", "NA"), (92, "e001", "z", None)]
+    spark.createDataFrame(made + extra, "rel_key bigint, sourceguid string, destguid string, reltype string").write.parquet(str(tmp_path / "kb_relations.parquet"))
+    near = {}
+    for _, a, b, _ in made:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    want = {}
+    for n in sorted(near):
+        todo = [n] if n not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = n
+                todo += near[x]
+    assert len({c for c in want.values()}) > 5
+    assert rows(kb.triple_clusters(spark, str(tmp_path)), "node", "cluster") == sorted(want.items())
+
+
 def test_components_never_stop_early(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
     with pytest.raises(RuntimeError, match="not converged"):
