@@ -4,8 +4,8 @@ Method: trie join. Names are folded, abbreviations and nicknames are spelled out
 tokens in any order are one class. The distinct tokens are sharded by (length, segment, place): of three segments of a
 token, one edit (also a swap of neighbours) leaves at least one whole. Each shard's tokens form a trie, which the probing
 tokens traverse as Levenshtein automata with the edits that are left; that enumerates all neighbours within one edit. Two
-tokens two edits apart count as near only through a token on record that is one edit from both, as each typed name rarely
-has more than one slip. Classes that share a rare token or a neighbour of one are then compared over all orders of their
+tokens two edits apart are near through a token on record that is one edit from both; those of six letters or more also by
+themselves (they agree with up to two letters left out), in names whose other tokens agree. Classes that share a rare token or a neighbour of one are then compared over all orders of their
 remaining tokens: initials against full names, missing middle initials, missing legal forms, at most two edits in all.
 
 Tokens in more than ``RARE`` classes are shared words (first names, trades, legal forms, much-named persons); they alone don't
@@ -365,8 +365,9 @@ def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
     one = settled(near_tokens(df.filter(F.length("token") >= MIN_TOKEN)), "near")
     # two steps through a token on record; a token is near itself
     two = one.select("t", F.col("u").alias("m")).join(one.select(F.col("t").alias("m"), "u"), "m").filter("t <> u").select("t", "u")
-    far = two_apart(df.filter(F.col("df") > rare))
-    near = one.unionByName(two).unionByName(far).unionByName(df.select(F.col("token").alias("t"), F.col("token").alias("u"))).distinct()
+    far = two_apart(df).withColumn("step", F.lit(False))
+    near = one.unionByName(two).unionByName(df.select(F.col("token").alias("t"), F.col("token").alias("u"))).withColumn("step", F.lit(True))
+    near = near.unionByName(far).groupBy("t", "u").agg(F.max("step").alias("step"))
     freq = df.select(F.col("token").alias("u"), (F.col("df") <= rare).alias("u_rare"))
     near = settled(near.join(freq, "u"), "neighbours")
 
@@ -380,6 +381,8 @@ def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
     own = own.unionByName(_marked_keys(marked.filter("not t_rare").select("cls", "t", F.col("t").alias("u"), "lone"), False).select("key", F.col("cls").alias("y"), "u"))
     near = near.join(flags.select("t", "t_rare"), "t")
     reach = marked.select("cls", "t", "lone").join(near.filter("t_rare or not u_rare"), "t")
+    # two edits without a step need another token that agrees
+    reach = reach.filter("step or contains(cls, ' ')")
     reach, common = reach.filter("u_rare"), reach.filter("not u_rare")
     reach = reach.select(F.xxhash64("u").alias("key"), F.col("cls").alias("x"), "t")
     reach = reach.unionByName(_marked_keys(common.select("cls", "t", "u", "lone"), True).select("key", F.col("cls").alias("x"), "t"))

@@ -75,6 +75,10 @@ def test_two_slips_need_a_step(spark):
     assert _linked(spark, ["Krakraidreifoun", "Krakradreifoum"], [("Krakraidreifoum", "g")]) == [(0, 1)]
 
 
+def test_two_slips_beside_an_agreeing_word(spark):
+    assert _linked(spark, ["A. Krakraidreifoun", "Anthony Krakradreifoum", "Q. Krakradreifoum"]) == [(0, 1)]
+
+
 def test_copies_and_frequent_names(spark):
     many = [f"John Smith{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(60)] + ["John Smith", "J. Smith", "Jack Smith"] + [f"{n} Smith" for n in N.FORMAL] + ["Zed Quux"] * 40
     got = set(_linked(spark, many))
