@@ -11,14 +11,31 @@ import pytest
 from factloom.llm import forms, leak
 
 
-def test_suffix_array():
+@pytest.mark.parametrize("depth", [1, 13, 40, 1000])
+def test_suffix_array(depth):
     r = random.Random(0)
     ids = np.array([r.choice([-1, 0, 1, 2]) for _ in range(400)])
-    order = leak.suffix_array(ids)
-    keys = [tuple(ids[i : i + 16]) for i in order]
+    order = leak.suffix_array(ids, depth)
+    keys = [tuple(ids[i : i + depth]) for i in order]
     assert sorted(order) == list(range(400)) and keys == sorted(keys)
 
 
+@pytest.mark.parametrize("m", [1, 5, 13, 20, 24, 40])
+def test_any_threshold(spark, monkeypatch, m):
+    """Few words in long runs: matches that agree far beyond the first words."""
+    monkeypatch.setattr(leak, "SHARD_WORDS", 3000)
+    r = random.Random(m)
+    items = [(i, " ".join(r.choice("ab") for _ in range(r.choice([m - 1, m, m + 1, 60])))) for i in range(20)]
+    docs = []
+    for i in range(80):
+        w = r.choice(items)[1].split()
+        a, b = r.randrange(4), r.choice([m - 1, m, m + 3])
+        docs.append((i, " ".join([r.choice("ab") for _ in range(30)] + w[a : a + b] + [r.choice("abz") for _ in range(40)])))
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2), spark.createDataFrame(items, "item_id bigint, text string")
+    want = _brute(docs, items, m)
+    assert {(x.doc_id, x.item_id) for x in leak.leaks(d, q, min_words=m).collect()} == want and want
+
+
 def _brute(docs, items, m=13):
     grams = lambda w: {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
     d, q = {k: leak.words(t) for k, t in docs}, {k: leak.words(t) for k, t in items}
@@ -63,6 +80,8 @@ def test_leaks(spark, monkeypatch):
             assert x.n_words == _longest(w, v)
     monkeypatch.setattr(leak, "BLOCK_CHARS", 300)
     assert {(x.doc_id, x.item_id) for x in leak.leaks(d, q).collect()} == set(got)
+    monkeypatch.setattr(leak, "BLOCKS_A_PASS", 2)
+    assert {(x.doc_id, x.item_id) for x in leak.leaks(d, q).collect()} == set(got)
     clean = leak.without_leaks(d, leak.leaks(d, q))
     assert clean.count() == len(docs) + 1 - len({k for k, _ in got})
     assert leak.leaks(d.limit(0), q).count() == 0 and leak.leaks(d, q.limit(0)).count() == 0
