@@ -75,6 +75,16 @@ def test_pairs(spark, least, lift, chunk):
     assert got == _pairs(baskets, least, lift)
 
 
+def test_repeated_large_baskets_are_spread(spark):
+    """Chunk pairs of many equal baskets go to all partitions alike."""
+    rows = spark.range(300).withColumn("items", F.array(*[F.lit(f"i{k:03d}") for k in range(100)]))
+    plan = together.basket_pairs(rows, "id")
+    assert {x.n_ab for x in plan.collect()} == {300} and plan.count() == 100 * 99 // 2
+    dealt = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("x")).repartition(16, F.xxhash64("id", "x", F.lit(0)))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 3000 / 16
+
+
 def test_large_basket(spark):
     df = spark.createDataFrame([([f"i{k:04d}" for k in range(700)],), (["i0000", "i0699"],)], "items array<string>")
     out = together.associated(df)
