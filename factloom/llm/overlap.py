@@ -1,22 +1,26 @@
 """Same or near-same records across splits (problem 1).
 
-Method: each word of a record sets one bit of a code of 65536 bits, kept as the places of its set bits. Two word sets that
-differ in d words have codes within Hamming distance d, and a Jaccard similarity of at least t allows d <= (1-t)/(1+t) * (a+b)
-for sets of a and b words. The code is cut into r+2 blocks, r being the largest distance possible for the size class; codes
-within r agree in at least two blocks, so records of two splits that share the names and the content of any two blocks are
-candidates (the permuted codes: one for each pair of blocks). Where r is large, one agreeing block is enough to be one. Candidates within the Hamming radius of the code folded to 256 bits are verified on the word sets. Unlike sampled bits,
-word bits never lose a pair: the distance of codes, folded or not, is never above that of the sets.
+Method: each word of a record sets one bit of a code, kept as the places of its set bits (64-bit hashes) in order. Two word sets
+that differ in d words have codes within Hamming distance d, and a Jaccard similarity of at least t allows
+d <= (1-t)/(1+t) * (a+b) for sets of a and b words. The code of the held-out record is cut into r+1 segments of equal numbers of
+set bits, r being that largest distance; as every differing bit spoils one segment at most, one segment at least stands unbroken in
+the code of the other record. So records whose names agree, and of which one holds a segment of the other as a run of
+neighbouring set bits, are candidates. A segment always holds bits (about four), so no key says that something is absent, and the
+number of keys grows with the length of the texts only. Candidates within the Hamming radius of the code folded to 128 bits are
+verified on the word sets. Unlike sampled bits, word bits never lose a pair: the distance of codes, folded or not, is never above
+that of the sets.
 
 Records are compared as classes (same names, same word set), so copies are not paired with each other; the pairs of
 records are spelled out at the end only, as the result asks for them.
 
 Cases: null or wordless sentences and names match nothing; empty tables give no pairs; a record delivered again counts once;
-word sets of any size (the class grows with them); repeated records each come out.
+word sets of any size; repeated records each come out.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,24 +30,25 @@ from pyspark.sql import types as T
 
 from ..functions.folding import folded_words
 from ..operators.deliveries import once_per_key
-from ..session import settled
+from ..session import settled, tune
 
 SIMILARITY = 0.8
-#: Bits of the code, of the folded code, and of a word of it; the largest radius that is searched by pairs of blocks.
-BITS, FOLDED, WORD = 1 << 16, 256, 64
-PAIRED = 12
+#: Bits of the folded code and of a word of it; sizes of sets of one band are within the factor ``BAND``.
+FOLDED, WORD = 128, 64
+BAND = 1.06
 
 
 def _bits(words: Column) -> Column:
-    """Set bit positions of the code of a word set, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BITS)).cast("int"))))
+    """Places of the set bits of the code of a word set, ascending. Words of one hash, should there be any, keep a place each."""
+    return F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def _longs(bits: Column) -> list[Column]:
-    """The folded code as four longs."""
+    """The folded code as longs."""
+    low = F.transform(bits, lambda b: b.bitwiseAND(F.lit(FOLDED - 1)).cast("int"))
 
     def one(k: int) -> Column:
-        own = F.filter(bits, lambda b: F.floor(b % FOLDED / WORD) == k)
+        own = F.filter(low, lambda b: F.shiftright(b, 6) == k)
         return F.aggregate(own, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % WORD)))
 
     return [one(k) for k in range(FOLDED // WORD)]
@@ -55,47 +60,66 @@ def hamming(a: str, b: str) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def _size_class(n: Column, t: float) -> Column:
-    """Sizes within a factor 1/t differ by at most one class."""
-    return F.floor(F.log(n.cast("double")) / F.lit(-math.log(t)) + 1e-9).cast("int")
+def _band(n: int) -> int:
+    """Band of a set of ``n`` words."""
+    return math.floor(math.log(n) / math.log(BAND) + 1e-9)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _contents_of_long(bits: pd.Series, m: pd.Series) -> pd.Series:
-    """Content of each of many blocks, in one pass over the set bits: their hashes joined by exclusive or, mixed with the block's number."""
+@lru_cache(maxsize=65536)
+def _plan(b: int, t: float) -> tuple[tuple[int, int, int], ...]:
+    """For a set of ``b`` words: (band, number of segments, bits of a segment) for each band that similar sets can be in."""
+    lo, hi = max(1, math.ceil(t * b - 1e-9)), math.floor(b / t + 1e-9)
+    out = []
+    for band in range(_band(lo), _band(hi) + 1):
+        last = min(hi, math.floor(BAND ** (band + 1) + 1))
+        r = math.floor((1 - t) / (1 + t) * (b + last) + 1e-9)
+        if r < b:
+            out.append((band, r + 1, b // (r + 1)))
+    return tuple(out)
+
+
+@lru_cache(maxsize=65536)
+def _runs_of(a: int, t: float) -> tuple[int, ...]:
+    """Lengths of runs that the segments of similar sets can have in a set of ``a`` words."""
+    sizes = range(max(1, math.ceil(t * a - 1e-9)), math.floor(a / t + 1e-9) + 1)
+    return tuple(sorted({k for b in sizes for band, _, k in _plan(b, t) if band == _band(a)}))
+
 
-    def mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
+
+def _run_sums(at: np.ndarray) -> np.ndarray:
+    """Running sum of the bits' hashes, from 0: the content of the run [i, j) is the difference of both ends."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(at.view(np.uint64) + np.uint64(1)), dtype=np.uint64)])
+
+
+def _keys(bits: pd.Series, names: pd.Series, t: float, probing: bool) -> pd.Series:
+    """Keys of a code: its segments for each band, or all its runs of the lengths asked for in its own band."""
     out = []
-    for places, blocks in zip(bits, m):
-        if places is None:
-            out.append(None)
-            continue
-        at = np.asarray(places, np.int64)
-        held = np.zeros(int(blocks), np.uint64)
-        np.bitwise_xor.at(held, at * int(blocks) // BITS, mix(at.astype(np.uint64) + np.uint64(1)))
-        out.append(mix(held + np.arange(len(held), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+    for places, name in zip(bits, names):
+        n = len(places)
+        sums = _run_sums(np.ascontiguousarray(places, np.int64))
+        held = []
+        for band, count, k in _plan(n, t) if probing else [(_band(n), n - k + 1, k) for k in _runs_of(n, t)]:
+            start = np.arange(count) * k if probing else np.arange(count)
+            salt = np.uint64(((band << 20) ^ (k << 8)) & 0xFFFFFFFFFFFFFFFF)
+            held.append(_mix(_mix(sums[start + k] - sums[start]) + salt))
+        keys = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        out.append(np.unique(_mix(keys ^ np.uint64(name & 0xFFFFFFFFFFFFFFFF)).view(np.int64)))
     return pd.Series(out, dtype=object)
 
 
-def block_contents(bits: Column, cls: Column, t: float) -> Column:
-    """Content of each block of a code: a hash of its set bits. A set of a words is within (1-t)/t * a words of any similar
-    one, and a is below the upper end of its class; there are two blocks more than that. Long records, of many blocks, are worked through
-    in one pass in Python."""
-    most = F.floor(F.pow(F.lit(1 / t), cls + 1) * ((1 - t) / t) + 1e-6)
-    m = F.least(most + 2, F.lit(BITS)).cast("int")
-    few = F.transform(F.sequence(F.lit(0), m - 1), lambda s: F.xxhash64(s, F.filter(bits, lambda b: F.floor(b * m / BITS) == s)))
-    return F.when(most <= PAIRED, few).otherwise(_contents_of_long(F.when(most > PAIRED, bits), m))
+def block_keys(bits: Column, names: Column, t: float, probing: bool) -> Column:
+    """Keys of the segments of a code, or of the runs that such segments are looked for in. ``names`` is a long."""
 
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(bits: pd.Series, names: pd.Series) -> pd.Series:
+        return _keys(bits, names, t, probing)
 
-def block_keys(names: Column, content: Column, cls: Column) -> Column:
-    """Keys of all pairs of blocks of a code in one size class, or of its single blocks if there are many."""
-    pair = lambda x, s: F.transform(F.slice(content, s + 2, F.size(content)), lambda y: F.xxhash64(names, cls, x, y))
-    single = F.transform(content, lambda x: F.xxhash64(names, cls, x))
-    return F.when(F.size(content) <= PAIRED + 2, F.flatten(F.transform(content, pair))).otherwise(single)
+    return keys(bits, names)
 
 
 def prepared(records: DataFrame, key: str, split: str, a: str, b: str, text: str) -> DataFrame:
@@ -114,28 +138,27 @@ def prepared(records: DataFrame, key: str, split: str, a: str, b: str, text: str
 def similar_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(cls_a, cls_b, similarity): class pairs train x held-out with the same names and similar word sets."""
     t = similarity
+    tune(rows.sparkSession)
     classes = rows.groupBy("side", "names", "cls_key").agg(F.first("words").alias("words"))
     # names that stand on both sides; all other records end here
     sides = rows.groupBy("names").agg(F.min("side").alias("_lo"), F.max("side").alias("_hi")).filter("_lo < _hi").select("names")
-    live = settled(classes.join(sides, "names", "left_semi"), "classes")
-    bits = _bits(F.col("words"))
-    coded = live.select("side", "names", "cls_key", F.size("words").alias("n"), bits.alias("bits"))
-    coded = coded.select("side", "names", "cls_key", "n", "bits", _size_class(F.col("n"), t).alias("cls"), *[c.alias(f"f_{k}") for k, c in enumerate(_longs(F.col("bits")))])
+    live = classes.join(sides, "names", "left_semi")
+    # a class travels as a number, given as it is written
+    live = settled(live.withColumn("no", F.monotonically_increasing_id()), "classes")
     longs = [f"f_{k}" for k in range(FOLDED // WORD)]
 
-    def keyed(part: DataFrame, p: str) -> DataFrame:
-        part = part.select("names", "cls_key", "cls", "n", *longs, block_contents(F.col("bits"), F.col("cls"), t).alias("content"))
-        keyed = part.select("cls_key", "n", *longs, F.explode(F.array_distinct(block_keys(F.col("names"), F.col("content"), F.col("cls")))).alias("block"))
-        return keyed.select("block", F.col("cls_key").alias(f"cls_{p}"), F.col("n").alias(f"n_{p}"), *[F.col(c).alias(f"{p}{c[1:]}") for c in longs])
-
-    held = coded.filter("side = 1").withColumn("cls", F.explode(F.filter(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1), lambda c: c >= 0)))
-    a, b = keyed(coded.filter("side = 0"), "a"), keyed(held, "b")
-    near = a.join(b, "block").filter(hamming("a", "b") <= F.floor((F.col("n_a") + F.col("n_b")) * ((1 - t) / (1 + t)) + 1e-9))
-    near = near.select("cls_a", "cls_b").distinct()
-    wa = live.filter("side = 0").select(F.col("cls_key").alias("cls_a"), F.col("words").alias("wa"))
-    wb = live.filter("side = 1").select(F.col("cls_key").alias("cls_b"), F.col("words").alias("wb"))
+    def keyed(side: int, p: str) -> DataFrame:
+        part = live.filter(F.col("side") == side).select("no", F.xxhash64("names").alias("names"), F.size("words").alias("n"), _bits(F.col("words")).alias("bits"))
+        part = part.select("no", "names", "n", "bits", *[c.alias(f"f_{k}") for k, c in enumerate(_longs(F.col("bits")))])
+        part = part.select("no", "n", *longs, F.explode(block_keys(F.col("bits"), F.col("names"), t, side == 1)).alias("key"))
+        return part.withColumnsRenamed({c: f"{p}_{c}" for c in ("no", "n")} | {c: f"{p}{c[1:]}" for c in longs})
+
+    near = keyed(0, "a").join(keyed(1, "b"), "key").filter(hamming("a", "b") <= F.floor((F.col("a_n") + F.col("b_n")) * ((1 - t) / (1 + t)) + 1e-9))
+    near = near.select("a_no", "b_no").distinct()
+    wa = live.filter("side = 0").select(F.col("no").alias("a_no"), F.col("cls_key").alias("cls_a"), F.col("names").alias("na"), F.col("words").alias("wa"))
+    wb = live.filter("side = 1").select(F.col("no").alias("b_no"), F.col("cls_key").alias("cls_b"), F.col("names").alias("nb"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    out = near.join(wa, "cls_a").join(wb, "cls_b").select("cls_a", "cls_b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity"))
+    out = near.join(wa, "a_no").join(wb, "b_no").filter("na = nb").select("cls_a", "cls_b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity"))
     return out.filter(F.col("similarity") >= t - 1e-12)
 
 

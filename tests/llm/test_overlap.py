@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from factloom.functions.folding import fold_text
 from factloom.llm import overlap
 
@@ -72,3 +74,39 @@ def test_copies_and_report(spark):
     assert overlap.split_overlaps(df).count() == 900
     assert sorted(((r.split, r.source, r.n_records, r.n_pairs) for r in overlap.overlap_report(df).collect()), key=str) == [("test", "t", 2, 600), ("test", None, 1, 300)]
     assert overlap.split_overlaps(df.limit(0)).count() == 0
+
+
+def _candidates(spark, n):
+    """Candidate pairs of ``n`` records a side, of 100 words that don't overlap much, under one pair of names."""
+    r = random.Random(n)
+    vocab = [f"w{i}" for i in range(5000)]
+    common = [f"c{i}" for i in range(20)]
+    rows = []
+    for i in range(2 * n):
+        rows.append((i, "train" if i % 2 else "test", "s", "Al", "Bo", " ".join(r.sample(vocab, 90) + r.sample(common, 10)), "x", 1))
+    df = overlap.prepared(spark.createDataFrame(rows, SCHEMA), "rec_id", "split_name", "entas", "entbs", "sentences")
+    w = df.select("side", "rec_id", F.xxhash64("names").alias("names"), overlap._bits(F.col("words")).alias("bits"))
+    keys = lambda side: w.filter(F.col("side") == side).select("rec_id", F.explode(overlap.block_keys(F.col("bits"), F.col("names"), 0.8, side == 1)).alias("key"))
+    return keys(0).withColumnRenamed("rec_id", "other").join(keys(1), "key").select("rec_id", "other").distinct().count()
+
+
+def test_unrelated_records_of_one_pair_of_names_are_hardly_candidates(spark):
+    """Up to a million pairs of records share ten common words of a hundred; next to none may be compared."""
+    assert all(_candidates(spark, n) < n / 20 for n in (250, 500, 1000))
+
+
+def test_segments_find_all_similar_sets():
+    """A segment of one set is a run of the other whenever they are similar enough, at every size."""
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(8)
+    for n in [*range(1, 60), 100, 333, 1500, 5000]:
+        for _ in range(6):
+            a = {r.getrandbits(63) for _ in range(n)}
+            out, new = r.randrange(n // 5 + 1), r.randrange(n // 4 + 1)
+            b = set(sorted(a, key=lambda x: (x * 2654435761) % 1000003)[out:]) | {r.getrandbits(63) for _ in range(new)}
+            if not b or len(a & b) < 0.8 * len(a | b):
+                continue
+            key = lambda x, probing: set(overlap._keys(pd.Series([np.array(sorted(x), np.int64)]), pd.Series([7]), 0.8, probing)[0].tolist())
+            assert key(a, False) & key(b, True) and key(b, False) & key(a, True), (n, len(b))
