@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches are bounded in rows and in bytes, so that very long texts cannot fill a worker.
 ARROW_ROWS = 4000
@@ -90,6 +91,12 @@ def settled(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """``keep`` and the named columns, each worked out once. They come from a generator of one row, which filters don't pass: pushed below
+    a projection they would work out its expressions, Python functions too, a second time."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan whose rows cost much each, over all cores: where the files give fewer splits than there are cores, rows are dealt round;
     where they give enough, as any large table does, nothing is shuffled. Only for plain scans, whose splits are known before they run."""
