@@ -1,9 +1,12 @@
 """Visually identical text with different characters (problem 10).
 
 Method: every token that holds letters outside the Latin script is resolved by intersecting the script sets of its
-letters, where a look-alike letter also counts for the scripts it can stand for. That tells mixed-script tokens and
-whole-script look-alikes apart, and selects one spelling: Latin letters wherever a letter is shaped like one. The
-remaining differences (full width, composition, ligatures, invisible characters, kinds of space) are then normalised.
+letters, where a look-alike letter also counts for the scripts it can stand for. That tells tokens of mixed scripts and whole-script
+look-alikes apart, and selects the spelling: a token of one script stays as it is; one of mixed scripts is spelled in a script that
+can write all its letters (Latin first) if there is one; a whole-script look-alike is spelled in Latin letters. The remaining
+differences (full width, composition, ligatures, invisible characters, kinds of space) are then normalised. That is
+``consistent_spelling``. The form that texts are compared by goes one step further, ``consistent_form``: each letter of the spelling
+that is shaped like a Latin one becomes that letter, also within words of another script.
 
 Cases: null -> null; a text that shows nothing keeps its (possibly empty) form but joins no class; any length; line
 breaks, tabs, case, accents, digits, raised signs, punctuation and the number of spaces stay.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settled
+from ..session import once, settled, tune
 
 # Letters shaped like a Latin letter, by script.
 CYRILLIC_SHAPES = dict(zip("АВЕКМНОРСТУХІЈЅԌԚԜҮӀаеорсухіјѕһԁԛԝӏѵү", "ABEKMHOPCTYXIJSGQWYIaeopcyxijshdqwlvy"))
@@ -37,6 +41,10 @@ SCRIPT_OF_SHAPE = {c: s for s, t in (("Cyrl", CYRILLIC_SHAPES), ("Grek", GREEK_S
 SCRIPTS_OF_LATIN: dict[str, frozenset[str]] = {}
 for _c, _l in SHAPES.items():
     SCRIPTS_OF_LATIN[_l] = SCRIPTS_OF_LATIN.get(_l, frozenset({"Latn"})) | {SCRIPT_OF_SHAPE[_c]}
+#: For each script, its letter of each Latin shape, the first of several.
+LETTER_OF: dict[str, dict[str, str]] = {"Latn": {}}
+for _c, _l in SHAPES.items():
+    LETTER_OF.setdefault(SCRIPT_OF_SHAPE[_c], {}).setdefault(_l, _c)
 
 _NAMED = [(s, regex.compile(p)) for s, p in (("Latn", r"\p{Script=Latin}"), ("Cyrl", r"\p{Script=Cyrillic}"), ("Grek", r"\p{Script=Greek}"), ("Armn", r"\p{Script=Armenian}"), ("Cher", r"\p{Script=Cherokee}"), ("Jpan", r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]"))]
 _TOKEN = regex.compile(r"[\p{L}\p{M}]*[^\x00-\x7F\W\d_][\p{L}\p{M}]*")
@@ -56,25 +64,33 @@ def resolve(token: str) -> tuple[str, str]:
     """(spelling, kind) of a token of letters and marks.
 
     kind: ``single`` (one script and no whole-script look-alike), ``whole`` (all letters of one other script, all shaped
-    like Latin ones) or ``mixed`` (no script holds all its letters as written). The spelling has Latin letters for all
-    letters shaped like them.
+    like Latin ones) or ``mixed`` (no script holds all its letters as written). The spelling is of the one script that the resolved set
+    selects; a mixed token that no script can write stays.
     """
     base = unicodedata.normalize("NFD", token)
-    written: set[str] | None = None
+    written: set[str] = set()
     able: frozenset[str] | None = None
     for c in base:
         s = script_of(c)
         if s is None or s == "Zyyy":
             continue
-        written = {s} if written is None else written & {s}
+        written.add(s)
         can = SCRIPTS_OF_LATIN.get(SHAPES.get(c, c), frozenset({s}))
         able = can if able is None else able & can
-    if written is None:
-        return token, "single"
-    kind = "mixed" if not written else "whole" if "Latn" not in written and able and "Latn" in able else "single"
-    if not _SHAPED.search(base):
-        return token, kind
-    return unicodedata.normalize("NFC", _SHAPED.sub(lambda m: SHAPES[m.group()], base)), kind
+    if not able or written == {"Latn"} or len(written) == 1 and "Latn" not in able:
+        return token, "mixed" if len(written) > 1 else "single"
+    script = "Latn" if "Latn" in able else min(able)
+    own = LETTER_OF[script]
+    spelled = "".join(c if script_of(c) in (script, None, "Zyyy") else own.get(SHAPES.get(c, c), SHAPES.get(c, c)) for c in base)
+    return unicodedata.normalize("NFC", spelled), "mixed" if len(written) > 1 else "whole"
+
+
+@lru_cache(maxsize=65536)
+def _shown(token: str) -> str:
+    """The spelling of a token, with a Latin letter for each letter shaped like one."""
+    spelling = resolve(token)[0]
+    base = unicodedata.normalize("NFD", spelling)
+    return unicodedata.normalize("NFC", _SHAPED.sub(lambda m: SHAPES[m.group()], base)) if _SHAPED.search(base) else spelling
 
 
 def _single(c: str) -> str | None:
@@ -103,22 +119,37 @@ class _Shown(dict):
 _TABLE = _Shown()
 
 
+def _normal(text: str) -> str:
+    """Each character but the look-alikes replaced by what it shows."""
+    out = text.translate(_TABLE)
+    return out if out.isascii() else unicodedata.normalize("NFC", out)
+
+
+def _spelled(normal: str, spell: Callable[[str], str]) -> str:
+    return normal if normal.isascii() else unicodedata.normalize("NFC", _TOKEN.sub(lambda m: spell(m.group()), normal))
+
+
+def consistent_spelling(text: str | None) -> str | None:
+    """The text with every token in one script where its letters allow it; words of other alphabets stay in theirs."""
+    if text is None or (text.isascii() and text.isprintable()):
+        return text
+    return _spelled(_normal(text), lambda t: resolve(t)[0])
+
+
 def consistent_form(text: str | None) -> str | None:
-    """The text as it looks, each character replaced by what it shows."""
+    """The text as it looks, each character replaced by what it shows: the consistent spelling, with Latin letters for all that are shaped
+    like them."""
     if text is None or (text.isascii() and text.isprintable()):
         return text
-    out = text.translate(_TABLE)
-    if out.isascii():
-        return out
-    out = unicodedata.normalize("NFC", out)
-    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: resolve(m.group())[0], out))
+    return _spelled(_normal(text), _shown)
 
 
 def _report(text: str | None) -> tuple:
     if text is None:
-        return None, None, None
-    kinds = [] if text.isascii() else [resolve(t)[1] for t in _TOKEN.findall(unicodedata.normalize("NFC", text.translate(_TABLE)))]
-    return consistent_form(text), kinds.count("mixed"), kinds.count("whole")
+        return None, None, None, None
+    normal = _normal(text)
+    kinds = [] if normal.isascii() else [resolve(t)[1] for t in _TOKEN.findall(normal)]
+    return _spelled(normal, _shown), _spelled(normal, lambda t: resolve(t)[0]), kinds.count("mixed"), kinds.count("whole")
 
 
 @F.pandas_udf(T.StringType())
@@ -126,9 +157,12 @@ def _form_udf(s: pd.Series) -> pd.Series:
     return s.map(consistent_form)
 
 
-@F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("n_mixed", T.IntegerType()), T.StructField("n_whole", T.IntegerType())]))
+_REPORT = T.StructType().add("form", "string").add("spelling", "string").add("n_mixed", "integer").add("n_whole", "integer")
+
+
+@F.pandas_udf(_REPORT)
 def _report_udf(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_report(x) for x in s], columns=["form", "n_mixed", "n_whole"]).astype({"n_mixed": "Int32", "n_whole": "Int32"})
+    return pd.DataFrame([_report(x) for x in s], columns=_REPORT.names).astype({"n_mixed": "Int32", "n_whole": "Int32"})
 
 
 #: Texts that are their own form: printable ASCII, tabs and line breaks.
@@ -141,22 +175,20 @@ def form_of(col: Column) -> Column:
 
 
 def with_forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, form, n_mixed, n_whole): each text in its one form, with its tokens of mixed scripts and of whole-script look-alikes."""
+    """(key, form, spelling, n_mixed, n_whole): each text in its one form and in its consistent spelling, with its tokens of mixed scripts and
+    of whole-script look-alikes."""
+    tune(docs.sparkSession)
     col = F.col(text)
-    r = _report_udf(F.when(col.rlike(_PLAIN), col))
-    return docs.select(F.col(key), col.alias("_t"), r.alias("_r")).select(
-        key, F.coalesce(F.col("_r.form"), "_t").alias("form"), *[F.coalesce(F.col(f"_r.{c}"), F.when(F.col("_t").isNotNull(), F.lit(0))).alias(c) for c in ("n_mixed", "n_whole")]
-    )
+    rows = once(docs.select(F.col(key), col.alias("_t")), key, "_t", _r=_report_udf(F.when(F.col("_t").rlike(_PLAIN), F.col("_t"))))
+    count = lambda c: F.coalesce(F.col(f"_r.{c}"), F.when(F.col("_t").isNotNull(), F.lit(0))).alias(c)
+    return rows.select(key, *[F.coalesce(F.col(f"_r.{c}"), "_t").alias(c) for c in ("form", "spelling")], count("n_mixed"), count("n_whole"))
 
 
 def form_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, form_key, text_key): 128-bit digests of form and text. Documents whose text is null or shows nothing are left out."""
-    form = form_of(F.col(text))
-    return (
-        docs.select(F.col(key), F.col(text).alias("_t"), form.alias("_f"))
-        .filter(F.col("_f").rlike(r"[^\s\x85\u2028\u2029]"))
-        .select(key, F.unhex(F.md5("_f")).alias("form_key"), F.unhex(F.md5("_t")).alias("text_key"))
-    )
+    tune(docs.sparkSession)
+    rows = once(docs.select(F.col(key), F.col(text).alias("_t")).filter("_t is not null"), key, "_t", _f=form_of(F.col("_t")))
+    return rows.filter(F.col("_f").rlike(r"[^\s\x85\u2028\u2029]")).select(key, F.unhex(F.md5("_f")).alias("form_key"), F.unhex(F.md5("_t")).alias("text_key"))
 
 
 def same_form_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,10 +198,10 @@ def same_form_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     themselves, so the work follows the result even if one class holds a third of all rows (AQE splits its partitions).
     """
     rows = settled(form_classes(docs, key, text), "forms")
-    texts = rows.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    many = texts.groupBy("form_key").agg(F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1").select("form_key")
+    kinds = rows.select("form_key", "text_key").distinct()
+    many = kinds.groupBy("form_key").agg(F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1").select("form_key")
     # the members of forms with more than one text; everything else ends here
-    live = rows.join(many, "form_key", "left_semi")
+    live = settled(rows.join(many, "form_key", "left_semi"), "alike")
     kinds = live.select("form_key", "text_key").distinct()
     pairs = kinds.select("form_key", F.col("text_key").alias("ta")).join(kinds.select("form_key", F.col("text_key").alias("tb")), "form_key").filter("ta < tb")
     a = live.select("form_key", F.col("text_key").alias("ta"), F.col(key).alias("_a"))

@@ -112,6 +112,20 @@ def test_scripts():
     assert forms.resolve("漢字かな") == ("漢字かな", "single")
 
 
+SPELLINGS = [
+    ("вода мост", "вода мост", "вoдa мocт", 0, 0), ("вoда", "вода", "вoдa", 1, 0), ("Жf", "Жf", "Жf", 1, 0), ("сор", "cop", "cop", 0, 1), ("Lеs été", "Les été", "Les été", 1, 0), ("Bοb", "Bob", "Bob", 1, 0),
+    ("μοre", "μοre", "μore", 1, 0), ("λόγoς", "λόγος", None, 1, 0),
+]
+
+
+@pytest.mark.parametrize("text,spelling,form,mixed,whole", SPELLINGS)
+def test_spelling_is_of_the_resolved_script(text, spelling, form, mixed, whole):
+    assert forms.consistent_spelling(text) == spelling
+    got = forms._report(text)
+    assert got[1:] == (spelling, mixed, whole) and got[0] == forms.consistent_form(text) and (form is None or got[0] == form)
+    assert forms.consistent_form(spelling) == got[0]
+
+
 def test_pairs(spark):
     rows = [(1, "café x"), (2, "café x"), (3, "café x"), (4, "саfé x"), (5, None), (6, ""), (7, "​"), (8, " 　\n"), (9, "other"), (10, "y" * 100_000), (11, "y" * 100_000 + "​"), (12, "Café x")]
     df = spark.createDataFrame([(*r, "q") for r in rows] + [(None, "café x", "q")], "doc_id bigint, text string, form_key string")
