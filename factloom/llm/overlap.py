@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.folding import folded_words
 from ..operators.deliveries import once_per_key
-from ..session import settled, tune
+from ..session import once, settled, tune
 
 SIMILARITY = 0.8
 #: Bits of the folded code and of a word of it; sizes of sets of one band are within the factor ``BAND``.
@@ -126,12 +126,13 @@ def prepared(records: DataFrame, key: str, split: str, a: str, b: str, text: str
     """(key, side, split, names, cls_key, words): records that can match, with a digest of names and of names plus words."""
     one = once_per_key(records.select(key, split, a, b, text), key)
     side = F.when(F.col(split) == "train", 0).when(F.col(split).isin("validation", "test"), 1)
-    w = one.filter(side.isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(text).isNotNull()).select(
-        key, F.col(split).alias("split"), side.alias("side"), F.array_join(F.array_sort(folded_words(F.col(a))), " ").alias("_a"), F.array_join(F.array_sort(folded_words(F.col(b))), " ").alias("_b"),
-        F.array_sort(F.array_distinct(folded_words(F.col(text)))).alias("words"),
-    )
-    w = w.filter((F.col("_a") != "") & (F.col("_b") != "") & (F.size("words") > 0))
-    names = F.concat_ws("\n", F.least("_a", "_b"), F.greatest("_a", "_b"))
+    named = lambda c: F.array_join(F.array_sort(folded_words(F.col(c))), " ")
+    w = one.filter(side.isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(text).isNotNull())
+    w = w.select(key, F.col(split).alias("split"), side.alias("side"), F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(text).alias("_t"))
+    a, b, text = "_a", "_b", "_t"
+    w = once(w, key, "split", "side", a=named(a), b=named(b), words=F.array_sort(F.array_distinct(folded_words(F.col(text)))))
+    w = w.filter((F.col("a") != "") & (F.col("b") != "") & (F.size("words") > 0))
+    names = F.concat_ws("\n", F.least("a", "b"), F.greatest("a", "b"))
     return w.select(key, "split", "side", F.unhex(F.md5(names)).alias("names"), F.unhex(F.md5(F.concat_ws("\n", names, F.array_join("words", " ")))).alias("cls_key"), "words")
 
 
@@ -139,10 +140,11 @@ def similar_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """(cls_a, cls_b, similarity): class pairs train x held-out with the same names and similar word sets."""
     t = similarity
     tune(rows.sparkSession)
-    classes = rows.groupBy("side", "names", "cls_key").agg(F.first("words").alias("words"))
     # names that stand on both sides; all other records end here
     sides = rows.groupBy("names").agg(F.min("side").alias("_lo"), F.max("side").alias("_hi")).filter("_lo < _hi").select("names")
-    live = classes.join(sides, "names", "left_semi")
+    live = rows.join(sides, "names", "left_semi")
+    # not by names, which would put all records of one pair of names into one task
+    live = live.groupBy("side", "cls_key").agg(F.first("names").alias("names"), F.first("words").alias("words"))
     # a class travels as a number, given as it is written
     live = settled(live.withColumn("no", F.monotonically_increasing_id()), "classes")
     longs = [f"f_{k}" for k in range(FOLDED // WORD)]
