@@ -1,12 +1,12 @@
 """Variant spellings of names typed by people (problem 7).
 
 Method: trie join. Names are folded, abbreviations and nicknames are spelled out, titles left out; names with the same
-tokens in any order are one class. The distinct tokens are sharded by (length, segment, place): of three segments of a
-token, one edit (also a swap of neighbours) leaves at least one whole. Each shard's tokens form a trie, which the probing
-tokens traverse as Levenshtein automata with the edits that are left; that enumerates all neighbours within one edit. Two
-tokens two edits apart are near through a token on record that is one edit from both; those of six letters or more also by
-themselves (they agree with up to two letters left out), in names whose other tokens agree. Classes that share a rare token or a neighbour of one are then compared over all orders of their
-remaining tokens: initials against full names, missing middle initials, missing legal forms, at most two edits in all.
+tokens in any order are one class. The distinct tokens are sharded by length and a pair of three segments, of which one edit
+(also a swap of neighbours) leaves two whole. Each shard's tokens form a trie, which the probing tokens traverse as Levenshtein
+automata with one edit to spend; that enumerates all neighbours within one edit. Two tokens two edits apart are near through a
+token on record that is one edit from both; those of six letters or more also by themselves (they agree with up to two letters
+left out), in names whose other tokens agree. Classes that share a rare token or a neighbour of one are then compared over all
+orders of their remaining tokens: initials against full names, missing middle initials, missing legal forms, at most two edits in all.
 
 Tokens in more than ``RARE`` classes are shared words (first names, trades, legal forms, much-named persons); they alone don't
 make candidates. Every name is also joined on each such word, or on one that a slip made of it, together with a mark of
@@ -25,12 +25,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.folding import fold_text
-from ..session import settled, tune
+from ..session import once, settled, spread, tune
 
 RARE = 50
 MIN_TOKEN = 4
@@ -161,47 +161,61 @@ class Trie:
         return found
 
 
-def segments(n: int) -> list[tuple[int, int]]:
-    """(start, end) of the three segments of a token of ``n`` letters."""
-    return [(n * i // 3, n * (i + 1) // 3) for i in range(3)]
+def shard_rows(token: Column) -> Column:
+    """Array of (shard, kind, token): where a token is indexed (kind 0), and where it probes (kind 1).
 
+    One edit leaves two of the three segments whole, so a shard is named by a pair of segments: it holds only tokens that differ in the
+    third, and no ending or beginning that many tokens share makes a large one. A token probes those of its own length, and those of one
+    letter less, whose later segments stand one place further on in it. A swap across the border of two segments is looked for as
+    the swapped token.
+    """
+    n = F.length(token)
+    third = lambda m, i: F.floor(m * i / 3).cast("int")
 
-def shard_rows(token: str) -> list[tuple[str, int, str]]:
-    """(shard, kind, token): where a token is indexed (kind 0), and where it probes (kind 1) tokens of its own length or one
-    letter less, whose segments may stand one place further on in it."""
-    n = len(token)
-    rows = [(f"{n}.{i}.{token[a:b]}", k, token) for i, (a, b) in enumerate(segments(n)) for k in (0, 1)]
-    for i, (a, b) in enumerate(segments(n - 1)):
-        rows += [(f"{n - 1}.{i}.{x}", 1, token) for x in {token[a:b], token[a + 1 : b + 1]}]
-    return rows
+    def row(word: Column, m: Column, kind: int, moves: tuple[int | None, ...]) -> Column:
+        parts = [F.substring(word, third(m, i) + 1 + by, third(m, i + 1) - third(m, i)) for i, by in enumerate(moves) if by is not None]
+        name = F.lit("".join("-" if by is None else "+" for by in moves))
+        return F.struct(F.xxhash64(m, name, *parts).alias("shard"), F.lit(kind).alias("kind"), token.alias("token"))
+
+    own = [(0, 0, None), (0, None, 0), (None, 0, 0)]
+    rows = [row(token, n, kind, moves) for moves in own for kind in (0, 1)]
+    rows += [row(token, n - 1, 1, moves) for moves in ((0, 0, None), (0, None, 1), (None, 1, 1))]
+    for i in (1, 2):
+        at = third(n, i)
+        swapped = F.concat(F.substring(token, F.lit(1), at - 1), F.substring(token, at + 1, F.lit(1)), F.substring(token, at, F.lit(1)), F.substring(token, at + 2, n))
+        rows.append(row(swapped, n, 1, (0, 0, None)))
+    return F.array(*rows)
 
 
 def _near_in_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shard and kind -> pairs of tokens within one edit."""
-    now, trie = None, Trie()
+    """Rows sorted by shard and kind -> pairs of tokens within one edit. A shard of one indexed token needs no trie."""
+    now, trie, first = None, None, None
     for pdf in batches:
         out = []
-        for shard, kind, token in zip(pdf["shard"], pdf["kind"], pdf["token"]):
+        for shard, kind, token in zip(pdf["shard"].to_numpy(), pdf["kind"].to_numpy(), pdf["token"].to_numpy()):
             if shard != now:
-                now, trie = shard, Trie()
+                now, trie, first = shard, None, None
             if kind == 0:
-                trie.add(token)
-            elif trie.root:
+                if first is None:
+                    first = token
+                elif token != first:
+                    if trie is None:
+                        trie = Trie()
+                        trie.add(first)
+                    trie.add(token)
+            elif trie is not None:
                 out += [(token, x) for x in trie.near(token, 1) if x != token]
+            elif first is not None and token != first and edits(token, first, 1) == 1:
+                out.append((token, first))
         yield pd.DataFrame(out, columns=["t", "u"], dtype=object)
 
 
 def near_tokens(tokens: DataFrame) -> DataFrame:
-    """(t, u): ordered pairs of distinct tokens of the column ``token`` within one edit of each other."""
+    """(t, u): ordered pairs of distinct tokens of the column ``token``, of at least three letters, within one edit of each other."""
     tune(tokens.sparkSession)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([r for t in pdf["token"] for r in shard_rows(t)], columns=["shard", "kind", "token"])
-
-    rows = tokens.select("token").mapInPandas(spread, "shard string, kind int, token string")
+    rows = tokens.select(F.inline(shard_rows(F.col("token"))))
     half = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInPandas(_near_in_shards, "t string, u string")
-    return half.unionByName(half.select(F.col("u").alias("t"), F.col("t").alias("u"))).distinct()
+    return half.select(F.inline(F.array(F.struct("t", "u"), F.struct(F.col("u").alias("t"), F.col("t").alias("u"))))).distinct()
 
 
 def without(s: str, most: int) -> set[str]:
@@ -213,19 +227,24 @@ def without(s: str, most: int) -> set[str]:
     return out
 
 
+def rests(token: Column) -> Column:
+    """Array of the hashes of ``token`` with up to two letters left out, each once."""
+    n = F.length(token)
+    cut = lambda i, j: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, j - i - 1), F.substring(token, j + 1, n))
+    # places from 1; n + 1 stands for no letter, so all pairs i < j up to n + 2 are: two letters, one, none
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.transform(F.sequence(i + 1, n + 2), lambda j: F.xxhash64(cut(i, j)))))
+    return F.array_distinct(pairs)
+
+
 def two_apart(tokens: DataFrame) -> DataFrame:
     """(t, u): ordered pairs of tokens of the column ``token``, of six letters or more, that are two edits apart."""
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(x, t) for t in pdf["token"] for x in without(t, 2)], columns=["rest", "t"], dtype=object)
-
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.loc[[edits(t, u) == 2 for t, u in zip(pdf["t"], pdf["u"])]]
 
-    rests = tokens.filter("length(token) >= 6").select("token").mapInPandas(spread, "rest string, t string").select(F.xxhash64("rest").alias("rest"), "t")
-    pairs = rests.join(rests.withColumnRenamed("t", "u"), "rest").filter("t < u").select("t", "u").distinct()
+    left = tokens.filter("length(token) >= 6").select(F.explode(rests(F.col("token"))).alias("rest"), F.col("token").alias("t"))
+    pairs = left.join(left.withColumnRenamed("t", "u"), "rest").filter("t < u").select("t", "u").distinct()
     half = settled(pairs.mapInPandas(exact, "t string, u string"), "two-apart")
     return half.unionByName(half.select(F.col("u").alias("t"), F.col("t").alias("u")))
 
@@ -354,7 +373,8 @@ def name_classes(names: DataFrame) -> DataFrame:
     def cls(s: pd.Series) -> pd.Series:
         return s.map(lambda n: " ".join(sorted(name_tokens(n))))
 
-    return names.filter(F.col("name").isNotNull()).withColumn("cls", cls("name")).filter("cls <> ''").drop("name")
+    tune(names.sparkSession)
+    return once(names.filter(F.col("name").isNotNull()), *[c for c in names.columns if c not in ("name", "cls")], cls=cls("name")).filter("cls <> ''")
 
 
 def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
@@ -362,10 +382,10 @@ def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
     all_tokens = F.array_distinct(F.split("cls", " "))
     flat = settled(classes.select("cls", F.explode(all_tokens).alias("token")).filter("length(token) > 1 and not startswith(token, '.')"), "tokens")
     df = settled(flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
-    one = settled(near_tokens(df.filter(F.length("token") >= MIN_TOKEN)), "near")
+    one = settled(near_tokens(spread(df).filter(F.length("token") >= MIN_TOKEN)), "near")
     # two steps through a token on record; a token is near itself
     two = one.select("t", F.col("u").alias("m")).join(one.select(F.col("t").alias("m"), "u"), "m").filter("t <> u").select("t", "u")
-    far = two_apart(df).withColumn("step", F.lit(False))
+    far = two_apart(spread(df)).withColumn("step", F.lit(False))
     near = one.unionByName(two).unionByName(df.select(F.col("token").alias("t"), F.col("token").alias("u"))).withColumn("step", F.lit(True))
     near = near.unionByName(far).groupBy("t", "u").agg(F.max("step").alias("step"))
     freq = df.select(F.col("token").alias("u"), (F.col("df") <= rare).alias("u_rare"))

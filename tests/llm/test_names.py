@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import names as N
 
@@ -48,6 +49,24 @@ OTHER = [
 ]
 
 
+def test_two_apart(spark):
+    r = random.Random(3)
+    words = set()
+    for _ in range(120):
+        w = "".join(r.choice("abcde") for _ in range(r.randrange(6, 12)))
+        words |= {w, w[1:-1], w[:3] + "xy" + w[3:], w[1] + w[0] + w[2:-2] + w[-1] + w[-2], "y" + w[:-1]}
+    words = {w for w in words if len(w) >= 6}
+    got = {(x.t, x.u) for x in N.two_apart(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    assert got == {(a, b) for a in words for b in words if N.edits(a, b) == 2}
+
+
+def test_shared_endings_make_no_large_shard(spark):
+    """Tokens of one ending are spread over shards."""
+    words = [f"{a}{b}{c}{d}ison" for a in "bcdfg" for b in "aeiou" for c in "klmnp" for d in "aeiou"]
+    rows = spark.createDataFrame([(w,) for w in words], "token string").select(F.inline(N.shard_rows(F.col("token"))))
+    assert rows.filter("kind = 0").groupBy("shard").count().agg(F.max("count")).first()[0] <= 25
+
+
 def _linked(spark, ents, said=()):
     e = spark.createDataFrame([(i, n, "junk") for i, n in enumerate(ents)], "ent_key bigint, ent_name string, cls string")
     m = spark.createDataFrame([(1000 + i, n, g, 0) for i, (n, g) in enumerate(said)], "mention_key bigint, label string, entity string, side int")
