@@ -1,27 +1,32 @@
 """A few keys holding most records (problem 3): fragment-replicate by estimated load.
 
-Each key's load is counted (a partial count in every map task, so a dominant key costs one row of each); keys above a share of
+The loads of the heaviest keys are estimated by a mergeable sketch in one pass that shuffles no keys. Keys above a share of
 a task's fair load are split into proportionate shards, shards and remaining keys are packed into as many bins as there are
-tasks, and the rows go to their bin. Of a join, the matching side is replicated to the shards of the split keys only.
+tasks, and the rows go to their bin. Of a join, the matching side is replicated to the shards of the split keys only. Of an
+aggregate, rows are combined per key in the tasks that read them, so that only partial results travel to the bins. The estimates
+steer where work is done; results are exact.
 
 The plan holds keys of at least ``1 / PARTS`` of a fair load only, so at most ``PARTS * tasks`` of them, whatever the
 input; all other keys are light and spread by hash.
 
 Cases: a null key is a key of its own in an aggregate and matches nothing in a join; an empty table has an empty plan; a single
-key that holds everything becomes one shard for each task.
+key that holds everything becomes one shard for each task. Keys must be atomic values.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import settled
+from ..session import tune
 from .naming import free
 
 #: Keys of at least 1 / PARTS of a task's fair load are placed one by one.
@@ -38,17 +43,27 @@ class Plan:
     key_type: T.DataType
 
 
-def loads(df: DataFrame, key: str) -> DataFrame:
-    """(key, load): rows of each key, null too."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("load"))
+def loads(df: DataFrame, key: str, most: int) -> tuple[int, list[tuple[object, int]]]:
+    """Rows of ``df``, and the estimated rows of its (up to ``most``) heaviest keys, null too, heaviest first.
+
+    The sketch tracks 16 keys for each one asked for, so an estimate is off by a small part of the load of the least of them.
+    """
+    tracked = min(1_000_000, max(4096, 16 * most))
+    top = F.expr(f"approx_top_k(k, {min(most, tracked)}, {tracked})").alias("top")
+    rows = df.select(F.col(key).alias("k"))
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k").isNull()).alias("n_null"), top).first()
+    found = row["top"] or []
+    pairs = [(r["item"], r["count"]) for r in found if r["item"] is not None]
+    if row["n_null"]:
+        pairs.append((None, row["n_null"]))
+    return row["n"], sorted(pairs, key=lambda p: (-p[1], str(p[0])))[:most]
 
 
 def plan(df: DataFrame, key: str, tasks: int) -> Plan:
     """Split and pack the heavy keys of ``df`` over ``tasks`` bins, largest shard first into the emptiest bin."""
-    counted = settled(loads(df, key), "loads")
-    total = counted.agg(F.sum("load")).first()[0] or 0
+    total, found = loads(df, key, PARTS * tasks)
     fair = max(1.0, total / tasks)
-    heavy = counted.filter(F.col("load") >= F.lit(max(2.0, fair / PARTS))).orderBy(F.col("load").desc(), key).collect() if total else []
+    heavy = [{key: k, "load": n} for k, n in found if n >= max(2.0, fair / PARTS)]
     pieces = []
     for i, row in enumerate(heavy):
         shards = min(tasks, math.ceil(row["load"] / fair))
@@ -84,7 +99,7 @@ def placed(df: DataFrame, key: str, p: Plan, bin_: str, shard: str) -> DataFrame
 
 
 def fragment(df: DataFrame, key: str, p: Plan, bin_: str, shard: str) -> DataFrame:
-    """``placed`` rows, each bin in a partition of its own: for per-key work that needs the rows themselves."""
+    """``placed`` rows, each bin in a partition of its own."""
     return placed(df, key, p, bin_, shard).repartitionById(p.tasks, F.col(bin_))
 
 
@@ -98,19 +113,55 @@ def replicate(df: DataFrame, key: str, p: Plan, bin_: str, shard: str) -> DataFr
     return out.repartitionById(p.tasks, F.col(bin_))
 
 
+#: Partial results that a task holds before it passes them on.
+HELD = 1 << 16
+
+
+def combined(df: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
+    """Rows combined per key within each task, without a shuffle: one partial result for each key, or several where a task meets more than
+    ``HELD`` keys. The columns are ``key`` and those of ``kinds`` (count, sum, min or max of the column itself)."""
+    tune(df.sparkSession)
+    f = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    schema = df.groupBy(key).agg(*[f[kind](n).alias(n) for n, kind in kinds.items()]).schema
+    names = [key, *kinds]
+    target = to_arrow_schema(schema)
+
+    def grouped(table: pa.Table, how: dict[str, str]) -> pa.Table:
+        out = table.group_by(key, use_threads=False).aggregate([(n, how[n]) for n in kinds])
+        return out.select([key, *[f"{n}_{how[n]}" for n in kinds]]).rename_columns(names).cast(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = {n: "sum" if kind == "count" else kind for n, kind in kinds.items()}
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            held.append(grouped(pa.Table.from_batches([batch]).rename_columns(names), kinds))
+            size += held[-1].num_rows
+            if size > HELD:
+                held = [grouped(pa.concat_tables(held), merge)]
+                size = held[0].num_rows
+                if size > HELD // 2:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from grouped(pa.concat_tables(held), merge).to_batches()
+
+    return df.select(*names).mapInArrow(run, schema)
+
+
 def balanced_aggregate(df: DataFrame, key: str, aggs: dict[str, tuple[Column, str]], tasks: int, p: Plan | None = None) -> DataFrame:
     """Per key: ``aggs`` maps a result name to (value, kind), kind in count, sum, min, max.
 
-    Rows are combined per key and shard in the tasks that read them, so that only partial results are shuffled, a split key's to as many
-    places as it has shards; the shards of a key are combined in a second, tiny step.
+    Rows are combined per key in the tasks that read them. The partial results go to their bins, a split key's dealt round its shards; each
+    bin adds up its own, and the shards of a key are combined in a second, tiny step.
     """
     p = p or plan(df, key, tasks)
     b, s = free([key, *aggs], "_bin", "_shard")
-    f = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    kinds = {n: kind for n, (_, kind) in aggs.items()}
     again = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-    part = placed(df.select(key, *[v.alias(n) for n, (v, _) in aggs.items()]), key, p, b, s)
-    local = part.groupBy(key, b, s).agg(*[f[kind](n).alias(n) for n, (_, kind) in aggs.items()])
-    return local.groupBy(key).agg(*[again[kind](n).alias(n) for n, (_, kind) in aggs.items()])
+    merge = [again[kind](n).alias(n) for n, kind in kinds.items()]
+    part = combined(df.select(key, *[v.alias(n) for n, (v, _) in aggs.items()]), key, kinds)
+    return fragment(part, key, p, b, s).groupBy(key, b, s).agg(*merge).groupBy(key).agg(*merge)
 
 
 def balanced_join(left: DataFrame, right: DataFrame, key: str, tasks: int, how: str = "inner") -> DataFrame:
