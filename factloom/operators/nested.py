@@ -10,6 +10,8 @@ that an input lacks are null; columns that would clash get a trailing underscore
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,10 +70,29 @@ def _free(name: str, taken: set[str]) -> str:
     return name
 
 
-def flatten(df: DataFrame, key: list[str], root: str = "root") -> dict[str, DataFrame]:
+def pruned(schema: T.StructType, paths: list[str]) -> T.StructType:
+    """The part of a schema that the dotted ``paths`` name, through structs and arrays; for reading no more than that."""
+
+    def part(kind: T.DataType, tails: list[str]) -> T.DataType:
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(part(kind.elementType, tails), kind.containsNull)
+        if not isinstance(kind, T.StructType) or "" in tails:
+            return kind
+        heads: dict[str, list[str]] = {}
+        for t in tails:
+            head, _, rest = t.partition(".")
+            heads.setdefault(head, []).append(rest)
+        return T.StructType([T.StructField(f.name, part(f.dataType, heads[f.name]), f.nullable) for f in kind.fields if f.name in heads])
+
+    return part(schema, paths)
+
+
+def flatten(df: DataFrame, key: list[str], root: str = "root", carry: dict[str, dict[str, Callable[[Column], Column]]] | None = None) -> dict[str, DataFrame]:
     """Path of each level -> flat table. ``key`` identifies a row of ``df``. The table of ``a.b`` has the key columns, the
     ordinals ``a_no`` and ``a.b``'s own ``b_no``, the scalar fields of its elements (``value`` for an array of scalars) and
-    ``<array>_size`` for each array below. Lazy: a table that isn't used costs nothing, and a scan reads its fields only."""
+    ``<array>_size`` for each array below. ``carry`` names, for a path, columns that its table takes over from the parent's element (for what
+    would otherwise need a join with it). Lazy: a table that isn't used costs nothing, and a scan reads its fields only."""
+    carry = carry or {}
     tables: dict[str, DataFrame] = {}
 
     def table(path: str, rows: DataFrame, keys: list[str], at: str | None, kind: T.StructType) -> None:
@@ -95,9 +116,10 @@ def flatten(df: DataFrame, key: list[str], root: str = "root") -> dict[str, Data
         for name, c, short, element in below:
             child = name if path == root else f"{path}.{name}"
             no = _free(f"{short}_no", set(keys))
-            step = rows.select(*keys, F.posexplode(c).alias(no, "_e"))
+            over = {n: f(F.col(at)) for n, f in carry.get(child, {}).items()} if at else {}
+            step = rows.select(*keys, *[x.alias(n) for n, x in over.items()], F.posexplode(c).alias(no, "_e"))
             if isinstance(element, T.StructType):
-                table(child, step, [*keys, no], "_e", element)
+                table(child, step, [*keys, no, *over], "_e", element)
             elif isinstance(element, T.ArrayType):
                 inner = step.select(*keys, no, F.struct(F.col("_e").alias("items")).alias("_e"))
                 table(child, inner, [*keys, no], "_e", T.StructType([T.StructField("items", element)]))
@@ -108,19 +130,29 @@ def flatten(df: DataFrame, key: list[str], root: str = "root") -> dict[str, Data
     return tables
 
 
-def mention_tokens(tables: dict[str, DataFrame], key: str, row: str | None = None) -> DataFrame:
-    """(key, sent_no, mention_id, tok_no, head_no) of each token inside a mention of its sentence. ``row`` is a key column of the
-    tables that is never null and differs for each root row; needed where ``key`` can be null.
+#: What a mention's row takes over from its sentence, so that its tokens need no join.
+OF_SENTENCE = {"sentences.mentions": {"_n": lambda s: s["tokens_size"], "_heads": lambda s: s["deptree"]["head"]}}
+
+
+def sentence_parts(sentences: Column) -> Column:
+    """What ``mention_tokens`` needs of an array of parsed sentences: the number of tokens in place of the tokens, the mentions' places and the
+    heads. Null sentences keep their place."""
+    mention = lambda m: F.struct(m["id"].alias("id"), m["tok_from"].alias("tok_from"), m["tok_to"].alias("tok_to"))
+    size = lambda s: F.when(s["tokens"].isNotNull(), F.size(s["tokens"]))
+    one = lambda s: F.struct(size(s).alias("tokens_size"), F.transform(s["mentions"], mention).alias("mentions"), F.struct(s["deptree"]["head"].alias("head")).alias("deptree"))
+    return F.transform(sentences, lambda s: F.when(s.isNotNull(), one(s)))
+
+
+def mention_tokens(docs: DataFrame, key: str) -> DataFrame:
+    """(key, sent_no, mention_id, tok_no, head_no) of each token inside a mention of its sentence. ``docs`` has the key and ``sentences`` as
+    ``sentence_parts`` gives them, so that no more than that need be shuffled before.
 
-    The mention's places are listed first, cut at the sentence's number of tokens, so both joins are equi-joins on row,
-    sentence and place, and none compares all mentions with all tokens of a sentence.
+    The mention table takes the number of tokens and the heads over from the sentence it stands in; its places, cut at that number, are listed
+    and each takes its head by place. So nothing is joined, and no mention is compared with the tokens outside it. The null ``key`` is one like
+    any other.
     """
-    k = [row or key, "sentences_no"]
-    sent = tables["sentences"].select(*k, F.col("tokens_size").alias("_n")).filter("_n > 0")
-    tokens = tables["sentences.tokens"].select(*k, F.col("tokens_no").alias("tok_no"))
-    heads = tables["sentences.deptree.head"].select(*k, F.col("head_no").alias("tok_no"), F.col("value").alias("_h"))
-    spans = tables["sentences.mentions"].select(*k, F.col(key).alias("_key"), F.col("id").alias("mention_id"), "tok_from", "tok_to").filter("tok_from < tok_to and tok_to > 0")
+    spans = flatten(docs.select(key, "sentences"), [key], "documents", OF_SENTENCE)["sentences.mentions"]
     lo, hi = F.greatest("tok_from", F.lit(0)), F.least("tok_to", "_n")
-    places = spans.join(sent, k).filter(lo < hi).select(*k, "_key", "mention_id", F.explode(F.sequence(lo, hi - 1)).alias("tok_no"))
-    out = places.join(tokens, [*k, "tok_no"]).join(heads, [*k, "tok_no"], "left")
-    return out.select(F.col("_key").alias(key), F.col("sentences_no").alias("sent_no"), "mention_id", "tok_no", F.coalesce("_h", F.lit(-1)).alias("head_no"))
+    places = spans.filter(F.col("tok_from").isNotNull() & F.col("tok_to").isNotNull() & (F.col("_n") > 0) & (lo < hi))
+    out = places.select(key, "sentences_no", F.col("id").alias("mention_id"), "_heads", F.explode(F.sequence(lo, hi - 1)).alias("tok_no"))
+    return out.select(key, F.col("sentences_no").alias("sent_no"), "mention_id", "tok_no", F.coalesce(F.get("_heads", F.col("tok_no")), F.lit(-1)).alias("head_no"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..session import tune
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` of the folder; columns and filters of the query reach the scan."""
+def table(spark: SparkSession, sf_dir: str, name: str, schema: StructType | None = None) -> DataFrame:
+    """Table ``name`` of the folder; columns and filters of the query reach the scan. ``schema`` can name fewer fields, nested ones too."""
     tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ids_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:

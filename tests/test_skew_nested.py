@@ -95,9 +95,10 @@ def test_mention_tokens(spark, rows):
     df = spark.createDataFrame(
         [("d", [(tok, [m(1, 1, 9), m(1, 2, 2), m(2, -5, 1), m(3, None, 2)], (0, [5, None], None)), None, (None, [m(4, 0, 2)], None), (tok, None, None), (tok, [m(5, 0, 2), m(5, 1, 2)], None)]), ("e", None), ("f", [])], s
     )
-    got = rows(nested.mention_tokens(nested.flatten(df, ["filename"]), "filename"))
+    df = df.withColumn("sentences", nested.sentence_parts(F.col("sentences")))
+    got = rows(nested.mention_tokens(df, "filename"))
     assert got == [("d", 0, 1, 1, -1), ("d", 0, 1, 2, -1), ("d", 0, 2, 0, 5), ("d", 4, 5, 0, -1), ("d", 4, 5, 1, -1), ("d", 4, 5, 1, -1)]
-    assert nested.mention_tokens(nested.flatten(df.limit(0), ["filename"]), "filename").count() == 0
+    assert nested.mention_tokens(df.limit(0), "filename").count() == 0
 
 
 def test_documents_without_a_name(spark, rows, tmp_path):
@@ -107,3 +108,23 @@ def test_documents_without_a_name(spark, rows, tmp_path):
     df = spark.createDataFrame([(None, None, doc(1, 2)), (None, None, doc(2, 1)), ("d", None, doc(3, 1))], s)
     df.write.parquet(str(tmp_path / "parsed_docs.parquet"))
     assert rows(hygiene.p4_found(spark, str(tmp_path))) == [(None, 0, 1, 0, 1), (None, 0, 1, 1, 1), (None, 0, 2, 0, 2), ("d", 0, 3, 0, 3)]
+
+
+def test_pruned(spark):
+    s = T.StructType.fromDDL("k string, a array<struct<x:int,y:struct<z:int,w:string>>>, b int")
+    assert nested.pruned(s, ["k", "a.y.z"]).simpleString() == "struct<k:string,a:array<struct<y:struct<z:int>>>>"
+    assert nested.pruned(s, ["a", "a.x"]).simpleString() == "struct<a:array<struct<x:int,y:struct<z:int,w:string>>>>"
+
+
+def test_partial_results_of_many_keys(spark, rows, monkeypatch):
+    """A task that meets more keys than it holds passes results on early; the sums stay right."""
+    df = spark.range(30000, numPartitions=2).select((F.col("id") % 9000).alias("k"), F.col("id").cast("double").alias("x"), F.timestamp_seconds("id").alias("at"), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).alias("s"))
+    aggs = {"n": (F.col("s"), "count"), "t": (F.col("x"), "sum"), "a": (F.col("at"), "max"), "b": (F.col("s"), "min")}
+    want = df.groupBy("k").agg(F.count("s").alias("n"), F.sum("x").alias("t"), F.max("at").alias("a"), F.min("s").alias("b"))
+    assert rows(skew.balanced_aggregate(df, "k", aggs, 8)) == rows(want)
+
+
+def test_partials_go_to_their_bins(hot):
+    """The exchange of an aggregate is the one by bin: nothing is shuffled between it and the sums of a bin."""
+    text = skew.balanced_aggregate(hot, "k", {"n": (F.lit(1), "count")}, 8)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange shufflepartitionid") == 1 and text.count("Exchange hashpartitioning") == 1, text
