@@ -1,9 +1,10 @@
-"""Readers of the text formats, each a scan of lines with Column expressions. Every reader takes a path; where a line's place matters
-it is counted within its file. Empty lines and short lines give no row unless stated."""
+"""Readers of the text formats, each a scan of lines with Column expressions. Every reader takes a path, of a file or a folder; where a
+line's place matters it is counted within its file, or where stated through all files in order of their paths. Empty lines and short lines give
+no row unless stated."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_with_prefix
@@ -13,17 +14,44 @@ PREFIXES = {"relation": "REL$", "sentence": "sen#", "ner": "ner#", "path": "path
 TAGS = ["POSITIVE", "NEGATIVE", "UNLABELED"]
 
 
-def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(file, line_no, value): line_no from 1, unique in its file and rising with the place in it.
+#: Files up to which the table of splits is sent to all workers: one row of about 30 bytes for each split of each file.
+MOST_FILES = 1_000_000
+
+
+def _splits(rows: DataFrame, through: bool, *extra: Column) -> DataFrame:
+    """One row for each split that was read: its key, the id of its first line and the number of lines before it, in its file or, with
+    ``through``, in all files in order of their paths."""
+    per = rows.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), *extra)
+    w = (Window.orderBy("file", "_at") if through else Window.partitionBy("file").orderBy("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """A short key of the split: the task that reads it, and a hash that tells the splits of one task apart."""
+    return df.withColumns({"_task": F.shiftright("_first" if "_first" in df.columns else "_id", 33), "_split": F.xxhash64("file", "_at")})
+
+
+def _raw(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
+    # the text source keeps a line's bytes as they are, so any encoding that extends ASCII can be decoded from them
+    return df if encoding == "UTF-8" else df.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
 
-    Ids of a file's lines come from the split they are read in, which are numbered in order of their start; the id of the first line is
-    taken off, so a file in one split is numbered 1, 2, 3 ...
-    """
-    df = spark.read.option("encoding", encoding).text(path) if encoding == "UTF-8" else spark.read.format("csv").options(encoding=encoding, sep="\u0001", quote="", escape="").schema("value string").load(path)
-    df = df.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"), "value")
-    from pyspark.sql import Window
 
-    return df.select("file", (F.col("_id") - F.min("_id").over(Window.partitionBy("file")) + 1).alias("line_no"), "value")
+def _numbered(raw: DataFrame, through: bool) -> DataFrame:
+    splits = _keyed(_splits(raw, through)).select("_task", "_split", "_first", "_before")
+    if len(raw.inputFiles()) <= MOST_FILES:
+        splits = F.broadcast(splits)
+    return _keyed(raw).join(splits, ["_task", "_split"]).withColumn("line_no", F.col("_id") - F.col("_first") + F.col("_before") + 1)
+
+
+def lines(spark: SparkSession, path: str, encoding: str = "UTF-8", through: bool = False) -> DataFrame:
+    """(file, line_no, value): every line with its number from 1, empty lines too; with ``through`` numbers go on from file to file, in order of
+    their paths.
+
+    A large file is read in splits by many tasks. Each numbers its lines by itself, and the lines of the splits before are added: one
+    small row for each split, from a first reading that only counts. No task sees more than its split.
+    """
+    return _numbered(_raw(spark, path, encoding), through).select("file", "line_no", "value")
 
 
 def _tabs(df: DataFrame, at_least: int) -> DataFrame:
@@ -54,10 +82,10 @@ def value_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zipped(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """[S3] Column files joined by line; a shorter file gives nulls."""
+    """[S3] Column files (or folders of files, read in order of their paths) joined by line; a shorter one gives nulls."""
     out = None
     for name, path in files.items():
-        one = lines(spark, path).select("line_no", F.col("value").alias(name))
+        one = lines(spark, path, through=True).select("line_no", F.col("value").alias(name))
         out = one if out is None else out.join(one, "line_no", "full")
     return out
 
@@ -79,14 +107,12 @@ def compact_cells(spark: SparkSession, path: str) -> DataFrame:
     """[S7] (arg1, arg2, relation, value): ``a1|a2`` and relations; a score behind an @ is the value, else 1.0."""
     df = _tabs(lines(spark, path), 2).select(F.split(_field(0), r"\|").alias("_a"), F.explode(F.slice("_f", F.lit(2), F.size("_f"))).alias("r"))
     score = F.regexp_extract("r", r"@([-+0-9.eE]+)$", 1)
-    return df.select(F.get("_a", F.lit(0)).alias("arg1"), F.get("_a", F.lit(1)).alias("arg2"), F.regexp_replace("r", r"@[-+0-9.eE]+$", "").alias("relation"), F.coalesce(F.try_to_number(F.when(score != "", score), F.lit("S999999999.999999")).cast("double"), F.lit(1.0)).alias("value"))
+    return df.select(F.get("_a", F.lit(0)).alias("arg1"), F.get("_a", F.lit(1)).alias("arg2"), F.regexp_replace("r", r"@[-+0-9.eE]+$", "").alias("relation"), F.coalesce(F.nullif(score, F.lit("")).try_cast("double"), F.lit(1.0)).alias("value"))
 
 
 def tuple_file(spark: SparkSession, path: str, hide: int = 0, limit: int | None = None, seed: int = 0, encoding: str = "ISO-8859-1") -> DataFrame:
     """[S8] (id, arg1, arg2, relation, count, hidden): of each tuple ``hide`` drawn cells are hidden. ``limit`` lines from the start."""
-    from pyspark.sql import Window
-
-    df = lines(spark, path, encoding)
+    df = lines(spark, path, encoding, through=True)
     if limit is not None:
         df = df.filter(F.col("line_no") <= limit)
     df = _tabs(df, 3).select(_field(0).alias("id"), F.split(_field(1), r"\|").alias("_a"), F.explode(F.slice("_f", F.lit(3), F.size("_f"))).alias("r"))
@@ -163,25 +189,33 @@ def mention_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rank_file(spark: SparkSession, path: str) -> DataFrame:
-    """[S22] (line_no, score, arg1, arg2, gold, predicted) of lines of five fields, or of four with ``arg1|arg2``."""
-    df = _tabs(lines(spark, path), 4).withColumn("_f", F.when(F.size("_f") == 4, F.concat(F.slice("_f", 1, 1), F.split(_field(1), "[|]"), F.slice("_f", 3, 2))).otherwise(F.col("_f")))
-    return df.select("line_no", F.expr("try_cast(get(_f, 0) as double)").alias("score"), *[_field(i + 1).alias(c) for i, c in enumerate(("arg1", "arg2", "gold", "predicted"))])
+    """[S22] (line_no, score, arg1, arg2, gold, predicted) of lines of five fields, or of four with ``arg1|arg2``; numbered through all files."""
+    df = _tabs(lines(spark, path, through=True), 4).withColumn("_f", F.when(F.size("_f") == 4, F.concat(F.slice("_f", 1, 1), F.split(_field(1), "[|]"), F.slice("_f", 3, 2))).otherwise(F.col("_f")))
+    return df.select("line_no", _field(0).try_cast("double").alias("score"), *[_field(i + 1).alias(c) for i, c in enumerate(("arg1", "arg2", "gold", "predicted"))])
 
 
 def dense_matrix(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
-    """[S23] (i, j, value) of a matrix written line by line."""
-    df = lines(spark, path).filter("trim(value) <> ''")
-    return df.select((F.col("line_no") - 1).alias("i"), F.posexplode(F.split(F.trim("value"), sep)).alias("j", "v")).select("i", "j", F.expr("try_cast(v as double)").alias("value"))
+    """[S23] (i, j, value) of a matrix written line by line, through all files; empty lines only at the end."""
+    df = lines(spark, path, through=True).filter("trim(value) <> ''")
+    return df.select((F.col("line_no") - 1).alias("i"), F.posexplode(F.split(F.trim("value"), sep)).alias("j", "v")).select("i", "j", F.col("v").try_cast("double").alias("value"))
 
 
 def cooccurrence_file(spark: SparkSession, path: str) -> DataFrame:
-    """[S24] (target, source, n): a header line names the target of the ``count source`` lines below it."""
-    from pyspark.sql import Window
+    """[S24] (target, source, n): a header line names the target of the ``count source`` lines below it, through all files.
 
-    df = lines(spark, path).withColumn("_f", F.split(F.trim("value"), "\t"))
-    head = F.when(F.size("_f") == 1, _field(0))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("target", F.last(head, ignorenulls=True).over(w)).filter(F.size("_f") == 2).select("target", _field(1).alias("source"), F.expr("try_cast(get(_f, 0) as bigint)").alias("n"))
+    Headers are carried down within each split, and from split to split by one row for each.
+    """
+    fields = F.split(F.trim("value"), "\t")
+    head = F.when((F.size(fields) == 1) & (F.trim("value") != ""), F.get(fields, F.lit(0)))
+    raw = _raw(spark, path, "UTF-8").withColumns({"_f": fields, "_head": head})
+    splits = _splits(raw, True, F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("_id"))).alias("_last"))
+    above = F.last("_last", ignorenulls=True).over(Window.orderBy("file", "_at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = _keyed(splits.withColumn("_above", above)).select("_task", "_split", "_above")
+    if len(raw.inputFiles()) <= MOST_FILES:
+        splits = F.broadcast(splits)
+    w = Window.partitionBy("_task", "_split").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _keyed(raw).withColumn("_own", F.last("_head", ignorenulls=True).over(w)).filter(F.size("_f") == 2).join(splits, ["_task", "_split"])
+    return rows.select(F.coalesce("_own", "_above").alias("target"), _field(1).alias("source"), _field(0).try_cast("bigint").alias("n"))
 
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.sources import protobuf as pb
@@ -16,6 +17,52 @@ def _put(tmp_path, name, text, encoding="utf-8"):
     return str(p)
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in many splits, as large ones are."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_line_numbers_over_splits(spark, tmp_path, small_splits):
+    want = [f"line {i} " + "é" * (i % 9) if i % 10 else "" for i in range(1, 1001)]
+    for encoding, name in (("utf-8", "UTF-8"), ("latin-1", "ISO-8859-1")):
+        p = _put(tmp_path, f"{name}/b.txt", "\n".join(want) + "\n", encoding)
+        df = textfiles.lines(spark, p, name)
+        assert df.select(F.spark_partition_id()).distinct().count() > 5
+        assert [(r.line_no, r.value) for r in df.orderBy("line_no").collect()] == list(enumerate(want, 1))
+        _put(tmp_path, f"{name}/a.txt", "x\ny", encoding)
+        _put(tmp_path, f"{name}/c.txt", "", encoding)
+        both = textfiles.lines(spark, str(tmp_path / name), name, through=True).orderBy("line_no").collect()
+        assert [(r.line_no, r.value) for r in both] == list(enumerate(["x", "y", *want], 1))
+        per = textfiles.lines(spark, str(tmp_path / name), name).groupBy("file").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"), F.countDistinct("line_no").alias("n")).collect()
+        assert sorted((r.a, r.b, r.n) for r in per) == [(1, 2, 2), (1, 1000, 1000)]
+
+
+def test_formats_over_splits(spark, tmp_path, rows, small_splits):
+    n = 2000
+    files = {c: _put(tmp_path, f"{c}.txt", "".join(f"{c}{i}" + "." * (i % (5 if c == "a" else 11)) + "\n" for i in range(n))) for c in "ab"}
+    got = textfiles.zipped(spark, files).orderBy("line_no").collect()
+    assert len(got) == n and all(r.a.strip(".")[1:] == r.b.strip(".")[1:] == str(r.line_no - 1) for r in got)
+    m = textfiles.dense_matrix(spark, _put(tmp_path, "m.txt", "".join(f"{i} {i * 2}\n" for i in range(n))))
+    assert m.filter("value = i * (j + 1)").count() == m.count() == 2 * n
+    t = textfiles.tuple_file(spark, _put(tmp_path, "t.tsv", "".join(f"{i}\ta|b\tr#2\n" for i in range(n))), limit=100)
+    assert sorted(int(r.id) for r in t.collect()) == list(range(100))
+    lines = []
+    for i in range(60):
+        lines += [f"target{i}", *[f"{j}\tsource{i}" for j in range(i % 50)]]
+    c = textfiles.cooccurrence_file(spark, _put(tmp_path, "c.txt", "\n".join(lines) + "\n"))
+    assert rows(c) == sorted([(f"target{i}", f"source{i}", j) for i in range(60) for j in range(i % 50)], key=lambda r: tuple((True, str(x)) for x in r))
+    r = textfiles.rank_file(spark, _put(tmp_path, "r.tsv", "".join(f"{i}\ta\tb\tg\tp\n" for i in range(n))))
+    assert r.filter("line_no = score + 1").count() == n
+    a = textfiles.slot_annotations(spark, _put(tmp_path, "s.tab", "h\n" + ("\t".join("0 sf 2 lab doc 5 9 phrase 8 9 1".split()) + "\n") * 200))
+    assert a.count() == 200
+
+
 def test_corpus(spark, tmp_path):
     p = _put(tmp_path, "c.tsv", "#Document x\nPOSITIVE\ta\tb\tpath#p\tsen#s one\tREL$r\tREL$q \r\nshort\tline\n\nNEGATIVE\tc\td\n")
     got = textfiles.corpus_tsv(spark, p).orderBy("line_no").collect()
@@ -33,8 +80,8 @@ def test_lists_and_zip(spark, tmp_path):
 def test_cells(spark, tmp_path, rows):
     p = _put(tmp_path, "w.tsv", "POSITIVE\tJosé\tb\tr1\tr2\nx\ty\tr3\nz\tq\n", "latin-1")
     assert rows(textfiles.wide_cells(spark, p), "tag", "arg1", "arg2", "relation") == [(None, "x", "y", "r3"), ("POSITIVE", "José", "b", "r1"), ("POSITIVE", "José", "b", "r2")]
-    c = textfiles.compact_cells(spark, _put(tmp_path, "k.tsv", "a|b\tr@0.5\ts\n"))
-    assert rows(c) == [("a", "b", "r", 0.5), ("a", "b", "s", 1.0)]
+    c = textfiles.compact_cells(spark, _put(tmp_path, "k.tsv", "a|b\tr@0.5\ts\tq@1.5E-4\n"))
+    assert rows(c) == [("a", "b", "q", 0.00015), ("a", "b", "r", 0.5), ("a", "b", "s", 1.0)]
     t = textfiles.tuple_file(spark, _put(tmp_path, "t.tsv", "7\ta|b\tr#2\ts#1\tu\n"), hide=1)
     assert t.count() == 3 and t.filter("hidden").count() == 1 and rows(t, "relation", "count") == [("r", 2), ("s", 1), ("u", 1)]
     assert rows(textfiles.triples(spark, _put(tmp_path, "u.tsv", "a\tp\tq\n"), unary=True)) == [("a", None, "p", False), ("a", None, "q", False)]
