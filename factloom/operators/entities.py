@@ -102,6 +102,31 @@ def coverage(gold: DataFrame, linked: DataFrame, source: str, dest: str, guid: s
     return g.agg(F.count(F.lit(1)).alias("n"), no("_s").alias("missed_arg1"), no("_d").alias("missed_arg2"), F.count_if(F.col("_s").isNotNull() & F.col("_d").isNotNull()).alias("covered"), F.count_if(F.col(source) == F.col(dest)).alias("same_entity"))
 
 
+def evaluated_mentions(gold: DataFrame, linked: DataFrame, featured: DataFrame) -> DataFrame:
+    """[J25] One row of counts over gold relations (gold, docid, charbegin, charend, arg1: the place of the second argument, and the first one's id):
+    all; without a linked mention there; with several; whose sentence has no mention of the first argument; whose first such mention has no
+    features; and whose two mentions are of one entity. ``linked`` has (mention_key, docid, charbegin, charend, entity, sentence), ``featured`` the
+    mention_keys with features. The first mention, by place and key, counts, as where several overlap."""
+    hits = overlapping_spans(gold, linked, "docid", "charbegin", "charend")
+    order = F.struct("charbegin_o", "mention_key_o")
+    per = hits.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(F.col("entity_o").alias("e"), F.col("sentence_o").alias("s")), order).alias("_b"))
+    at = gold.select("gold", "docid", "arg1").join(per, "gold", "left").select("gold", "docid", "arg1", F.coalesce("n", F.lit(0)).alias("n"), F.col("_b.e").alias("ent"), F.col("_b.s").alias("sentence"))
+    first = linked.groupBy("docid", "sentence", F.col("entity").alias("arg1")).agg(F.min_by("mention_key", F.struct("charbegin", "mention_key")).alias("mention_key"))
+    at = at.join(first, ["docid", "sentence", "arg1"], "left").join(featured.select("mention_key", F.lit(True).alias("_f")), "mention_key", "left")
+    has = F.col("mention_key").isNotNull()
+    return at.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") == 0).alias("missed_arg2"), F.count_if(F.col("n") > 1).alias("multiple_overlap"), F.count_if((F.col("n") > 0) & ~has).alias("missed_arg1"),
+        F.count_if(has & F.col("_f").isNull()).alias("no_features"), F.count_if(has & (F.col("ent") == F.col("arg1"))).alias("same_entity"),
+    )
+
+
+def unmatched_slots(pairs: DataFrame, slots: DataFrame) -> DataFrame:
+    """[J28] The gold slots (arg1, arg2, slot) whose arguments no pair joins, either way round."""
+    p = pairs.select("arg1", "arg2")
+    both = p.unionByName(p.select(F.col("arg2").alias("arg1"), F.col("arg1").alias("arg2"))).distinct()
+    return slots.select("arg1", "arg2", "slot").distinct().join(both, ["arg1", "arg2"], "left_anti")
+
+
 def labelled_pairs(pairs: DataFrame, slots: DataFrame, split_of: DataFrame) -> DataFrame:
     """[J28] Pairs (arg1, arg2) with ``split`` from arg1, else from arg2, else other, and ``slot`` where a slot joins them either way."""
     s1 = split_of.select(F.col("entity").alias("arg1"), F.col("split").alias("_s1"))

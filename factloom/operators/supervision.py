@@ -32,6 +32,23 @@ def distant_labels(pairs: DataFrame, kb: DataFrame, entities: DataFrame, known:
     return out.unionByName(none.select("src", "dst", F.lit("REL$NA").alias("relation"), tag.alias("tag"), F.lit(False).alias("inverse")))
 
 
+def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """[J2] Mention rows (src, dst, src_ner, dst_ner, path, features, ...) with the ``tag`` and ``relation`` that ``distant_labels`` gave their pair,
+    and ``ner`` as source->dest. Where the KB has the reversed pair, ends and types change places, and path and features are marked ``:INV``.
+    Null paths and features stay null; pairs without a label give no row."""
+    rest = [c for c in rows.columns if c not in ("src", "dst", "src_ner", "dst_ner", "path", "features")]
+    inv = F.col("inverse")
+    # a reversed label names the pair as the KB does; the rows have it the other way round
+    at = labels.select(F.when(inv, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(inv, F.col("src")).otherwise(F.col("dst")).alias("dst"), "tag", "relation", "inverse")
+    j = rows.join(at, ["src", "dst"])
+    turned = lambda a, b: F.when(inv, F.col(b)).otherwise(F.col(a))
+    mark = lambda c: F.concat(c, F.when(inv, F.lit(":INV")).otherwise(F.lit("")))
+    return j.select(
+        *rest, "tag", turned("src", "dst").alias("src"), turned("dst", "src").alias("dst"), "relation", F.concat(turned("src_ner", "dst_ner"), F.lit("->"), turned("dst_ner", "src_ner")).alias("ner"),
+        mark(F.col("path")).alias("path"), F.transform("features", mark).alias("features"),
+    )
+
+
 def unmatched_triples(pairs: DataFrame, kb: DataFrame) -> DataFrame:
     """[J2, U2] Pairs of the KB that no pair matches in either direction."""
     p = pairs.select(F.col("src").alias("source"), F.col("dst").alias("dest"))

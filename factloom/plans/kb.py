@@ -165,6 +165,16 @@ def mention_coverage(spark: SparkSession, d: str) -> DataFrame:
     return E.coverage(_triples(spark, d), table(spark, d, "entity_mentions"), "source", "dest", "entity")
 
 
+def mention_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """[J25] How far linked mentions can answer gold relations: a stand-in takes every mention marked as gold as the second argument of a relation
+    whose first argument is the entity named before it in its document."""
+    m = table(spark, d, "entity_mentions").filter("docid is not null").select("mention_key", "docid", "charbegin", "charend", "tokenbegin", "entity", "tacmention")
+    gold = m.filter("tacmention and entity is not null").select(F.col("mention_key").alias("gold"), "docid", "charbegin", "charend", F.col("entity").alias("arg1"))
+    linked = m.filter("not tacmention and entity is not null").select("mention_key", "docid", "charbegin", "charend", "entity", F.floor(F.col("charbegin") / 200).alias("sentence"))
+    feats = linked.filter(F.pmod("mention_key", F.lit(3)) > 0).select("mention_key")
+    return E.evaluated_mentions(gold, linked, feats)
+
+
 def slot_pairs(spark: SparkSession, d: str) -> DataFrame:
     """[J28] Pairs with the split of their entities and the slot that joins them."""
     pairs = _pairs(spark, d).select(F.col("src").alias("arg1"), F.col("dst").alias("arg2")).distinct()
@@ -173,6 +183,12 @@ def slot_pairs(spark: SparkSession, d: str) -> DataFrame:
     return E.labelled_pairs(pairs, slots, split)
 
 
+def slot_misses(spark: SparkSession, d: str) -> DataFrame:
+    """[J28] Gold slots that no pair of the matrix matches in either direction."""
+    slots = _triples(spark, d).select(F.col("source").alias("arg1"), F.col("dest").alias("arg2"), F.col("relation").alias("slot"))
+    return E.unmatched_slots(_pairs(spark, d).select(F.col("src").alias("arg1"), F.col("dst").alias("arg2")), slots)
+
+
 def mention_texts(spark: SparkSession, d: str) -> DataFrame:
     """[J29] Words of each mention's span."""
     t = _mention_table(spark, d)
@@ -210,16 +226,60 @@ def contexts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("filename", "sent_no", "no_1", "no_2", lex.alias("lex"), full.alias("words"), tags.alias("tags"), left.alias("lc"), right.alias("rc"))
 
 
-def tree_paths(spark: SparkSession, d: str) -> DataFrame:
-    """[F23, F24, P13] Path between the heads of ordered mention pairs (walks up trees; checked against hand-made trees)."""
-    docs = latest_per_key(table(spark, d, "parsed_docs"), "filename", F.col("received_at"))
+def _tree_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered mention pairs of a sentence with their heads and the path between them."""
+    docs = latest_per_key(table(spark, d, "parsed_docs").select("filename", "received_at", "sentences"), "filename", F.col("received_at"))
     s = docs.select("filename", F.posexplode("sentences").alias("sent_no", "s")).filter("s.deptree.head is not null")
     h = paths.span_head_udf
     a = s.select("filename", "sent_no", "s", F.posexplode("s.mentions").alias("no_1", "m1"))
     p = a.select("filename", "sent_no", "s", "no_1", "m1", F.posexplode("s.mentions").alias("no_2", "m2")).filter("m1.tok_to <= m2.tok_from")
-    p = p.select("filename", "sent_no", "no_1", "no_2", "s", h("s.deptree.head", "m1.tok_from", "m1.tok_to").alias("h1"), h("s.deptree.head", "m2.tok_from", "m2.tok_to").alias("h2"))
-    x = paths.path_udf("s.deptree.head", "s.deptree.reltype", "s.tokens.word", "s.tokens.tag", "h1", "h2")
-    return p.select("filename", "sent_no", "no_1", "no_2", "h1", "h2", x.alias("x")).select("filename", "sent_no", "no_1", "no_2", "h1", "h2", "x.path", "x.root", "x.length", "x.junk")
+    p = p.withColumns({"h1": h("s.deptree.head", "m1.tok_from", "m1.tok_to"), "h2": h("s.deptree.head", "m2.tok_from", "m2.tok_to")})
+    x = paths.path_udf("s.deptree.head", "s.deptree.reltype", "s.tokens.word", "s.tokens.tag", "s.tokens.ner", "h1", "h2")
+    return p.withColumn("x", x)
+
+
+def tree_paths(spark: SparkSession, d: str) -> DataFrame:
+    """[F23, F24, P13] Path between the heads of ordered mention pairs."""
+    return _tree_pairs(spark, d).select("filename", "sent_no", "no_1", "no_2", "h1", "h2", "x.path", "x.root", "x.length", "x.junk")
+
+
+def _features(spark: SparkSession, d: str, linking: bool) -> DataFrame:
+    p = _tree_pairs(spark, d).filter("s.tokens is not null and h1 is not null and h2 is not null")
+    between = paths.between_context(F.col("s.tokens"), F.col("m1.tok_to"), F.col("m2.tok_from"))
+    gap, apart = F.col("m2.tok_from") - F.col("m1.tok_to"), F.abs(F.col("h2") - F.col("h1"))
+    ner = lambda h: F.get("s.tokens.ner", F.col(h))
+    path = F.col("x.path"), F.col("x.junk"), F.col("x.length")
+    if linking:
+        f = paths.link_features(*path, gap, (ner("h1"), ner("h2")), between)
+    else:
+        f = paths.pair_features(*path, gap, apart, (ner("h1"), ner("h2")), between)
+    return p.select("filename", "sent_no", "no_1", "no_2", F.explode(f).alias("feature"))
+
+
+def mention_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of mention pairs for training, one row each."""
+    return _features(spark, d, False)
+
+
+def link_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of mention pairs for linking, one row each."""
+    return _features(spark, d, True)
+
+
+def distant_rows(spark: SparkSession, d: str) -> DataFrame:
+    """[J2] The mention rows of KB pairs, labelled by the right open cells; rows of a reversed cell are turned round."""
+    kb = table(spark, d, "kb_relations").select("rel_key", F.col("sourceguid").alias("src"), F.col("destguid").alias("dst"), F.explode("mention").alias("m"))
+    f = F.array_compact("m.feature")
+    kb = kb.select("rel_key", "src", "dst", F.get(F.filter(f, lambda x: x.startswith("path#")), F.lit(0)).alias("path"), F.filter(f, lambda x: ~x.startswith("path#")).alias("features"))
+    ents = table(spark, d, "kb_entities").select(F.col("guid").alias("entity"), F.coalesce("ent_type", F.lit("O")).alias("ner"))
+    c = table(spark, d, "cells").filter(F.col("relation").startswith("REL$") & F.col("arg2").isNotNull())
+    triples = c.filter("not hide and gold > 0.5").select(F.col("arg1").alias("source"), F.col("arg2").alias("dest"), "relation")
+    known = c.filter("hide").select(F.col("arg1").alias("src"), F.col("arg2").alias("dst"))
+    for end in ("src", "dst"):
+        kb = kb.join(ents.withColumnsRenamed({"entity": end, "ner": f"{end}_ner"}), end, "left")
+    people = ents.filter("ner = 'PERSON'").select("entity")
+    out = supervision.labelled_rows(kb, supervision.distant_labels(kb, triples, people, known))
+    return out.select("rel_key", "tag", "src", "dst", "relation", "ner", "path", F.array_join("features", " ").alias("features"))
 
 
 def coref_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -261,7 +321,7 @@ def relation_cells(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     distant_labels, missing_triples, named_triples, unnamed_ends, relations_of_people, entity_relations, type_map, grouped_pairs, pair_topics, two_hop, second_order, label_alignment, last_scores,
     same_sentence_pairs, span_overlaps, first_overlaps, entity_link, mentions_in_text, canonical_companies, provenance, mention_coverage, slot_pairs, mention_texts, ner_spans, new_documents,
-    word_tag_strings, contexts, tree_paths, coref_clusters, coref_antecedents, triple_clusters, mention_clusters, longest_names, relation_cells,
+    word_tag_strings, contexts, tree_paths, mention_features, link_features, distant_rows, mention_evaluation, slot_misses, coref_clusters, coref_antecedents, triple_clusters, mention_clusters, longest_names, relation_cells,
 )}
 
 _T = "t AS (SELECT rel_key, sourceguid source, destguid dest, reltype relation FROM kb_relations WHERE reltype <> 'NA')"
@@ -273,7 +333,58 @@ _D = """d AS (SELECT * FROM parsed_docs QUALIFY row_number() OVER (PARTITION BY
 _ABBR = r"""CASE WHEN len(regexp_split_to_array(label, '[-\s]')) < 3 OR (len(regexp_split_to_array(label, '[-\s]')) = 3 AND length(regexp_split_to_array(label, '[-\s]')[2]) < 3) THEN NULL
     ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(label, '[-\s]'), lambda x: x[1]), lambda c: regexp_matches(c, '\p{Lu}')), '') END"""
 
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+# trees are walked by recursion: `up` has the ancestors of every token, `hd` the heads of spans, `pt` the paths of pairs of mentions
+_TREE = f"""{_D}, st AS MATERIALIZED (SELECT row_number() OVER () sid, * FROM s WHERE s.deptree.head IS NOT NULL),
+    tr AS MATERIALIZED (SELECT sid, unnest(range(len(s.deptree.head)))::INTEGER i, unnest(s.deptree.head) h, len(s.deptree.head) n FROM st),
+    up AS (SELECT sid, i beg, i tok, 0 d, [i] seen FROM tr UNION ALL SELECT u.sid, u.beg, t.h, u.d + 1, list_append(u.seen, t.h) FROM up u JOIN tr t ON t.sid = u.sid AND t.i = u.tok
+        WHERE t.h >= 0 AND t.h < t.n AND NOT list_contains(u.seen, t.h)),
+    mm AS (SELECT sid, unnest(range(len(s.mentions)))::INTEGER no, unnest(s.mentions) m FROM st),
+    pp AS (SELECT a.sid, a.no no_1, b.no no_2, a.m m1, b.m m2 FROM mm a JOIN mm b ON a.sid = b.sid AND a.m.tok_to <= b.m.tok_from),
+    sp AS (SELECT DISTINCT sid, m.tok_from f, m.tok_to t FROM mm WHERE m.tok_from < m.tok_to),
+    ol AS (SELECT sp.sid, f, t, u.beg, coalesce(min(u.d) FILTER (u.tok < f OR u.tok >= t) - 1, max(u.d)) d FROM sp JOIN up u ON u.sid = sp.sid AND u.beg >= f AND u.beg < t GROUP BY ALL),
+    fi AS (SELECT ol.sid, f, t, max(u.tok) top FROM ol JOIN up u ON u.sid = ol.sid AND u.beg = ol.beg AND u.d = ol.d GROUP BY ALL),
+    hd AS (SELECT sp.sid, sp.f, sp.t, greatest(sp.f, fi.top, CASE WHEN sp.t > len(st.s.deptree.head) THEN sp.t - 1 END)::INTEGER h FROM sp JOIN st USING (sid) LEFT JOIN fi USING (sid, f, t)),
+    ph AS MATERIALIZED (SELECT pp.*, a.h h1, b.h h2 FROM pp LEFT JOIN hd a ON a.sid = pp.sid AND a.f = m1.tok_from AND a.t = m1.tok_to LEFT JOIN hd b ON b.sid = pp.sid AND b.f = m2.tok_from AND b.t = m2.tok_to),
+    hp AS (SELECT DISTINCT sid, h1, h2 FROM ph JOIN st USING (sid) WHERE h1 <> h2 AND st.s.tokens IS NOT NULL),
+    ca AS (SELECT hp.sid, h1, h2, arg_min(a.tok, a.d) common, min(a.d) da, arg_min(b.d, a.d) db FROM hp JOIN up a ON a.sid = hp.sid AND a.beg = h1 JOIN up b ON b.sid = hp.sid AND b.beg = h2 AND b.tok = a.tok GROUP BY ALL),
+    sx AS (SELECT ca.*, 0 k, u.d o, u.tok FROM ca JOIN up u ON u.sid = ca.sid AND u.beg = h1 AND u.d < da UNION ALL SELECT *, 1, 0, common FROM ca
+        UNION ALL SELECT ca.*, 2, -u.d, u.tok FROM ca JOIN up u ON u.sid = ca.sid AND u.beg = h2 AND u.d < db),
+    sy AS (SELECT sx.*, coalesce(st.s.tokens[tok + 1].word, '') w, coalesce(st.s.tokens[tok + 1].tag, '') g, coalesce(nullif(st.s.tokens[tok + 1].ner, ''), 'O') e, coalesce(st.s.deptree.reltype[tok + 1], '') l FROM sx JOIN st USING (sid)),
+    sz AS (SELECT *, CASE WHEN e <> 'O' THEN e WHEN w IN {_IN(paths.NAME_SUFFIXES)} THEN 'O' ELSE w END r FROM sy),
+    pt AS MATERIALIZED (SELECT sid, h1, h2, any_value(da + db + 1)::INTEGER "length", any_value(common) common,
+        lower(string_agg(CASE k WHEN 0 THEN CASE WHEN tok = h1 THEN '' ELSE r END || '<-' || l || '<-' WHEN 1 THEN CASE WHEN tok IN (h1, h2) THEN '' ELSE r END ELSE '->' || l || '->' || CASE WHEN tok = h2 THEN '' ELSE r END END, '' ORDER BY k, o)) AS path,
+        bool_or(k <> 1 AND (g NOT IN {_IN(paths.FEASIBLE_TAGS)} OR lower(l) IN {_IN(paths.JUNK_LABELS)})) OR bool_or(k = 1 AND lower(w) IN {_IN(paths.JUNK_ROOTS)}) OR count(*) FILTER (g IN {_IN(paths.CONTENT_TAGS)}) < 2
+        OR bool_or(w IN ('?', '"', '[')) OR coalesce(max(lower(l)) FILTER (k = 0 AND tok = h1) = 'adv' OR any_value(common) = h1 AND false, false)
+        OR coalesce(max(lower(l)) FILTER (k = 0 AND tok = h1) = max(lower(l)) FILTER (k = 2 AND tok = h2) AND max(lower(l)) FILTER (k = 0 AND tok = h1) IN ('name', 'sbj'), false) junk FROM sz GROUP BY sid, h1, h2),
+    pf AS MATERIALIZED (SELECT st.filename, st.sent_no, ph.*, pt.path, pt.junk, pt."length", st.s.tokens[pt.common + 1].word root, st.s.tokens k FROM ph JOIN st USING (sid) LEFT JOIN pt USING (sid, h1, h2))"""
+_FEATS = f"""{_TREE}, bt AS (SELECT *, k[m1.tok_to + 1 : m2.tok_from] b, m2.tok_from - m1.tok_to gap, k[h1 + 1].ner n1, k[h2 + 1].ner n2 FROM pf WHERE k IS NOT NULL AND h1 IS NOT NULL AND h2 IS NOT NULL),
+    bx AS (SELECT *, array_to_string(list_transform(list_filter(b, lambda t: coalesce(t.ner, 'O') = 'O'), lambda t: t.word), ' ') lex, array_to_string(list_transform(b, lambda t: t.word), ' ') words, array_to_string(list_transform(b, lambda t: t.tag), ' ') tags FROM bt)"""
+_L = "coalesce(NOT junk AND \"length\" < 10, false)"
+
 ORACLE = {
+    "tree_paths": f"WITH RECURSIVE {_TREE} SELECT filename, sent_no, no_1, no_2, h1, h2, path, root, \"length\", junk FROM pf",
+    "mention_features": f"""WITH RECURSIVE {_FEATS}, ft AS (SELECT *, {_L} good, gap < 11 AND (lex <> '' OR words <> '') near, coalesce(n1, 'O') a, coalesce(n2, 'O') z FROM bx),
+        fl AS (SELECT filename, sent_no, no_1, no_2, unnest(CASE WHEN NOT good AND abs(h2 - h1) > 10 THEN [] ELSE [CASE WHEN good AND path <> '' THEN 'path#' || path END, 'type#' || a || '->' || z, CASE WHEN near AND lex <> '' THEN 'lex#' || lex END,
+            CASE WHEN near AND words <> '' THEN 'lex#' || words END, CASE WHEN near AND tags <> '' THEN 'pos#' || tags END, CASE WHEN near THEN 'lex-ner#' || a || '|' || lex || '|' || z END, CASE WHEN near THEN 'pos-ner#' || a || '|' || tags || '|' || z END] END) feature FROM ft)
+        SELECT * FROM fl WHERE feature IS NOT NULL AND NOT contains(feature, 'javascript')""",
+    "link_features": f"""WITH RECURSIVE {_FEATS}, ft AS (SELECT *, {_L.replace('10', '6')} good FROM bx),
+        fl AS (SELECT filename, sent_no, no_1, no_2, unnest([CASE WHEN gap < 20 THEN '->' || lex || ' ' || words END, CASE WHEN good THEN path END, CASE WHEN good THEN coalesce(n1, 'NA') || '->' || coalesce(n2, 'NA') END]) f FROM ft)
+        SELECT filename, sent_no, no_1, no_2, f || '/2' feature FROM fl WHERE length(f) > 0 AND NOT contains(f, 'javascript')""",
+    "distant_rows": """WITH c AS (SELECT * FROM cells WHERE starts_with(relation, 'REL$') AND arg2 IS NOT NULL), t AS (SELECT DISTINCT arg1, arg2, relation FROM c WHERE NOT hide AND gold > 0.5), n AS (SELECT arg1, arg2 FROM c WHERE hide UNION SELECT arg2, arg1 FROM c WHERE hide),
+        m AS (SELECT rel_key, sourceguid src, destguid dst, unnest(mention) x FROM kb_relations), f AS (SELECT rel_key, src, dst, coalesce(list_filter(x.feature, lambda f: f IS NOT NULL), NULL) f FROM m),
+        k AS (SELECT rel_key, src, dst, list_filter(f, lambda f: starts_with(f, 'path#'))[1] path, list_filter(f, lambda f: NOT starts_with(f, 'path#')) fs, coalesce(a.ent_type, 'O') sn, coalesce(b.ent_type, 'O') dn FROM f LEFT JOIN kb_entities a ON a.guid = src LEFT JOIN kb_entities b ON b.guid = dst),
+        fw AS (SELECT DISTINCT arg1, arg2 FROM t), q AS (SELECT k.*, (src, dst) IN (SELECT (arg1, arg2) FROM fw) fwd, (dst, src) IN (SELECT (arg1, arg2) FROM fw) bwd, (src, dst) IN (SELECT (arg1, arg2) FROM n) kn FROM k)
+        SELECT rel_key, 'POSITIVE' tag, src, dst, relation, sn || '->' || dn ner, path, array_to_string(fs, ' ') features FROM q JOIN t ON t.arg1 = src AND t.arg2 = dst
+        UNION ALL SELECT rel_key, 'POSITIVE', dst, src, relation, dn || '->' || sn, path || ':INV', array_to_string(list_transform(fs, lambda f: f || ':INV'), ' ') FROM q JOIN t ON t.arg1 = dst AND t.arg2 = src WHERE NOT fwd
+        UNION ALL SELECT rel_key, CASE WHEN src IN (SELECT guid FROM kb_entities WHERE ent_type = 'PERSON') AND dst IN (SELECT guid FROM kb_entities WHERE ent_type = 'PERSON') THEN 'NEGATIVE' ELSE 'UNLABELED' END, src, dst, 'REL$NA', sn || '->' || dn, path, array_to_string(fs, ' ')
+            FROM q WHERE NOT fwd AND NOT bwd AND NOT kn""",
+    "mention_evaluation": """WITH m AS (SELECT * FROM entity_mentions WHERE docid IS NOT NULL AND entity IS NOT NULL AND charbegin IS NOT NULL), g AS (SELECT mention_key gold, docid, charbegin, charend, entity arg1 FROM entity_mentions WHERE docid IS NOT NULL AND entity IS NOT NULL AND tacmention),
+        l AS (SELECT mention_key, docid, charbegin, charend, entity, charbegin // 200 sen FROM m WHERE NOT tacmention),
+        o AS (SELECT gold, arg1, g.docid, count(l.mention_key) n, arg_min(l.entity, (l.charbegin, l.mention_key)) ent, arg_min(l.sen, (l.charbegin, l.mention_key)) sen FROM g LEFT JOIN l ON l.docid = g.docid AND l.charbegin <= l.charend AND g.charbegin <= g.charend AND l.charbegin <= g.charend AND g.charbegin <= l.charend GROUP BY ALL),
+        a AS (SELECT gold, n, o.ent, o.arg1, count(l.mention_key) k, arg_min(l.mention_key, (l.charbegin, l.mention_key)) mk FROM o LEFT JOIN l ON l.docid = o.docid AND l.sen = o.sen AND l.entity = o.arg1 GROUP BY ALL)
+        SELECT count(*) n, count(*) FILTER (n = 0) missed_arg2, count(*) FILTER (n > 1) multiple_overlap, count(*) FILTER (n > 0 AND k = 0) missed_arg1, count(*) FILTER (k > 0 AND mk % 3 = 0) no_features, count(*) FILTER (k > 0 AND arg1 = ent) same_entity FROM a""",
+    "slot_misses": f"WITH {_T}, {_P} SELECT DISTINCT source arg1, dest arg2, relation slot FROM t WHERE (source, dest) NOT IN (SELECT (src, dst) FROM p) AND (dest, source) NOT IN (SELECT (src, dst) FROM p)",
     "distant_labels": f"""WITH {_T}, {_P}, k AS (SELECT DISTINCT source, dest, relation FROM t), n AS (SELECT sourceguid src, destguid dst FROM kb_relations WHERE reltype = 'NA' UNION SELECT destguid, sourceguid FROM kb_relations WHERE reltype = 'NA'),
         e AS (SELECT guid FROM kb_entities WHERE ent_type = 'PERSON'), r AS (SELECT * FROM p WHERE (src, dst) NOT IN (SELECT (source, dest) FROM k))
         SELECT src, dst, relation, 'POSITIVE' tag, false inverse FROM p JOIN k ON source = src AND dest = dst

@@ -11,6 +11,7 @@ from factloom.functions import paths, scoring, text
 from factloom.functions.folding import folded_words
 from factloom.operators import counts
 
+# Paths as they are written in the data, and the phrases they must give.
 RENDERED = [
     ("path#nsubjpass|<-nsubjpass<-challenge->prep->by->pobj->|pobj", "_enta was challenge by _entb"),
     ("path#rcmod|->rcmod->be->nsubj->|nsubj:INV", "_entb who is _enta"),
@@ -55,6 +56,24 @@ def test_tree_path():
     assert paths.tree_path([1, 0], ["a", "b"], ["x", "y"], 0, 1) is not None  # a cycle ends
 
 
+def test_entities_on_a_path_are_read_as_their_tags():
+    ner = ["PERSON", "O", "PERSON", "O", "LOCATION"]
+    assert paths.tree_path(TREE, LABELS, WORDS, 0, 4, ner)[0] == "<-nsubj<-met->dobj->person->prep->in->pobj->"
+    assert paths.tree_path(TREE, LABELS, ["Bob", "met", "Jr.", "in", "Rome"], 0, 4, ["O"] * 5)[0] == "<-nsubj<-met->dobj->o->prep->in->pobj->"
+    assert paths.tree_path(TREE, LABELS, WORDS, 0, 3, [None] * 5)[0] == "<-nsubj<-met->dobj->al->prep->"
+
+
+def test_tags_that_make_junk():
+    on, common = [0, 1, 2, 3, 4], 1
+    assert not paths.is_junk(on, common, LABELS, WORDS, TAGS)
+    assert paths.is_junk(on, common, LABELS, WORDS, ["NNP", "VBD", "CD", "IN", "NNP"])
+    assert paths.is_junk(on, common, LABELS, WORDS, ["NNP", "VBD", None, "IN", "NNP"])
+    assert not paths.is_junk(on, common, LABELS, WORDS, ["NNP", "MD", "NNP", "IN", "NNP"])  # the root's tag isn't asked for
+    assert paths.is_junk(on, common, ["adv", *LABELS[1:]], WORDS, TAGS)
+    assert not paths.is_junk([1, 2, 3, 4], 1, ["x", "root", "adv", "prep", "pobj"], WORDS, TAGS)  # a path that begins at its root has no first label
+    assert paths.is_junk(on, common, ["sbj", "root", "dobj", "prep", "sbj"], WORDS, TAGS)
+
+
 def test_junk():
     ok = paths.tree_path(TREE, LABELS, WORDS, 0, 4)
     assert not paths.is_junk(ok[2], ok[1], LABELS, WORDS, TAGS)
@@ -72,7 +91,7 @@ def test_heads():
 
 def test_path_columns_with_nulls(spark):
     df = spark.createDataFrame([(TREE, LABELS, WORDS, TAGS, 0, 4), (None, None, WORDS, None, 0, 1), (TREE, None, None, None, 0, 1), ([None, 0], None, ["a", "b"], None, 0, None)], "h array<int>, l array<string>, w array<string>, t array<string>, s int, d int")
-    got = [r[0] for r in df.select(paths.path_udf("h", "l", "w", "t", "s", "d")).collect()]
+    got = [r[0] for r in df.select(paths.path_udf("h", "l", "w", "t", F.lit(None).cast("array<string>"), "s", "d")).collect()]
     assert got[0].path == "<-nsubj<-met->dobj->al->prep->in->pobj->" and got[0].length == 5 and got[0].junk is False
     assert [g.path for g in got[1:]] == [None, None, None]
     assert [r[0] for r in df.select(paths.span_head_udf("h", "s", "d")).collect()] == [1, None, 0, None]
