@@ -1,6 +1,7 @@
-"""Ranked lists and their measures. Running measures of one list share one window; ``by`` names the lists (system, pattern ...).
+"""Ranked lists and their measures; ``by`` names the lists (system, pattern ...).
 
-A list that is ranked as a whole has no key to partition by; ``global_ranks`` ranks it by ranges, so it needs no single task.
+Ranks and running measures go by ranges over list and order, and a list that is ranked as a whole by ranges over its order, so neither needs
+a task that holds a whole list. Top-k cuts are windows that Spark limits before the exchange.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .naming import free
 
 
 def _window(by: list[str], order: list[Column]):
@@ -50,32 +52,56 @@ def global_ranks(df: DataFrame, order: list[Column], hit: str | None = None) ->
     return out.drop("_p", "_i", "_first", "_bn", "_bh")
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], hit: str, n_gold: Column | None = None) -> DataFrame:
-    """[W1] Adds rnk, tp, precision and recall at each place of each list; ``n_gold`` is the number of right facts there are, by default
-    those in the list. ``hit`` is 0 or 1; null counts as 0."""
-    w = _window(by, order)
-    rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = F.coalesce(F.col(hit), F.lit(0))
-    total = n_gold if n_gold is not None else F.sum(h).over(Window.partitionBy(*by))
-    out = df.withColumns({"rnk": F.row_number().over(w), "tp": F.sum(h).over(rows), "_gold": total})
-    return out.withColumns({"precision": F.col("tp") / F.col("rnk"), "recall": F.coalesce(F.try_divide(F.col("tp"), F.col("_gold")), F.lit(0.0))}).drop("_gold")
-
-
-def running_by_range(df: DataFrame, by: list[str], order: list[Column], hit: str) -> DataFrame:
-    """[W1] As ``running``, for lists of which one may hold much of the table: rows are sorted by ranges over list and order, each range counts
-    for itself, and the counts of a list's earlier ranges are added. No task holds more than its range; lists that end within one range need
-    no more than that. The lists' columns must not be null."""
+def _alike(a: DataFrame, b: DataFrame, cols: list[str], names: list[str]) -> Column:
+    """``cols`` of one table equal ``names`` of another, null to null."""
+    cond = F.lit(True)
+    for x, y in zip(cols, names):
+        cond = cond & a[x].eqNullSafe(b[y])
+    return cond
+
+
+def _by_ranges(df: DataFrame, by: list[str], order: list[Column], **add: Column) -> tuple[DataFrame, str, str]:
+    """The rows sorted by ranges over list and order, written with the number of their range and a place that rises in it, and ``add``."""
+    part, place = free([*df.columns, *add], "_p", "_i")
     every = [F.col(c) for c in by] + order
     parts = df.repartitionByRange(*every).sortWithinPartitions(*every)
-    rows = settled(parts.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id(), "_h": F.coalesce(F.col(hit), F.lit(0))}), "runs")
-    ranges = rows.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"), F.sum("_h").alias("_hits"))
+    return settled(parts.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id(), **add}), "runs"), part, place
+
+
+def _counted(df: DataFrame, by: list[str], order: list[Column], rank: str, hit: str | None = None) -> DataFrame:
+    """Adds the place ``rank`` of each row in its list, and with ``hit`` also ``tp``, the right ones up to it, and ``_gold``, those of its list.
+
+    Each range counts for itself, and the counts of a list's earlier ranges, one row for each list and range, are added. So no task
+    holds more than its range, even if one list is most of the table."""
+    h = F.coalesce(F.col(hit), F.lit(0)) if hit else F.lit(0)
+    rows, part, place = _by_ranges(df, by, order, _h=h)
+    ranges = rows.groupBy(*by, part).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"), F.sum("_h").alias("_hits"))
     w = Window.partitionBy(*by)
-    before = lambda c: F.coalesce(F.sum(c).over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(*by, "_p", "_first", before("_n").alias("_bn"), before("_hits").alias("_bh"), F.sum("_hits").over(w).alias("_gold"))
-    local = F.sum("_h").over(Window.partitionBy(*by, "_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.join(ranges, [*by, "_p"]).withColumns({"rnk": (F.col("_i") - F.col("_first") + F.col("_bn") + 1).cast("int"), "tp": local + F.col("_bh")})
-    out = out.withColumns({"precision": F.col("tp") / F.col("rnk"), "recall": F.coalesce(F.try_divide(F.col("tp"), F.col("_gold")), F.lit(0.0))})
-    return out.drop("_p", "_i", "_h", "_first", "_bn", "_bh", "_gold")
+    before = lambda c: F.coalesce(F.sum(c).over(w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = free([*rows.columns, rank, "tp"], *[f"_by{i}" for i in range(len(by))], "_part")
+    ranges = ranges.select(*[F.col(c).alias(n) for c, n in zip([*by, part], names)], "_first", before("_n").alias("_bn"), before("_hits").alias("_bh"), F.sum("_hits").over(w).alias("_gold"))
+    out = rows
+    if hit:
+        out = out.withColumn("tp", F.sum("_h").over(Window.partitionBy(*by, part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(ranges, _alike(out, ranges, [*by, part], list(names))).withColumn(rank, (F.col(place) - F.col("_first") + F.col("_bn") + 1).cast("int"))
+    if hit:
+        out = out.withColumn("tp", F.col("tp") + F.col("_bh"))
+    out = out.drop(part, place, "_h", "_first", "_bn", "_bh", *names)
+    return out if hit else out.drop("_gold")
+
+
+def ranked_by_range(df: DataFrame, by: list[str], order: list[Column], name: str = "rnk") -> DataFrame:
+    """[O1] As ``ranked``, for lists of which one may hold much of the table."""
+    return _counted(df, by, order, name)
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], hit: str, n_gold: Column | None = None) -> DataFrame:
+    """[W1] Adds rnk, tp, precision and recall at each place of each list; ``n_gold`` is the number of right facts there are, by default
+    those in the list. ``hit`` is 0 or 1; null counts as 0. A null list is one like any other. Lists are worked through by ranges, so a
+    list of any length is spread over tasks."""
+    out = _counted(df, by, order, "rnk", hit)
+    total = n_gold if n_gold is not None else F.col("_gold")
+    return out.withColumns({"precision": F.col("tp") / F.col("rnk"), "recall": F.coalesce(F.try_divide(F.col("tp"), total), F.lit(0.0))}).drop("_gold")
 
 
 def average_precision(run: DataFrame, by: list[str], hit: str, gold: DataFrame) -> DataFrame:
@@ -99,9 +125,17 @@ def interpolated(run: DataFrame, by: list[str], levels: int = 10, depth: int | N
 
 
 def precision_envelope(run: DataFrame, by: list[str]) -> DataFrame:
-    """[W7] ``envelope``: the highest precision from each place down to the end. Read from the end, so that the frame grows row by row."""
-    w = Window.partitionBy(*by).orderBy(F.col("rnk").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return run.withColumn("envelope", F.max("precision").over(w))
+    """[W7] ``envelope``: the highest precision from each place down to the end. Each range looks to its own end, from where the frame grows
+    row by row, and takes the highest of the list's later ranges."""
+    rows, part, place = _by_ranges(run, by, [F.col("rnk")])
+    ranges = rows.groupBy(*by, part).agg(F.max("precision").alias("_top"))
+    later = F.max("_top").over(Window.partitionBy(*by).orderBy(part).rowsBetween(1, Window.unboundedFollowing))
+    names = free([*rows.columns, "envelope"], *[f"_by{i}" for i in range(len(by))], "_part")
+    ranges = ranges.select(*[F.col(c).alias(n) for c, n in zip([*by, part], names)], later.alias("_later"))
+    own = F.max("precision").over(Window.partitionBy(*by, part).orderBy(F.col(place).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("envelope", own)
+    out = out.join(ranges, _alike(out, ranges, [*by, part], list(names))).withColumn("envelope", F.greatest("envelope", "_later"))
+    return out.drop(part, place, "_later", *names)
 
 
 def precision_at(run: DataFrame, by: list[str], places: list[int]) -> DataFrame:
@@ -109,6 +143,11 @@ def precision_at(run: DataFrame, by: list[str], places: list[int]) -> DataFrame:
     return run.filter(F.col("rnk").isin(places)).select(*by, F.col("rnk").alias("k"), "precision")
 
 
+def unjudged(run: DataFrame, by: list[str], hit: str, depth: int) -> DataFrame:
+    """[W8] Per list, how many of its first ``depth`` facts nobody has judged (``hit`` is null)."""
+    return run.groupBy(*by).agg(F.count_if((F.col("rnk") <= depth) & F.col(hit).isNull()).alias("n_unjudged"), F.least(F.count(F.lit(1)), F.lit(depth)).alias("n"))
+
+
 def best_f1(run: DataFrame, by: list[str]) -> DataFrame:
     """[A17] The place of the highest F1 of each list, the first of equal ones."""
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
@@ -135,10 +174,12 @@ def until_last_hit(run: DataFrame, by: list[str], hit: str) -> DataFrame:
 
 
 def heldout_ranks(cells: DataFrame, key: list[str], score: str, hidden: str, name: str) -> DataFrame:
-    """[W4] Rank of each hidden fact among its tuple's candidates that score at least as high as the lowest hidden one."""
-    low = F.min(F.when(F.col(hidden), F.col(score))).over(Window.partitionBy(*key))
-    kept = cells.withColumn("_low", low).filter(F.col(score) >= F.col("_low")).drop("_low")
-    return ranked(kept, key, [F.col(score).desc(), F.col(name)]).filter(F.col(hidden))
+    """[W4] Rank of each hidden fact among its tuple's candidates that score at least as high as the lowest hidden one. Tuples without a hidden
+    fact and cells below the bound end before anything is sorted."""
+    names = free(cells.columns, *[f"_k{i}" for i in range(len(key))], "_low")
+    low = cells.filter(hidden).groupBy(*[F.col(k).alias(n) for k, n in zip(key, names)]).agg(F.min(score).alias(names[-1]))
+    kept = cells.join(low, _alike(cells, low, key, list(names[:-1]))).filter(F.col(score) >= F.col(names[-1])).select(*cells.columns)
+    return ranked_by_range(kept, key, [F.col(score).desc(), F.col(name)]).filter(F.col(hidden))
 
 
 def rank_summary(df: DataFrame, by: list[str], rank: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+from .counts import dictionary
+from .ranking import global_ranks
+
 
 def draw(seed: int, *keys: Column | str) -> Column:
     """A number of [0, 2^31) by integer arithmetic on the hash of the keys."""
@@ -28,12 +32,17 @@ def sample_per_class(df: DataFrame, cls: str, n: int | Column, order: Column, *t
 
 
 def balanced(df: DataFrame, cls: str, a: str, b: str, order: Column, *ties: str) -> DataFrame:
-    """[P2, R2] As many rows of ``a`` as of ``b``: the smaller class whole, the larger sampled; other classes stay whole."""
-    sizes = df.filter(F.col(cls).isin(a, b)).groupBy(cls).count()
-    least = sizes.agg(F.when(F.count(F.lit(1)) == 2, F.min("count")).otherwise(0).alias("_least"))
-    w = Window.partitionBy(cls).orderBy(order, *ties)
-    out = df.withColumn("_n", F.row_number().over(w)).crossJoin(F.broadcast(least))
-    return out.filter(~F.col(cls).isin(a, b) | (F.col("_n") <= F.col("_least"))).drop("_n", "_least")
+    """[P2, R2] As many rows of ``a`` as of ``b``: the smaller class whole, the larger sampled, and so are rows without a class; other classes stay
+    whole.
+
+    The size of the smaller one is counted first, so that the sample is limited in each task before the exchange and the rest isn't shuffled."""
+    sizes = {r[cls]: r["count"] for r in df.filter(F.col(cls).isin(a, b)).groupBy(cls).count().collect()}
+    least = min(sizes.get(a, 0), sizes.get(b, 0))
+    both = F.col(cls).isin(a, b)
+    whole = [c for c in (a, b) if sizes.get(c, 0) == least]
+    sampled = sample_per_class(df.filter(both & ~F.col(cls).isin(*whole) | F.col(cls).isNull()), cls, least, order, *ties) if least else df.limit(0)
+    rest = df.filter(~both & F.col(cls).isNotNull() | (F.col(cls).isin(*whole) if least else F.lit(False)))
+    return rest.unionByName(sampled)
 
 
 def keep_labels(df: DataFrame, label: str, unlabeled: bool, negative: bool) -> DataFrame:
@@ -55,6 +64,33 @@ def negatives(cells: DataFrame, rels: DataFrame, per_tuple: int, tuple_no: Colum
     return named.join(have, hit, "left_anti").withColumn("target", F.lit(0.0))
 
 
+def negative_pool(rows: DataFrame, row: str, feature: str, times: int = 5, labels: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """[R4, A20] (row, feature) negatives for the matrix of distinct (row, feature): for each row ``times`` as many as it has features, halved until the
+    features it lacks suffice; besides, with ``labels``, each of these that the row lacks.
+
+    Features are numbered, and a row's negatives are the first ones it lacks from a drawn number on, going round: so no draw hits a feature of
+    the row, and no list of all features is held. Rows have few features; the numbers of a row are gathered to skip them.
+    """
+    d = rows.select(row, feature).filter(F.col(row).isNotNull() & F.col(feature).isNotNull()).distinct()
+    ids = settled(dictionary(d, feature), "features")
+    n = ids.count()
+    own = d.join(ids, feature).groupBy(row).agg(F.array_sort(F.collect_list("id")).alias("_own"))
+    size, most = F.size("_own"), F.lit(n) - F.size("_own")
+    fits = F.ceil(F.log2(F.greatest(size * times, F.lit(1)) / F.greatest(most, F.lit(1)))).cast("int")
+    # whole-number halvings, one more where rounding down wasn't enough
+    half = lambda k: F.floor(size * times / F.pow(F.lit(2.0), k))
+    k = F.greatest(fits, F.lit(0))
+    want = F.when(most <= 0, 0).when((k > 0) & (half(k - 1) <= most), half(k - 1)).otherwise(half(k)).cast("int")
+    start = F.pmod(F.xxhash64(F.lit(seed), row), F.lit(max(n, 1)))
+    span = F.when(want > 0, F.sequence(F.lit(0), want + size - 1)).otherwise(F.array().cast("array<int>"))
+    numbers = F.slice(F.filter(F.transform(span, lambda i: F.pmod(start + i, F.lit(max(n, 1)))), lambda x: ~F.array_contains("_own", x)), F.lit(1), F.greatest(want, F.lit(1)))
+    drawn = own.select(row, F.explode(numbers).alias("id")).join(ids, "id").select(row, feature)
+    if not labels:
+        return drawn
+    every = own.select(row, F.explode(F.array(*[F.lit(x) for x in labels])).alias(feature))
+    return drawn.unionByName(every.join(d, [row, feature], "left_anti")).distinct()
+
+
 def one_per(df: DataFrame, keys: list[str], order: Column, *ties: str) -> DataFrame:
     """[R6] At most one row of each key, for each key column in turn."""
     for k in keys:
@@ -63,17 +99,27 @@ def one_per(df: DataFrame, keys: list[str], order: Column, *ties: str) -> DataFr
     return df
 
 
-def split_by_counts(df: DataFrame, key: str, validation: int, test: int) -> DataFrame:
-    """[O11] Rows in order of ``key``: the last ``test`` are test, the ``validation`` before them validation, all others train.
+def split_by_counts(df: DataFrame, key: str, validation: int, test: int, last: bool = True, size: int | None = None) -> DataFrame:
+    """[O11, O12] Rows in order of ``key``: the last ``test`` are test, the ``validation`` before them validation, all others train; or with
+    ``last`` false the first ``validation`` are validation, the ``test`` behind them test. With ``size`` it is an error if there are not that many rows.
 
-    Only the borders need an order: the ``validation + test`` last keys are found by a top-k, not by a global sort of the rows.
+    Only two borders are needed: keys are ranked by ranges, and the rows are compared with the borders, without a shuffle. ``key`` is unique
+    and not null.
     """
-    tail = df.select(key).orderBy(F.col(key).desc()).limit(validation + test)
-    borders = tail.agg(F.min_by(key, F.struct(key)).alias("_v"), F.sort_array(F.collect_list(key), False).alias("_all"))
-    borders = borders.select("_v", F.get("_all", F.lit(test - 1)).alias("_t"))
+    if size is not None and (n := df.count()) != size:
+        raise ValueError(f"{n} rows in place of {size}")
+    if validation + test == 0:
+        return df.withColumn("part", F.lit("train"))
     k = F.col(key)
-    part = F.when(F.lit(test > 0) & (k >= F.col("_t")), "test").when(F.lit(validation + test > 0) & (k >= F.col("_v")), "validation").otherwise("train")
-    return df.crossJoin(F.broadcast(borders)).withColumn("part", part).drop("_v", "_t")
+    first = test if last else validation
+    ranks = global_ranks(df.select(key), [k.desc() if last else k.asc()])
+    near = {r["rnk"]: r[key] for r in ranks.filter(F.col("rnk").isin(first, validation + test)).select("rnk", key).collect()}
+    names = ("test", "validation") if last else ("validation", "test")
+    within = lambda b: (k >= F.lit(b)) if last else (k <= F.lit(b))
+    # a border that isn't there lies beyond all rows
+    inner = F.lit(False) if first == 0 else within(near[first]) if first in near else F.lit(True)
+    outer = within(near[validation + test]) if validation + test in near else F.lit(True)
+    return df.withColumn("part", F.when(inner, names[0]).when(outer, names[1]).otherwise("train"))
 
 
 def gaussian(seed: int, scale: Column, *keys: Column | str) -> Column:
@@ -89,9 +135,11 @@ def mean_deviation(emb: DataFrame, vec: str) -> DataFrame:
     return per.agg(F.avg("s").alias("sd"))
 
 
-def filled_embeddings(ids: DataFrame, emb: DataFrame, key: str, vec: str, dims: int, seed: int = 0) -> DataFrame:
-    """[J1, R7] Every id with its vector; missing ones drawn with the mean deviation of the given ones; ``known`` tells which."""
-    sd = mean_deviation(emb, vec)
+def filled_embeddings(ids: DataFrame, emb: DataFrame, key: str, vec: str, seed: int = 0) -> DataFrame:
+    """[J1, R7] Every id with its vector; missing ones drawn with the mean deviation of the given ones, as long as the longest of them; ``known``
+    tells which. Without any given vector the drawn ones are empty."""
+    sd = mean_deviation(emb, vec).crossJoin(emb.agg(F.coalesce(F.max(F.size(vec)), F.lit(0)).alias("_dims")))  # one row each
     joined = ids.join(emb, key, "left").crossJoin(F.broadcast(sd))
-    made = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: gaussian(seed, F.col("sd"), F.col(key), i).cast("float"))
+    places = F.when(F.col("_dims") > 0, F.sequence(F.lit(0), F.col("_dims") - 1)).otherwise(F.array().cast("array<int>"))
+    made = F.transform(places, lambda i: gaussian(seed, F.col("sd"), F.col(key), i).cast("float"))
     return joined.select(key, F.coalesce(F.col(vec), made).alias(vec), F.col(vec).isNotNull().alias("known"))

@@ -56,18 +56,18 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.token_counts(_corpus(spark, d).select(_masked().alias("s")), text.tokens(F.col("s")))
 
 
-def _vocab(spark: SparkSession, d: str, size: int = 500) -> DataFrame:
+def _vocab(spark: SparkSession, d: str, size: int = 10_000) -> DataFrame:
     return counts.vocabulary(token_counts(spark, d), size)
 
 
 def vocab_topk(spark: SparkSession, d: str) -> DataFrame:
-    """[A2] Vocabulary of 500 ids."""
+    """[A2] Vocabulary of 10 000 ids."""
     return _vocab(spark, d)
 
 
 def vectorized(spark: SparkSession, d: str) -> DataFrame:
     """Ids of the sentences, padded to 40, with lengths, weights and decoded again."""
-    vocab = [(r.token, r.id) for r in _vocab(spark, d).select("token", "id").collect()]  # 500 entries, the vocabulary's bound
+    vocab = [(r.token, r.id) for r in _vocab(spark, d).select("token", "id").collect()]  # 10 000 entries, the vocabulary's bound
     words = [w for w, _ in sorted(vocab, key=lambda p: p[1])]
     df = _corpus(spark, d).filter("sentences is not null").select("rec_id", "loaded_at", text.tokens(_masked()).alias("t"))
     df = df.select("rec_id", "loaded_at", text.vectorizer(vocab, eos=True)("t").alias("ids"))
@@ -195,7 +195,27 @@ def embed_join(spark: SparkSession, d: str) -> DataFrame:
 def filled_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """[R7] Every document with a vector, drawn where none is given (not in SQL: draws)."""
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return sampling.filled_embeddings(table(spark, d, "documents").select("doc_id"), emb, "doc_id", "embedding", 8)
+    return sampling.filled_embeddings(table(spark, d, "documents").select("doc_id"), emb, "doc_id", "embedding")
+
+
+def filled_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """[R7] The filled vectors: which are given, how long they are, and the first number of the given ones."""
+    f = filled_embeddings(spark, d)
+    return f.select("doc_id", "known", F.size("embedding").alias("dims"), F.when(F.col("known"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6)).alias("first"))
+
+
+def negative_features(spark: SparkSession, d: str) -> DataFrame:
+    """[R4, A20] How many negative features each KB pair gets, and how many of them it has itself (none). Which ones is drawn."""
+    kb = table(spark, d, "kb_relations").select(F.concat_ws("|", "sourceguid", "destguid").alias("pair"), F.explode(F.flatten(F.array_compact("mention.feature"))).alias("f"))
+    neg = sampling.negative_pool(kb, "pair", "f")
+    have = kb.filter("f is not null").distinct().withColumn("_h", F.lit(1))
+    return neg.join(have, ["pair", "f"], "left").groupBy("pair").agg(F.countDistinct("f").alias("n"), F.count("_h").alias("n_own"))
+
+
+def seq_split_first(spark: SparkSession, d: str) -> DataFrame:
+    """[O12] The first 50 documents for validation, the 100 behind them for test."""
+    docs = table(spark, d, "documents").select("doc_id")
+    return sampling.split_by_counts(docs, "doc_id", 50, 100, last=False, size=docs.count())
 
 
 def epoch_order(spark: SparkSession, d: str) -> DataFrame:
@@ -213,14 +233,14 @@ def rendered_paths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     label_counts, filter_positive, balanced_labels, class_sample, stemmed_text, token_counts, vocab_topk, vectorized, relation_vocab, spans_between, one_hot_splits, dumped_records, cleaned_lex,
     abbreviations, bracketed, keyword_documents, gated_documents, document_regions, entity_attributes, frequent_features, idf_types, relation_dictionary, feature_matrix, record_label_sets,
-    seq_split, page_of_documents, one_per_entity, embed_join, filled_embeddings, epoch_order, rendered_paths,
+    seq_split, page_of_documents, one_per_entity, embed_join, filled_embeddings, filled_sizes, negative_features, seq_split_first, epoch_order, rendered_paths,
 )}
 
 _MASK = "replace(replace(sentences, entas, '_enta'), entbs, '_entb')"
 _STEM = rf"lower(regexp_replace({_MASK}, '\d', '0', 'g'))"
 _TOK = rf"list_filter(regexp_split_to_array({_STEM}, '\s+'), lambda x: x <> '')"
 _COUNTS = f"WITH t AS (SELECT token, count(*) n FROM (SELECT unnest({_TOK}) token FROM corpus_records) GROUP BY 1)"
-_VOCAB = f"""{_COUNTS}, v AS (SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::INTEGER id, n FROM t WHERE token NOT IN ('_pad', '_unk', '_go', '_eos') QUALIFY id < 500),
+_VOCAB = f"""{_COUNTS}, v AS (SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::INTEGER id, n FROM t WHERE token NOT IN ('_pad', '_unk', '_go', '_eos') QUALIFY id < 10000),
     vocab AS (SELECT * FROM v UNION ALL SELECT * FROM (VALUES ('_pad', 0, 0), ('_unk', 1, 0), ('_go', 2, 0), ('_eos', 3, 0)) s(token, id, n))"""
 _STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
 _BAR = "chr(10)"
@@ -272,6 +292,12 @@ ORACLE = {
         c AS (SELECT * FROM f WHERE f IN (SELECT f FROM f GROUP BY 1 HAVING count(*) >= 5)) SELECT pair, f FROM c WHERE pair IN (SELECT pair FROM c GROUP BY 1 HAVING count(*) >= 3)""",
     "record_label_sets": """SELECT rel_key, loaded_at, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(mention, lambda m: coalesce(m.feature, []))), lambda f: starts_with(f, 'path#')))), ',') AS labels FROM kb_relations""",
     "seq_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id DESC) <= 100 THEN 'test' WHEN row_number() OVER (ORDER BY doc_id DESC) <= 150 THEN 'validation' ELSE 'train' END part FROM documents",
+    "filled_sizes": """WITH n AS (SELECT max(len(embedding)) dims FROM embeddings)
+        SELECT doc_id, vec_id IS NOT NULL known, coalesce(len(embedding), dims)::INTEGER dims, round(embedding[1]::DOUBLE, 6) AS "first" FROM documents LEFT JOIN embeddings ON vec_id = doc_id, n""",
+    "negative_features": """WITH m AS (SELECT sourceguid || '|' || destguid pair, unnest(mention) x FROM kb_relations), f AS (SELECT DISTINCT pair, f FROM (SELECT pair, unnest(x.feature) f FROM m) WHERE f IS NOT NULL),
+        n AS (SELECT count(DISTINCT f) n FROM f), p AS (SELECT pair, count(*) s FROM f GROUP BY 1), h AS (SELECT pair, n - s most, list_transform(range(0, 30), lambda k: (5 * s) // (1 << k::INTEGER)) hs FROM p, n)
+        SELECT pair, list_filter(hs, lambda x: x <= most)[1]::BIGINT n, 0::BIGINT n_own FROM h WHERE list_filter(hs, lambda x: x <= most)[1] > 0""",
+    "seq_split_first": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= 50 THEN 'validation' WHEN row_number() OVER (ORDER BY doc_id) <= 150 THEN 'test' ELSE 'train' END part FROM documents",
     "page_of_documents": "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40",
     "one_per_entity": """WITH a AS (SELECT cell_id, arg2 FROM cells WHERE arg2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY arg1 ORDER BY (cell_id * 7919 + 7 * 104729) % 1000003, cell_id) = 1)
         SELECT cell_id FROM a QUALIFY row_number() OVER (PARTITION BY arg2 ORDER BY (cell_id * 7919 + 7 * 104729) % 1000003, cell_id) = 1""",

@@ -48,11 +48,6 @@ def running_pr(spark: SparkSession, d: str) -> DataFrame:
     return R.running(_scored(spark, d), ["relation"], _order(), "hit").select("relation", "cell_id", "rnk", "tp", "precision", "recall")
 
 
-def running_pr_by_range(spark: SparkSession, d: str) -> DataFrame:
-    """[W1] The same by ranges, for lists that dominate the table."""
-    return R.running_by_range(_scored(spark, d), ["relation"], _order(), "hit").select("relation", "cell_id", "rnk", "tp", "precision", "recall")
-
-
 def pool_topk(spark: SparkSession, d: str) -> DataFrame:
     """[O2, U4] Facts among the first hundred of either system."""
     return R.pool(_systems(spark, d), ["relation"], ["arg1", "arg2"], _order(), 100, "system")
@@ -87,6 +82,13 @@ def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
     return R.precision_at(_run(spark, d), ["system", "relation"], [50, 100, 200, 300, 400])
 
 
+def unjudged_labels(spark: SparkSession, d: str) -> DataFrame:
+    """[W8] How many of the first 400 facts of each list the KB hasn't judged."""
+    kb = table(spark, d, "kb_relations").select(F.concat(F.lit("REL$"), "reltype").alias("relation"), F.col("sourceguid").alias("arg1"), F.col("destguid").alias("arg2"), F.lit(1).alias("judged")).distinct()
+    s = _scored(spark, d).join(kb, ["relation", "arg1", "arg2"], "left")
+    return R.unjudged(R.running(s, ["relation"], _order(), "judged"), ["relation"], "judged", 400)
+
+
 def best_f1(spark: SparkSession, d: str) -> DataFrame:
     """[A17, A18, W11] Best F1 and area of each list."""
     r = R.by_type(_run(spark, d), ["system", "relation"]).select("system", "relation", "rnk", "tp", "precision", "recall", "f1", "area", "n")
@@ -244,7 +246,7 @@ def tensor_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ranked_predictions, running_pr, running_pr_by_range, pool_topk, average_precision, map_systems, interp_11pt, precision_envelope, precision_at_k, best_f1, pooled_f1, last_hit, heldout_rank, rank_by_type, confusion, class_prf,
+    ranked_predictions, running_pr, pool_topk, average_precision, map_systems, interp_11pt, precision_envelope, precision_at_k, unjudged_labels, best_f1, pooled_f1, last_hit, heldout_rank, rank_by_type, confusion, class_prf,
     micro_macro_cum, early_stop, top3_dims, softmax_top, best_labels, rank_diff, dropped_to_zero, two_best_lines, restricted_ranks, to_annotate, annotated_precision, pattern_matches, sign_test,
     heldout_candidates, scored_cells, tensor_scores,
 )}
@@ -269,6 +271,8 @@ ORACLE = {
         SELECT system, lvl AS "level", round(avg(p), 6) AS "precision" FROM v GROUP BY 1, 2""",
     "precision_envelope": f"WITH {_RUN} SELECT relation, cell_id, max(\"precision\") OVER (PARTITION BY relation ORDER BY rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) envelope FROM run WHERE system = 'A'",
     "precision_at_k": f"WITH {_RUN} SELECT system, relation, rnk::INTEGER k, \"precision\" FROM run WHERE rnk IN (50, 100, 200, 300, 400)",
+    "unjudged_labels": f"""WITH {_S}, j AS (SELECT *, (relation, arg1, arg2) IN (SELECT ('REL$' || reltype, sourceguid, destguid) FROM kb_relations WHERE reltype IS NOT NULL AND sourceguid IS NOT NULL AND destguid IS NOT NULL) q, row_number() OVER (PARTITION BY relation ORDER BY score DESC, cell_id) r FROM s)
+        SELECT relation, count(*) FILTER (r <= 400 AND NOT coalesce(q, false)) n_unjudged, least(count(*), 400) n FROM j GROUP BY 1""",
     "best_f1": f"""WITH {_RUN}, f AS (SELECT *, {_F1} f1 FROM run), x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY system, relation ORDER BY round(f1, 12) DESC, rnk) = 1), a AS (SELECT system, relation, avg("precision") area, count(*) n FROM run GROUP BY 1, 2)
         SELECT system, relation, rnk::INTEGER rnk, tp::BIGINT tp, round("precision", 6) "precision", round(recall, 6) recall, round(f1, 6) f1, round(area, 6) area, n FROM x JOIN a USING (system, relation)""",
     "pooled_f1": f"""WITH {_RUN}, f AS (SELECT *, {_F1} f1 FROM run WHERE system = 'A'), x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY relation ORDER BY round(f1, 12) DESC, rnk) = 1),
@@ -312,4 +316,3 @@ ORACLE = {
     "tensor_scores": """WITH a AS (SELECT vec_id, unnest(embedding)::DOUBLE v, unnest(range(len(embedding))) i FROM embeddings)
         SELECT a.vec_id, round(0.5 * sum(a.v * abs(a.v) * abs(b.v)), 4) score FROM a JOIN a b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1""",
 }
-ORACLE["running_pr_by_range"] = ORACLE["running_pr"]
