@@ -8,6 +8,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scoring import pair_score, sigmoid
+from ..operators.counts import dictionary
+from ..session import settled
+from .factor import tuple_key
 
 #: Parameters at most: they are sent to every worker and held by the driver.
 MAX_PARAMETERS = 4_000_000
@@ -55,13 +61,14 @@ def minimise(value_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], x
 def logistic_factors(cells: DataFrame, n_rel: int, n_tup: int, components: int, l2: float = 0.01, seed: int = 0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
     """[M3, M21, A24] Fits bias[rel] + rel . tup to cells (rel INT, tup INT, target DOUBLE); returns biases, both factor matrices and the values.
 
-    Each evaluation is one job: the parameters are broadcast, every partition sums its own gradient, and the partial sums are added up
-    (one row for each partition and block of parameters).
+    Each evaluation is one job: the parameters are broadcast, every partition sums its own gradient, and the partial sums are added up eight at
+    a time by tasks until eight at most are left, which the driver adds.
     """
     size = n_rel + (n_rel + n_tup) * components
     if size > MAX_PARAMETERS:
         raise ValueError(f"{size} parameters are more than {MAX_PARAMETERS}; train with factor.fit_pointwise")
     sc = cells.sparkSession.sparkContext
+    parts_of_cells = cells.rdd.getNumPartitions()
     rng = np.random.default_rng(seed)
     x0 = np.concatenate([np.zeros(n_rel), rng.normal(0, 0.1, (n_rel + n_tup) * components)])
 
@@ -84,8 +91,23 @@ def logistic_factors(cells: DataFrame, n_rel: int, n_tup: int, components: int,
                 np.add.at(gt, j, g[:, None] * r[i])
             yield pd.DataFrame({"v": [total], "g": [np.concatenate([gb, gr.ravel(), gt.ravel()]).tobytes()]})
 
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, g = 0.0, None
+            for p in batches:
+                total += float(p["v"].sum())
+                for part in p["g"]:
+                    own = np.frombuffer(bytes(part))
+                    g = own if g is None else g + own
+            if g is not None:
+                yield pd.DataFrame({"v": [total], "g": [g.tobytes()]})
+
         value, grad = 0.5 * l2 * float(x @ x), l2 * x
-        for row in cells.select("rel", "tup", "target").mapInPandas(run, "v double, g binary").toLocalIterator():
+        sums = cells.select("rel", "tup", "target").mapInPandas(run, "v double, g binary")
+        n = parts_of_cells
+        while n > 8:
+            n = -(-n // 8)
+            sums = sums.repartition(n).mapInPandas(add, "v double, g binary")
+        for row in sums.toLocalIterator():
             value += row["v"]
             grad = grad + np.frombuffer(bytes(row["g"]))
         sent.unpersist()
@@ -93,3 +115,20 @@ def logistic_factors(cells: DataFrame, n_rel: int, n_tup: int, components: int,
 
     x, values = minimise(value_gradient, x0, rounds=rounds)
     return *parts(x), values
+
+
+def fit_cells(train: DataFrame, cells: DataFrame, components: int = 8, l2: float = 0.01, rounds: int = 30, seed: int = 0) -> DataFrame:
+    """[M3, M13] Fits cells (relation, arg1, arg2, target) and adds ``prob`` to others (relation, arg1, arg2, ...). Relations and tuples are numbered
+    by tables; unknown ones have no bias and no factors."""
+    spark = train.sparkSession
+    key = tuple_key()
+    rel = settled(dictionary(train, "relation").withColumnRenamed("id", "_rel"), "relations")
+    tup = settled(dictionary(train.select(key.alias("_key")), "_key").withColumnRenamed("id", "_tup"), "tuples")
+    numbered = train.withColumn("_key", key).join(rel, "relation").join(tup, "_key")
+    b, r, t, _ = logistic_factors(settled(numbered.select(F.col("_rel").cast("int").alias("rel"), F.col("_tup").cast("int").alias("tup"), "target"), "cells"), rel.count(), tup.count(), components, l2, seed, rounds)
+    # the driver holds the parameters (bounded by MAX_PARAMETERS) and hands them back as tables
+    rows = lambda m, *more: pd.DataFrame({"i": range(len(m)), "v": list(m), **dict(more)})
+    vr = spark.createDataFrame(rows(r.tolist(), ("b", b)), "i bigint, v array<double>, b double").withColumnsRenamed({"i": "_rel", "v": "_vr"})
+    vt = spark.createDataFrame(rows(t.tolist()), "i bigint, v array<double>").withColumnsRenamed({"i": "_tup", "v": "_vt"})
+    out = cells.withColumn("_key", key).join(rel.join(vr, "_rel"), "relation", "left").join(tup.join(vt, "_tup"), "_key", "left")
+    return out.select(*cells.columns, sigmoid(pair_score(F.col("_vr"), F.col("_vt"), F.col("b"))).alias("prob"))

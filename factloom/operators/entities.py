@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import discard, settled
 
 #: Width of the cells that spans are dealt to before they are compared.
 SPAN_CELL = 64
@@ -179,6 +179,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int | None = None) -> D
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = settled(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         changed = nxt.join(e, ["u", "v"], "left_anti").limit(1).count() or e.join(nxt, ["u", "v"], "left_anti").limit(1).count()
+        discard(e)
         e = nxt
         if not changed:
             break

@@ -65,7 +65,7 @@ def projected_scores(spark: SparkSession, d: str) -> DataFrame:
     """[M4] Scores of tuples with several labels, at most one of which is expected to hold (iterative)."""
     c = table(spark, d, "cells").filter(F.col("relation").startswith("REL$") & F.col("arg2").isNotNull() & F.col("predicted").isNotNull() & ~F.isnan("predicted"))
     s = c.select("cell_id", "arg1", "arg2", ((F.col("predicted") - 0.5) * 8).alias("x"))
-    return factor.at_most(s, ["arg1", "arg2"], "x", 1.0, rounds=4).select("cell_id", "multiplier", "projected")
+    return factor.at_most(s, ["arg1", "arg2"], "x", 1.0).select("cell_id", "multiplier", "projected")
 
 
 def surface_mentions(spark: SparkSession, d: str) -> DataFrame:

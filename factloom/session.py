@@ -77,18 +77,40 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def settled(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts the lineage, is computed once however often it is read, stays readable when executors are lost, and a later
-    reader takes only the columns it needs. It is deleted when the application ends.
+    reader takes only the columns it needs. It is deleted when the application ends, or by ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing will read again, as those of a past round."""
+    for df in tables:
+        path = getattr(df, "_settled_at", None)
+        if path:
+            fs, p = _file_system(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:

@@ -101,3 +101,59 @@ def test_save(spark, tmp_path):
     p = spark.createDataFrame([("rel", "a", [1.0]), ("tup", "b", [2.0])], "kind string, key string, vec array<double>")
     factor.save(p, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).filter("kind = 'rel'").count() == 1
+
+
+@pytest.mark.parametrize("mode", ["bpr-all", "bpr-row", "bpr-tensor", "sgd-dynamic"])
+def test_modes(spark, blocks, mode):
+    train, _ = blocks
+    cells = train.withColumn("target", F.lit(1.0)) if mode.startswith("sgd") else train
+    cfg = factor.Config("FTB", 3, epochs=3, rate=0.5, phases=factor.THREE_PHASES, patience=9)
+    params, losses = factor.train(cells, cfg, mode)
+    assert len(losses) == 3 and all(np.isfinite(losses)) and set(r.kind for r in params.select("kind").distinct().collect()) == {"bias", "rel", "tup", "src", "dst", "any"}
+    with pytest.raises(ValueError):
+        factor.train(cells, cfg, "none")
+
+
+def test_draws(spark, blocks):
+    train, _ = blocks
+    seen = {tuple(r) for r in train.collect()}
+    for pairs, check in {
+        "tensor": lambda r: (r.other != r.relation) + (r.b1 != r.a1) + (r.b2 != r.a2) == 1,
+        "all": lambda r: r.other is not None,
+        "row": lambda r: r.other is None or (r.b1, r.b2) == (r.a1, r.a2),
+    }.items():
+        rows = factor.training_pairs(train, factor.Config("F", 2, pairs=pairs), 0).collect()
+        assert rows and all(check(r) and (r.other, r.b1, r.b2) not in seen and (r.relation, r.a1, r.a2) in seen for r in rows)
+    half = factor.training_pairs(train, factor.Config("F", 2, pairs="row"), 0).filter("other is null").count()
+    assert 0.3 * len(seen) < half < 0.7 * len(seen)
+
+
+def test_phases_leave_parameters(spark, blocks):
+    train, _ = blocks
+    cfg = factor.Config("T", 2, epochs=1, phases=(("src",),))
+    start = {(r.kind, r.key): r.vec for r in factor.initial(train, cfg).collect()}
+    params, _ = factor.fit(train, cfg)
+    moved = {r.kind for r in params.collect() if r.vec != start[(r.kind, r.key)]}
+    assert "src" not in moved and {"rel", "dst"} <= moved
+
+
+def test_resume_and_sweep(spark, blocks, tmp_path):
+    train, held = blocks
+    cfg = factor.Config("F", 2, epochs=4, rate=0.5, patience=9)
+    whole, losses = factor.fit(train, cfg, folder=str(tmp_path / "a"))
+    factor.fit(train, factor.Config("F", 2, epochs=2, rate=0.5, patience=9), folder=str(tmp_path / "b"))
+    again, more = factor.fit(train, cfg, folder=str(tmp_path / "b"))
+    assert np.allclose(losses, more)
+    rows = lambda p: {(r.kind, r.key): tuple(round(x, 9) for x in r.vec) for r in p.collect()}
+    assert rows(whole) == rows(again)
+    v = spark.createDataFrame([(*h, 1.0) for h in held], "relation string, arg1 string, arg2 string, target double")
+    got = factor.sweep(train, {"x": factor.Config("F", 2, epochs=2), "y": factor.Config("F", 2, epochs=1, decay_on_rise=True, decay=0.5)}, v, str(tmp_path / "s")).collect()
+    assert [(r.name, r.epoch) for r in got] == [("x", 0), ("x", 1), ("y", 0)]
+
+
+def test_partial_gradients_are_added_by_tasks(spark):
+    """More partitions than the driver adds by itself."""
+    cells = spark.createDataFrame([(i, j, float((i + j) % 2)) for i in range(4) for j in range(6)], "rel int, tup int, target double")
+    a = lbfgs.logistic_factors(cells.repartition(20), 4, 6, 2, l2=0.001, rounds=3)
+    b = lbfgs.logistic_factors(cells.coalesce(1), 4, 6, 2, l2=0.001, rounds=3)
+    assert np.allclose(a[3], b[3])
