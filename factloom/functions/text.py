@@ -176,7 +176,71 @@ def score_label(c: Column) -> tuple[Column, Column]:
     return F.split(c, ":", 2)[0].try_cast("double"), label
 
 
-def relation_phrase(relation: Column) -> Column:
-    """A KB relation as words: the last part of its path, underscores as blanks; a table of fixed phrases can be joined before it."""
-    last = F.element_at(F.split(F.regexp_replace(relation, r"^REL\$", ""), "/"), -1)
-    return F.translate(last, "_", " ")
+# KB relations and how they read between their arguments.
+RELATION_PHRASES = {
+    "REL$/people/person/parents": "is a child of",
+    "REL$/film/film/written_by": "was written by",
+    "REL$/book/written_work/subjects": "is a book on",
+    "REL$/location/neighborhood/neighborhood_of": "is a neighborhood of",
+    "REL$/business/person/company": "is in",
+    "REL$/location/location/containedby": "is inside",
+    "REL$/organization/parent/child": "is the parent-company of",
+    "REL$/book/book_edition/author_editor": "was edited by",
+    "REL$/people/deceased_person/place_of_death": "died in",
+    "REL$/sports/sports_team/location": "is based in",
+    "REL$/location/country/capital": "'s capital is",
+    "REL$/people/person/place_lived": "lived in",
+    "REL$/people/person/nationality": "'s nationality is",
+    "REL$/book/author/book_editions_published": "published a book on",
+    "REL$/people/person/place_of_birth": "was born in",
+    "REL$/sports/sports_team/arena_stadium": "'s home stadium is",
+    "REL$/film/film/directed_by": "is directed by",
+    "REL$/sports/sports_facility/teams": "is the home venue of",
+    "REL$/people/person/religion": "'s religion is",
+    "REL$/broadcast/broadcast/area_served": "is available in",
+    "REL$/book/author/works_written": "wrote",
+    "REL$/location/country/administrative_divisions": "contains",
+    "REL$/people/person/ethnicity": "'s ethnicity is",
+    "REL$/book/book_edition/place_of_publication": "is published in",
+    "REL$/business/company/place_founded": "was founded in",
+    "REL$/music/artist/label": "is under the label",
+    "REL$/location/hud_county_place/county": "is in",
+    "REL$/aviation/airport/serves": "serves",
+    "REL$/business/company/founders": "'s founders include",
+    "REL$/visual_art/visual_artist/artworks": "created",
+    "REL$/film/film/produced_by": "was produced by",
+    "REL$/music/artist/album": "released",
+    "REL$/location/us_county/hud_county_place": "contains",
+    "REL$/sports/sports_team_owner/teams_owned": "owns",
+    "REL$/media_common/netflix_genre/titles": "is the genre of",
+    "REL$/architecture/structure/architect": "'s architect is",
+    "REL$/music/artist/origin": "originated in",
+    "REL$/film/film/country": "originated in",
+    "REL$/music/record_label/artist": "is a label with artist",
+    "REL$/business/company/major_shareholders": "'s major shareholders include",
+    "REL$/location/us_county/county_seat": "'s government is based in",
+    "REL$/architecture/architect/structures_designed": "designed",
+    "REL$/military/military_person/participated_in_conflicts": "participated in",
+    "REL$/sports/sports_team/league": "is a team of",
+    "REL$/transportation/road/major_cities": "goes through",
+    "REL$/fictional_universe/fictional_character/character_created_by": "was created by",
+    "REL$/music/album/artist": "is an album by",
+    "REL$/influence/influence_node/influenced_by": "is influenced by",
+    "REL$/fictional_universe/fictional_character_creator/fictional_characters_created": "created",
+    "REL$/music/composer/compositions": "composed",
+    "REL$/sports/professional_sports_team/owner_s": "is owned by",
+}
+
+
+def relation_phrase(relation: Column, phrases: dict[str, str] = RELATION_PHRASES) -> Column:
+    """How a KB relation reads between its arguments, by the table ``phrases``; for any other relation the last part of its path, underscores
+    as blanks. Null for null."""
+    last = F.translate(F.element_at(F.split(F.regexp_replace(relation, r"^REL\$", ""), "/"), -1), "_", " ")
+    known = F.create_map(*[F.lit(x) for pair in phrases.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, relation), last) if phrases else last
+
+
+def relation_sentence(a: Column, relation: Column, b: Column) -> Column:
+    """The two arguments with the relation's phrase between them; a phrase that begins with 's follows the first one at once."""
+    phrase = relation_phrase(relation)
+    return F.concat(a, F.when(phrase.startswith("'s"), "").otherwise(" "), phrase, F.lit(" "), b)

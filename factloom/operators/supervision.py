@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import global_ranks
+
 
 def distant_labels(pairs: DataFrame, kb: DataFrame, entities: DataFrame, known: DataFrame | None) -> DataFrame:
     """[J2] (src, dst, relation, tag, inverse) for each pair.
@@ -88,15 +90,16 @@ def tag_priority(tag: Column) -> Column:
 
 
 def grouped_pairs(mentions: DataFrame, features: str) -> DataFrame:
-    """[A4] Per (src, dst): the strongest tag and the sorted union of features; ``sen#`` features, tags and nulls are left out.
+    """[A4] (src, dst, tag, n_mentions, feature): per pair the strongest tag and number of mentions, with a row for each of its distinct features, one
+    with a null feature where it has none; ``sen#`` features, tags and nulls are left out.
 
-    Features are made distinct before they are gathered, so a pair with very many mentions holds its distinct features only.
+    Rows, not an array of features for each pair, so that a pair which holds much of the table is no larger a row than others.
     """
     tags = mentions.groupBy("src", "dst").agg(F.max(tag_priority(F.col("tag"))).alias("p"), F.count(F.lit(1)).alias("n_mentions"))
-    flat = mentions.select("src", "dst", F.explode(features).alias("f")).filter(F.col("f").isNotNull() & ~F.col("f").startswith("sen#") & ~F.col("f").isin("POSITIVE", "NEGATIVE", "UNLABELED"))
-    sets = flat.distinct().groupBy("src", "dst").agg(F.array_sort(F.collect_list("f")).alias("features"))
+    flat = mentions.select("src", "dst", F.explode(features).alias("feature"))
+    flat = flat.filter(F.col("feature").isNotNull() & ~F.col("feature").startswith("sen#") & ~F.col("feature").isin("POSITIVE", "NEGATIVE", "UNLABELED")).distinct()
     name = F.get(F.array(F.lit(None).cast("string"), F.lit("UNLABELED"), F.lit("NEGATIVE"), F.lit("POSITIVE")), F.col("p"))
-    return tags.join(sets, ["src", "dst"], "left").select("src", "dst", name.alias("tag"), "n_mentions", F.coalesce("features", F.array().cast("array<string>")).alias("features"))
+    return tags.join(flat, ["src", "dst"], "left").select("src", "dst", name.alias("tag"), "n_mentions", "feature")
 
 
 def pair_sets(rows: DataFrame, src: str, dst: str, value: str) -> DataFrame:
@@ -121,13 +124,20 @@ def two_hops(triples: DataFrame, order: str) -> DataFrame:
 def second_order(triples: DataFrame, target: str) -> DataFrame:
     """[J9] For each pair (a, b) of the target relation and each c with (a, ., c) and (c, ., b): the sorted relations of both legs.
 
-    Legs are grouped per pair first, and the pair that has to close the triangle is joined last, so relations don't multiply.
+    Legs are grouped per pair first, so relations don't multiply. Each pair starts from the end that has fewer legs, and the legs that must close
+    the triangle are joined by both their ends; so a hub is gone through only for pairs whose other end is one too.
     """
     legs = triples.groupBy("source", "dest").agg(F.array_sort(F.collect_set("relation")).alias("rels"))
     want = triples.filter(F.col("relation") == target).select(F.col("source").alias("a"), F.col("dest").alias("b")).distinct()
     first = legs.select(F.col("source").alias("a"), F.col("dest").alias("c"), F.col("rels").alias("rels_ac"))
     second = legs.select(F.col("source").alias("c"), F.col("dest").alias("b"), F.col("rels").alias("rels_cb"))
-    return want.join(first, "a").join(second, ["c", "b"]).select("a", "b", "c", "rels_ac", "rels_cb")
+    out_of_a = legs.groupBy(F.col("source").alias("a")).agg(F.count(F.lit(1)).alias("_out"))
+    into_b = legs.groupBy(F.col("dest").alias("b")).agg(F.count(F.lit(1)).alias("_in"))
+    sized = want.join(out_of_a, "a").join(into_b, "b")
+    forth = sized.filter("_out <= _in").select("a", "b").join(first, "a").join(second, ["c", "b"])
+    back = sized.filter("_out > _in").select("a", "b").join(second, "b").join(first, ["a", "c"])
+    cols = ["a", "b", "c", "rels_ac", "rels_cb"]
+    return forth.select(*cols).unionByName(back.select(*cols))
 
 
 def cooccurrence(cells: DataFrame, order: str) -> DataFrame:
@@ -175,5 +185,12 @@ def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataF
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """[J23] Rows with ``line_no`` from 1 in a given total order. For lists that are joined by position."""
-    return rows.withColumn("line_no", F.row_number().over(Window.orderBy(*order)))
+    """[J23] Rows with ``line_no`` from 1 in a given total order, by ranges. For lists that are joined by position."""
+    return global_ranks(rows, order).withColumnRenamed("rnk", "line_no")
+
+
+def by_position(a: DataFrame, b: DataFrame, order_a: list[Column], order_b: list[Column]) -> DataFrame:
+    """[J23] Two lists side by side, row by row in their orders; a shorter one gives nulls. Columns of ``b`` that clash get the suffix ``_b``."""
+    y = numbered(b, order_b)
+    y = y.withColumnsRenamed({c: f"{c}_b" for c in b.columns if c in a.columns})
+    return numbered(a, order_a).join(y, "line_no", "full")

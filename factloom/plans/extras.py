@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scoring, text
 from ..models import factor
+from ..operators import ranking
 from ..operators.deliveries import latest_per_key
 from ..sources.tables import grouped_by, ids_in, table
 
@@ -37,9 +38,9 @@ def mentions_of_people(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """[M19] Per pair of names: sentences and their features as lines in order."""
+    """[M19] Per pair of names: sentences and their features, a numbered line each, in order. The lines of one pair are never gathered into a row."""
     c = table(spark, d, "corpus_records").filter("sentences is not null").select("entas", "entbs", F.concat_ws("\t", "sentences", "paths", "lex").alias("line")).distinct()
-    return c.groupBy("entas", "entbs").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("evidence"))
+    return ranking.ranked_by_range(c, ["entas", "entbs"], [F.col("line")], "line_no")
 
 
 def relation_phrases(spark: SparkSession, d: str) -> DataFrame:
@@ -47,6 +48,15 @@ def relation_phrases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cells").filter(F.col("relation").startswith("REL$")).select("relation", text.relation_phrase(F.col("relation")).alias("phrase")).distinct()
 
 
+def relation_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """KB relations as sentences between the names of their ends; relation names that the table of phrases knows read by it."""
+    known = sorted(text.RELATION_PHRASES)
+    r = table(spark, d, "kb_relations").filter("reltype is not null").select("rel_key", "sourceguid", "destguid", F.concat(F.lit("REL$"), "reltype").alias("r"))
+    # the invented relation names of the data are mixed with known ones, so that the table of phrases is met
+    pick = F.get(F.array(*[F.lit(x) for x in known]), F.pmod("rel_key", F.lit(2 * len(known))).cast("int"))
+    return r.select("rel_key", text.relation_sentence(F.col("sourceguid"), F.coalesce(pick, "r"), F.col("destguid")).alias("sentence"))
+
+
 def parsed_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores and labels from joined strings."""
     joined = F.concat_ws(":", F.round("predicted", 3).cast("string"), "relation")
@@ -77,7 +87,7 @@ def surface_mentions(spark: SparkSession, d: str) -> DataFrame:
     return m.select("filename", "sent_no", "no", x.alias("x")).select("filename", "sent_no", "no", "x.start", "x.end")
 
 
-QUERIES = {f.__name__: f for f in (model_fields, feature_union, unseen_relations, mentions_of_people, pair_evidence, relation_phrases, parsed_scores, group_terms, projected_scores, surface_mentions)}
+QUERIES = {f.__name__: f for f in (model_fields, feature_union, unseen_relations, mentions_of_people, pair_evidence, relation_phrases, relation_sentences, parsed_scores, group_terms, projected_scores, surface_mentions)}
 
 ORACLE = {
     "model_fields": "SELECT rec_id, loaded_at, sentences AS \"text\", labels relation, paths short_text, length(sentences)::INTEGER text_length FROM corpus_records",
@@ -85,7 +95,10 @@ ORACLE = {
     "unseen_relations": "SELECT relation FROM cells WHERE hide EXCEPT SELECT relation FROM cells WHERE NOT hide",
     "mentions_of_people": """SELECT entity, array_to_string(list_sort(list(DISTINCT label)), '|') AS labels FROM entity_mentions WHERE label IS NOT NULL AND entity IN (SELECT guid FROM kb_entities WHERE ent_type = 'PERSON') GROUP BY 1""",
     "pair_evidence": """WITH l AS (SELECT DISTINCT entas, entbs, concat_ws(chr(9), sentences, paths, lex) line FROM corpus_records WHERE sentences IS NOT NULL)
-        SELECT entas, entbs, count(*) n, array_to_string(list_sort(list(line)), chr(10)) evidence FROM l GROUP BY 1, 2""",
+        SELECT entas, entbs, line, row_number() OVER (PARTITION BY entas, entbs ORDER BY line)::INTEGER line_no FROM l""",
+    "relation_sentences": f"""WITH k AS (SELECT i::INTEGER - 1 i, p FROM (SELECT unnest(range(1, {len(text.RELATION_PHRASES) + 1})) i, unnest([{", ".join("'" + text.RELATION_PHRASES[x].replace("'", "''") + "'" for x in sorted(text.RELATION_PHRASES))}]) p)),
+        r AS (SELECT rel_key, sourceguid, destguid, coalesce(p, replace(string_split(reltype, '/')[-1], '_', ' ')) p FROM kb_relations LEFT JOIN k ON i = rel_key % {2 * len(text.RELATION_PHRASES)} WHERE reltype IS NOT NULL)
+        SELECT rel_key, sourceguid || CASE WHEN starts_with(p, chr(39) || 's') THEN '' ELSE ' ' END || p || ' ' || destguid sentence FROM r""",
     "relation_phrases": "SELECT DISTINCT relation, replace(string_split(relation, '/')[-1], '_', ' ') phrase FROM cells WHERE starts_with(relation, 'REL$')",
     "parsed_scores": "SELECT cell_id, round(predicted, 3) score, relation AS \"label\" FROM cells WHERE NOT isnan(predicted)",
     "group_terms": """WITH g AS (SELECT relation, avg(predicted) m, avg((gold > 0.5)::INTEGER) t FROM cells WHERE starts_with(relation, 'REL$') AND NOT isnan(predicted) GROUP BY 1)

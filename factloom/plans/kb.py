@@ -72,11 +72,18 @@ def type_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """[A4] Per pair of names the strongest tag and all features."""
+    """[A4] Per pair of names the strongest tag, with each of its features."""
     c = table(spark, d, "corpus_records")
     feats = F.array_compact(F.array(F.concat(F.lit("path#"), "paths"), F.concat(F.lit("lex#"), "lex"), F.concat(F.lit("ner#"), "ners"), F.concat(F.lit("sen#"), "sentences")))
-    out = supervision.grouped_pairs(c.select(F.col("entas").alias("src"), F.col("entbs").alias("dst"), F.col("labels").alias("tag"), feats.alias("features")), "features")
-    return out.select("src", "dst", "tag", "n_mentions", F.array_join("features", " ").alias("features"))
+    return supervision.grouped_pairs(c.select(F.col("entas").alias("src"), F.col("entbs").alias("dst"), F.col("labels").alias("tag"), feats.alias("features")), "features")
+
+
+def predictions_beside_gold(spark: SparkSession, d: str) -> DataFrame:
+    """[J23] Scores of label cells in order of their ids beside the KB's relations in order of their keys, row by row."""
+    c = table(spark, d, "cells").filter(F.col("relation").startswith("REL$")).select("cell_id", "predicted")
+    g = table(spark, d, "kb_relations").select("rel_key", F.col("reltype").alias("gold"), "loaded_at")
+    out = supervision.by_position(c, g, [F.col("cell_id")], [F.col("rel_key"), F.col("loaded_at")])
+    return out.select(F.col("line_no").cast("long").alias("line_no"), "cell_id", "rel_key", "gold")
 
 
 def pair_topics(spark: SparkSession, d: str) -> DataFrame:
@@ -319,7 +326,7 @@ def relation_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    distant_labels, missing_triples, named_triples, unnamed_ends, relations_of_people, entity_relations, type_map, grouped_pairs, pair_topics, two_hop, second_order, label_alignment, last_scores,
+    distant_labels, missing_triples, named_triples, unnamed_ends, relations_of_people, entity_relations, type_map, grouped_pairs, predictions_beside_gold, pair_topics, two_hop, second_order, label_alignment, last_scores,
     same_sentence_pairs, span_overlaps, first_overlaps, entity_link, mentions_in_text, canonical_companies, provenance, mention_coverage, slot_pairs, mention_texts, ner_spans, new_documents,
     word_tag_strings, contexts, tree_paths, mention_features, link_features, distant_rows, mention_evaluation, slot_misses, coref_clusters, coref_antecedents, triple_clusters, mention_clusters, longest_names, relation_cells,
 )}
@@ -400,8 +407,10 @@ ORACLE = {
     "grouped_pairs": """WITH g AS (SELECT entas src, entbs dst, upper(trim(labels)) t, paths, lex, ners FROM corpus_records),
         a AS (SELECT src, dst, max(CASE t WHEN 'POSITIVE' THEN 3 WHEN 'NEGATIVE' THEN 2 WHEN 'UNLABELED' THEN 1 ELSE 0 END) p, count(*) n_mentions FROM g GROUP BY 1, 2),
         f AS (SELECT src, dst, 'path#' || paths f FROM g UNION SELECT src, dst, 'lex#' || lex FROM g UNION SELECT src, dst, 'ner#' || ners FROM g),
-        l AS (SELECT src, dst, array_to_string(list_sort(list(f)), ' ') f FROM f WHERE f IS NOT NULL GROUP BY 1, 2)
-        SELECT src, dst, CASE p WHEN 3 THEN 'POSITIVE' WHEN 2 THEN 'NEGATIVE' WHEN 1 THEN 'UNLABELED' END tag, n_mentions, coalesce(f, '') features FROM a LEFT JOIN l USING (src, dst)""",
+        l AS (SELECT src, dst, f FROM f WHERE f IS NOT NULL)
+        SELECT src, dst, CASE p WHEN 3 THEN 'POSITIVE' WHEN 2 THEN 'NEGATIVE' WHEN 1 THEN 'UNLABELED' END tag, n_mentions, f feature FROM a LEFT JOIN l USING (src, dst)""",
+    "predictions_beside_gold": """WITH c AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) line_no FROM cells WHERE starts_with(relation, 'REL$')), g AS (SELECT rel_key, reltype gold, row_number() OVER (ORDER BY rel_key, loaded_at) line_no FROM kb_relations)
+        SELECT line_no, cell_id, rel_key, gold FROM c FULL JOIN g USING (line_no)""",
     "pair_topics": "SELECT entas src, entbs dst, array_to_string(list_sort(list(DISTINCT source)), ',') topics FROM corpus_records WHERE source IS NOT NULL GROUP BY 1, 2",
     "two_hop": f"""WITH {_T}, l AS (SELECT source b, arg_max(relation, rel_key) r2, arg_max(dest, rel_key) c FROM t GROUP BY 1), g AS (SELECT source, dest, arg_max(relation, rel_key) direct FROM t GROUP BY 1, 2),
         h AS (SELECT source a, relation r1, b, r2, c FROM t JOIN l ON dest = b)

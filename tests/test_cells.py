@@ -57,8 +57,8 @@ def test_distant_supervision(spark, rows):
 
 def test_pair_grouping(spark):
     m = spark.createDataFrame([("x", "y", "NEGATIVE", ["f1", None]), ("x", "y", "POSITIVE", ["f2", "sen#s", "POSITIVE"]), ("x", "y", " positive ", None), ("a", "b", None, None)], "src string, dst string, tag string, features array<string>")
-    got = {r.src: (r.tag, r.features) for r in supervision.grouped_pairs(m, "features").collect()}
-    assert got == {"x": ("POSITIVE", ["f1", "f2"]), "a": (None, [])}
+    got = sorted(((r.src, r.tag, r.n_mentions, r.feature) for r in supervision.grouped_pairs(m, "features").collect()), key=str)
+    assert got == [("a", None, 1, None), ("x", "POSITIVE", 3, "f1"), ("x", "POSITIVE", 3, "f2")]
 
 
 def test_two_hops(spark, rows):
@@ -68,6 +68,14 @@ def test_two_hops(spark, rows):
     assert ("a", "r1", "b", "r3", "d", "r4", "POS") in rows(supervision.two_hops(closed, "no"))
 
 
+def test_second_order_from_either_end(spark, rows):
+    """Pairs with a hub at one end: the result is that of joining all legs."""
+    t = [("hub", f"c{i}", "r") for i in range(40)] + [(f"c{i}", "end", "s") for i in range(0, 40, 8)] + [("hub", "end", "goal")] + [("one", "c1", "q"), ("c1", "sink", "w"), ("one", "sink", "goal")] + [(f"d{i}", "sink", "v") for i in range(30)]
+    got = rows(supervision.second_order(spark.createDataFrame(t, "source string, dest string, relation string"), "goal"))
+    want = sorted((a, b, c, [r], [q]) for a, b, x in t if x == "goal" for s, c, r in t if s == a for c2, e, q in t if c2 == c and e == b)
+    assert sorted(got) == want and len(want) == 6
+
+
 def test_cooccurrence(spark, rows):
     c = spark.createDataFrame([(1, "a", "x", "y"), (2, "b", "x", "y"), (3, "a", "x", "y"), (4, "b", "u", None)], "no int, " + CELL)
     assert rows(supervision.cooccurrence(c, "no")) == [("a", "a", 1), ("a", "b", 1), ("b", "a", 1)]
