@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import tune
 
@@ -123,6 +125,37 @@ def delimited(rows: list[dict], message: dict) -> bytes:
     return b"".join(out)
 
 
+def encoded(df: DataFrame, message: dict, keys: list[str], name: str = "data") -> DataFrame:
+    """[S13] The keys and each row's fields as one message in the binary column ``name``. Missing fields are left out."""
+    tune(df.sparkSession)
+    schema = T.StructType([df.schema[k] for k in keys]).add(name, T.BinaryType())
+    fields = [n for n, _, _ in message.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(fields).to_pylist()
+            data = pa.array([encode(r, message) for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], data], names=[*keys, name])
+
+    return df.select(*keys, *fields).mapInArrow(run, schema)
+
+
+def decoded(df: DataFrame, message: dict, keys: list[str], name: str = "data") -> DataFrame:
+    """[S13] The keys and the fields of the message in the binary column ``name``; a null message has null fields."""
+    tune(df.sparkSession)
+    schema = T.StructType([*[df.schema[k] for k in keys], *schema_of(message).fields])
+    own = to_arrow_schema(schema_of(message))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [dict.fromkeys(own.names) if x is None else decode(x, message) for x in batch.column(name).to_pylist()]
+            part = pa.Table.from_pylist(rows, schema=own).combine_chunks()
+            columns = [part.column(c).chunk(0) if len(rows) else pa.array([], own.field(c).type) for c in own.names]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *columns], names=[*keys, *own.names])
+
+    return df.select(*keys, name).mapInArrow(run, schema)
+
+
 def read(spark: SparkSession, path: str, message: dict) -> DataFrame:
     """[S13] (file, no, fields of the message): all messages of the files below ``path``, numbered within each file.
 
