@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, settled
+from .nested import flatten
 
 #: Width of the cells that spans are dealt to before they are compared.
 SPAN_CELL = 64
@@ -161,6 +162,32 @@ def new_deliveries(incoming: DataFrame, wanted: DataFrame, stored: DataFrame, ke
     return incoming.join(wanted.select(key).distinct(), key, "left_semi").join(stored.select(key).distinct(), key, "left_anti")
 
 
+def initial_entities(train: DataFrame, dev: DataFrame, known: DataFrame, ids: str) -> DataFrame:
+    """[S26] (id, name, train, dev): the entities that queries ask for, flagged by the sets that do, and behind them those of the KB whose id none has.
+    All have (``ids``, name); of several names of an id the smallest counts."""
+    flagged = lambda df, t, d: df.select(F.col(ids).alias("id"), "name", F.lit(t).alias("train"), F.lit(d).alias("dev"))
+    asked = flagged(train, True, False).unionByName(flagged(dev, False, True)).filter("id is not null")
+    asked = asked.groupBy("id").agg(F.min("name").alias("name"), F.max("train").alias("train"), F.max("dev").alias("dev"))
+    rest = flagged(known, False, False).filter("id is not null").join(asked.select("id"), "id", "left_anti")
+    return asked.unionByName(rest.groupBy("id").agg(F.min("name").alias("name"), F.max("train").alias("train"), F.max("dev").alias("dev")))
+
+
+def initial_slots(slots: DataFrame, entities: DataFrame, source: str, relation: str, dest: str) -> DataFrame:
+    """[S26] Slots of asked entities: the distinct (arg1, slot, arg2) whose first argument is flagged, with its flags."""
+    e = entities.filter("train or dev").select(F.col("id").alias("arg1"), "train", "dev")
+    return slots.select(F.col(source).alias("arg1"), F.col(relation).alias("slot"), F.col(dest).alias("arg2")).distinct().join(e, "arg1")
+
+
+def ingested(incoming: DataFrame, wanted: DataFrame, stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """[S27] Documents (``key``, sentences with tokens) that are wanted and not stored yet, as two tables of what is taken out of them: the mentions
+    (runs of entity tags) and the ordered pairs of mentions of one sentence."""
+    new = new_deliveries(incoming, wanted, stored, key)
+    tokens = flatten(new.select(key, "sentences"), [key], "documents")["sentences.tokens"]
+    keys = [key, "sentences_no"]
+    found = settled(token_spans(tokens, keys, "tokens_no", "ner", "word"), "mentions")
+    return found, sentence_pairs(found, keys, "start", "end", "text")
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """[M24] (node, cluster): connected components, each named by its smallest node.
 

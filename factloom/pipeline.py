@@ -58,3 +58,14 @@ class Run:
     def describe(self) -> str:
         """Settings and stages as JSON, for a run's log."""
         return json.dumps({"folder": self.folder, "settings": self.settings, "stages": [n for n, _ in self.stages]}, sort_keys=True, default=str)
+
+
+def experiments(mixes: int = 10, keeps: tuple[float, ...] = (0.8, 1.0)) -> dict[str, dict]:
+    """[M23] The settings of a sweep by rule: shares of the second loss from 0 in steps of a tenth, each with every keep rate of dropout; by name."""
+    return {f"mix{m}-keep{round(k * 100)}": {"loss_mix": m / 10, "keep": k} for m in range(mixes) for k in keeps}
+
+
+def learning_rate(base: float, decay: float, costs: list[float], window: int = 3) -> float:
+    """[M16, M23] The rate after a list of validation costs: multiplied by ``decay`` once for each cost above those of the ``window`` before it."""
+    rises = sum(c > max(costs[i - window : i]) for i, c in enumerate(costs) if i >= window)
+    return base * decay**rises

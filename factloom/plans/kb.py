@@ -216,6 +216,28 @@ def new_documents(spark: SparkSession, d: str) -> DataFrame:
     return E.new_deliveries(docs, kb, table(spark, d, "parsed_docs"), "filename")
 
 
+def initial_entities(spark: SparkSession, d: str) -> DataFrame:
+    """[S26] Entities of two query sets and of the KB."""
+    e = table(spark, d, "kb_entities").select("guid", F.col("ent_name").alias("name"), "ent_key")
+    asked = table(spark, d, "entity_mentions").filter("entity is not null").select(F.col("entity").alias("guid"), F.col("label").alias("name"), "mention_key", "tacmention")
+    train, dev = asked.filter("tacmention and mention_key % 2 = 0"), asked.filter("tacmention and mention_key % 3 = 0")
+    return E.initial_entities(train, dev, e, "guid")
+
+
+def initial_slots(spark: SparkSession, d: str) -> DataFrame:
+    """[S26] KB relations of the entities that queries ask for."""
+    return E.initial_slots(_triples(spark, d), initial_entities(spark, d), "source", "relation", "dest")
+
+
+def ingested_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """[S27, F26, J10] Mention pairs of the documents that linked mentions ask for and that weren't there before 2008."""
+    docs = latest_per_key(table(spark, d, "parsed_docs").select("filename", "received_at", "sentences"), "filename", F.col("received_at"))
+    wanted = table(spark, d, "entity_mentions").filter("entity is not null").select(F.col("docid").alias("filename"))
+    stored = docs.filter("year(received_at) < 2008")
+    _, pairs = E.ingested(docs, wanted, stored, "filename")
+    return pairs.select("filename", F.col("sentences_no").alias("sent_no"), "start_1", "text_1", "label_1", "start_2", "text_2", "label_2")
+
+
 def word_tag_strings(spark: SparkSession, d: str) -> DataFrame:
     """Word, tag and entity tag of the tokens of each sentence."""
     s = table(spark, d, "parsed_docs").select("filename", "received_at", F.posexplode("sentences").alias("sent_no", "s")).filter("s.tokens is not null")
@@ -328,7 +350,7 @@ def relation_cells(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     distant_labels, missing_triples, named_triples, unnamed_ends, relations_of_people, entity_relations, type_map, grouped_pairs, predictions_beside_gold, pair_topics, two_hop, second_order, label_alignment, last_scores,
     same_sentence_pairs, span_overlaps, first_overlaps, entity_link, mentions_in_text, canonical_companies, provenance, mention_coverage, slot_pairs, mention_texts, ner_spans, new_documents,
-    word_tag_strings, contexts, tree_paths, mention_features, link_features, distant_rows, mention_evaluation, slot_misses, coref_clusters, coref_antecedents, triple_clusters, mention_clusters, longest_names, relation_cells,
+    initial_entities, initial_slots, ingested_pairs, word_tag_strings, contexts, tree_paths, mention_features, link_features, distant_rows, mention_evaluation, slot_misses, coref_clusters, coref_antecedents, triple_clusters, mention_clusters, longest_names, relation_cells,
 )}
 
 _T = "t AS (SELECT rel_key, sourceguid source, destguid dest, reltype relation FROM kb_relations WHERE reltype <> 'NA')"
@@ -369,7 +391,17 @@ _FEATS = f"""{_TREE}, bt AS (SELECT *, k[m1.tok_to + 1 : m2.tok_from] b, m2.tok_
     bx AS (SELECT *, array_to_string(list_transform(list_filter(b, lambda t: coalesce(t.ner, 'O') = 'O'), lambda t: t.word), ' ') lex, array_to_string(list_transform(b, lambda t: t.word), ' ') words, array_to_string(list_transform(b, lambda t: t.tag), ' ') tags FROM bt)"""
 _L = "coalesce(NOT junk AND \"length\" < 10, false)"
 
+_INIT = """q AS (SELECT entity id, label AS name, mention_key % 2 = 0 train, mention_key % 3 = 0 dev FROM entity_mentions WHERE entity IS NOT NULL AND tacmention AND (mention_key % 2 = 0 OR mention_key % 3 = 0)),
+    a AS (SELECT id, min(name) AS name, bool_or(train) train, bool_or(dev) dev FROM q GROUP BY 1), ie AS (SELECT * FROM a UNION ALL SELECT guid, ent_name, false, false FROM kb_entities WHERE guid IS NOT NULL AND guid NOT IN (SELECT id FROM a))"""
+
 ORACLE = {
+    "initial_entities": f"WITH {_INIT} SELECT * FROM ie",
+    "initial_slots": f"WITH {_T}, {_INIT} SELECT DISTINCT source arg1, relation slot, dest arg2, train, dev FROM t JOIN ie ON id = source WHERE train OR dev",
+    "ingested_pairs": f"""WITH {_D}, n AS (SELECT filename FROM d WHERE filename IN (SELECT docid FROM entity_mentions WHERE entity IS NOT NULL) AND NOT coalesce(year(received_at) < 2008, false)),
+        x AS (SELECT filename, sent_no, tok_no, t.word w, coalesce(t.ner, 'O') n FROM tk WHERE filename IN (FROM n)), y AS (SELECT *, (n IS DISTINCT FROM lag(n) OVER w)::INTEGER c FROM x WINDOW w AS (PARTITION BY filename, sent_no ORDER BY tok_no)),
+        r AS (SELECT *, sum(c) OVER (PARTITION BY filename, sent_no ORDER BY tok_no) run FROM y),
+        sp AS (SELECT filename, sent_no, min(tok_no)::INTEGER s, (max(tok_no) + 1)::INTEGER e, any_value(n) l, string_agg(coalesce(w, ''), ' ' ORDER BY tok_no) t FROM r WHERE n <> 'O' GROUP BY filename, sent_no, run)
+        SELECT a.filename, a.sent_no, a.s start_1, a.t text_1, a.l label_1, b.s start_2, b.t text_2, b.l label_2 FROM sp a JOIN sp b ON a.filename = b.filename AND a.sent_no = b.sent_no AND a.t <> b.t AND a.e <= b.s""",
     "tree_paths": f"WITH RECURSIVE {_TREE} SELECT filename, sent_no, no_1, no_2, h1, h2, path, root, \"length\", junk FROM pf",
     "mention_features": f"""WITH RECURSIVE {_FEATS}, ft AS (SELECT *, {_L} good, gap < 11 AND (lex <> '' OR words <> '') near, coalesce(n1, 'O') a, coalesce(n2, 'O') z FROM bx),
         fl AS (SELECT filename, sent_no, no_1, no_2, unnest(CASE WHEN NOT good AND abs(h2 - h1) > 10 THEN [] ELSE [CASE WHEN good AND path <> '' THEN 'path#' || path END, 'type#' || a || '->' || z, CASE WHEN near AND lex <> '' THEN 'lex#' || lex END,

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import ranking as R
+from ..session import settled
+from ..sources import sinks
 from ..sources.tables import table
 
 
@@ -215,6 +217,16 @@ def pattern_matches(spark: SparkSession, d: str) -> DataFrame:
     return R.matching(table(spark, d, "cells").select("relation"), "relation", p).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+def result_tables(spark: SparkSession, d: str) -> DataFrame:
+    """[K11] Average precision of both systems by relation, as lines in three styles."""
+    ap = settled(average_precision(spark, d), "ap")
+    out = None
+    for style in ("text", "latex", "gnuplot"):
+        one = sinks.result_table(ap, "relation", "system", "ap", ["A", "B"], style).withColumn("style", F.lit(style))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def sign_test(spark: SparkSession, d: str) -> DataFrame:
     """Whether system A has the better average precisions."""
     ap = average_precision(spark, d).withColumnRenamed("relation", "pattern")
@@ -247,7 +259,7 @@ def tensor_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ranked_predictions, running_pr, pool_topk, average_precision, map_systems, interp_11pt, precision_envelope, precision_at_k, unjudged_labels, best_f1, pooled_f1, last_hit, heldout_rank, rank_by_type, confusion, class_prf,
-    micro_macro_cum, early_stop, top3_dims, softmax_top, best_labels, rank_diff, dropped_to_zero, two_best_lines, restricted_ranks, to_annotate, annotated_precision, pattern_matches, sign_test,
+    micro_macro_cum, early_stop, top3_dims, softmax_top, best_labels, rank_diff, dropped_to_zero, two_best_lines, restricted_ranks, to_annotate, annotated_precision, pattern_matches, result_tables, sign_test,
     heldout_candidates, scored_cells, tensor_scores,
 )}
 
@@ -307,6 +319,10 @@ ORACLE = {
     "annotated_precision": f"""WITH {_S}, j AS (SELECT * FROM s WHERE (relation, arg1, arg2) IN (SELECT ('REL$' || reltype, sourceguid, destguid) FROM kb_relations)),
         r AS (SELECT relation, hit, sum(hit) OVER w / row_number() OVER w p FROM j WINDOW w AS (PARTITION BY relation ORDER BY score DESC, cell_id ROWS UNBOUNDED PRECEDING)) SELECT relation, round(avg(p), 6) mean_precision, sum(hit)::BIGINT correct, count(*) total FROM r GROUP BY 1""",
     "pattern_matches": r"SELECT pattern, count(*) n FROM cells, (VALUES ('born'), ('^REL\$/(film|firm)/'), ('held$')) p(pattern) WHERE regexp_matches(relation, pattern) GROUP BY 1",
+    "result_tables": rf"""WITH {_AP}, w AS (SELECT relation r, round(max(ap) FILTER (system = 'A'), 3) a, round(max(ap) FILTER (system = 'B'), 3) b FROM ap GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY r)::INTEGER + 1 no, printf('%.3f', a) x, printf('%.3f', b) y FROM w),
+        l AS (SELECT no, 'text' style, concat_ws(chr(9), r, x, y) line FROM n UNION ALL SELECT no, 'gnuplot', '"' || r || '" ' || x || ' ' || y FROM n
+            UNION ALL SELECT no, 'latex', replace(replace(r, '_', '\_'), '$', '\$') || ' & ' || CASE WHEN a >= b THEN '\textbf{{' || x || '}}' ELSE x END || ' & ' || CASE WHEN b >= a THEN '\textbf{{' || y || '}}' ELSE y END || ' \\' FROM n)
+        SELECT no, style, line FROM l UNION ALL SELECT 1, 'text', concat_ws(chr(9), 'relation', 'A', 'B') UNION ALL SELECT 1, 'gnuplot', '# relation A B' UNION ALL SELECT 1, 'latex', 'relation & A & B \\'""",
     "sign_test": f"""WITH {_AP}, x AS (SELECT a.ap - b.ap df FROM ap a JOIN ap b ON a.relation = b.relation AND a.system = 'A' AND b.system = 'B'), w AS (SELECT count(*) FILTER (df > 0.001) wins, count(*) FILTER (df < -0.001) losses FROM x)
         SELECT wins, losses, round((SELECT 2 * sum(factorial((wins + losses)::INTEGER) / (factorial(i::INTEGER)::DOUBLE * factorial((wins + losses - i)::INTEGER)) * pow(0.5, wins + losses)) FROM range(least(wins, losses) + 1) t(i)), 6) p FROM w""",
     "heldout_candidates": f"""WITH {_S}, l AS (SELECT relation, round(avg(score), 6) score FROM s GROUP BY 1), t AS (SELECT DISTINCT arg1, arg2 FROM s WHERE hide AND hit = 1)

@@ -72,3 +72,24 @@ def dump(df: DataFrame, path: str, name: str) -> None:
     """[K10, K15] A debug table, with a line in the log."""
     df.write.mode("overwrite").parquet(path)
     log.info("%s written to %s", name, path)
+
+
+def result_table(df: DataFrame, row: str, column: str, value: str, columns: list[str], style: str = "text", digits: int = 3) -> DataFrame:
+    """[K11] (no, line): a table of measures as lines, for LaTeX, gnuplot or reading, a row for each ``row`` and a column for each of the few ``columns``; the
+    best of a line is set in bold in LaTeX. Missing values are dashes (``NaN`` for gnuplot). The lines are few: a measure for each relation."""
+    wide = df.groupBy(row).pivot(column, columns).agg(F.round(F.first(value), digits))
+    cells = [F.col(f"`{c}`") for c in columns]
+    best = F.greatest(*cells) if len(cells) > 1 else cells[0]
+    number = lambda c: F.format_number(c, digits)
+    if style == "latex":
+        parts = [F.when(c == best, F.concat(F.lit("\\textbf{"), number(c), F.lit("}"))).otherwise(F.coalesce(number(c), F.lit("-"))) for c in cells]
+        line = F.concat(F.concat_ws(" & ", F.regexp_replace(row, "([_$])", "\\\\$1"), *parts), F.lit(" \\\\"))
+        head = " & ".join([row, *columns]) + " \\\\"
+    elif style == "gnuplot":
+        line = F.concat_ws(" ", F.concat(F.lit('"'), F.col(row), F.lit('"')), *[F.coalesce(number(c), F.lit("NaN")) for c in cells])
+        head = " ".join(["#", row, *columns])
+    else:
+        line = F.concat_ws("\t", row, *[F.coalesce(number(c), F.lit("-")) for c in cells])
+        head = "\t".join([row, *columns])
+    body = wide.select((F.row_number().over(Window.orderBy(row)) + 1).alias("no"), line.alias("line"))
+    return df.sparkSession.createDataFrame([(1, head)], "no int, line string").unionByName(body)

@@ -64,3 +64,9 @@ def test_strings(spark):
     s, l = text.score_label(F.col("s"))
     assert [tuple(r) for r in df.select(s, l).collect()] == [(0.5, "REL$/a:b"), (None, "y"), (None, None), (None, None)]
     assert spark.range(1).select(text.relation_phrase(F.lit("REL$/people/person/place_of_birth"))).first()[0] == "place of birth"
+
+
+def test_experiments_and_rate():
+    e = pipeline.experiments()
+    assert len(e) == 20 and e["mix0-keep80"] == {"loss_mix": 0.0, "keep": 0.8} and e["mix9-keep100"] == {"loss_mix": 0.9, "keep": 1.0}
+    assert pipeline.learning_rate(1.0, 0.5, [3, 2, 1]) == 1.0 and pipeline.learning_rate(1.0, 0.5, [3, 2, 1, 4, 1, 5]) == 0.25
