@@ -62,8 +62,10 @@ for _line in re.split(r"[|\n]", SHORT_NAMES.strip()):
     for _s in _short.split():
         FORMAL[_s] = (*FORMAL.get(_s, ()), _full.strip())
 
+#: Words that many names have and that name nothing by themselves.
+GENERIC = FORMS | set("county university city sons".split())
 #: Words that are known to be different ones; a slip of the pen is none of them.
-KNOWN = PLACES | FORMS | set("county university city sons".split()) | {n for names in FORMAL.values() for n in names}
+KNOWN = PLACES | GENERIC | {n for names in FORMAL.values() for n in names}
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile(r"['’ʼ`]")
@@ -262,7 +264,7 @@ def _has_short(tokens: pd.Series) -> pd.Series:
 def marks(tokens: list[str], t: str, lone: str | None, looking: bool) -> set[str]:
     """What the tokens beside ``t`` must have in common with those of a name that is to be compared: words within one edit and
     short names share a mark, so do an initial and a word, of which one name is ``looking`` and the other is not. ``lone`` is a
-    word whose other spellings are found without marks."""
+    word whose other spellings are found without marks, so that only itself and its initial are marks."""
     rest = list(tokens)
     rest.remove(t)
     if not rest:
@@ -281,6 +283,8 @@ def marks(tokens: list[str], t: str, lone: str | None, looking: bool) -> set[str
             out |= {word + w[0] for w in (o, *full)}
         if o != lone:
             out |= {"=" + x for w in (o, *full) for x in (without(w, 1) if len(w) >= MIN_TOKEN else (w,))}
+        else:
+            out.add("=" + o)  # of names that are two edits apart in ``t``
     return out
 
 
@@ -319,13 +323,21 @@ def _word_cost(a: str, b: str) -> int:
     return best
 
 
-def same_name(xs: list[str], ys: list[str], spent: int, most: int = 2) -> bool:
-    """Whether the tokens beside the shared one agree in some order, within ``most`` edits in all."""
+def same_name(xs: list[str], ys: list[str], spent: int, most: int = 2, shared: str | None = None) -> bool:
+    """Whether the tokens beside the shared one agree in some order, within ``most`` edits in all. If the ``shared`` one is a word of many
+    names (a county, a legal form), another word must agree with a word, not only with an initial."""
     if not xs and not ys:
         return True
     if not xs or not ys:
         return False
     xs, ys = sorted(xs, key=lambda t: (-len(t), t)), list(ys)
+    # an initial that both names have stands for itself, not for a word of the other name
+    alike = 0
+    for x in [x for x in xs if is_initial(x)]:
+        if x in ys:
+            xs.remove(x)
+            ys.remove(x)
+            alike += 1
 
     def rest_ok(left_x: list[str], left_y: list[str]) -> bool:
         for mine, other in ((left_x, left_y), (left_y, left_x)):
@@ -337,22 +349,22 @@ def same_name(xs: list[str], ys: list[str], spent: int, most: int = 2) -> bool:
                 return False
         return True
 
-    def go(i: int, free: list[str], left: list[str], cost: int, met: int) -> bool:
+    def go(i: int, free: list[str], left: list[str], cost: int, met: int, strong: bool) -> bool:
         if i == len(xs):
-            return met > 0 and rest_ok(left, free)
+            return met > 0 and strong and rest_ok(left, free)
         x = xs[i]
         order = sorted(((_word_cost(x, y), y) for y in set(free)), key=lambda p: p[0])
         for c, y in order:
             if cost + c > most:
                 break
             k = free.index(y)
-            if go(i + 1, free[:k] + free[k + 1 :], left, cost + c, met + 1):
+            if go(i + 1, free[:k] + free[k + 1 :], left, cost + c, met + 1, strong or not (is_initial(x) or is_initial(y) or x in GENERIC)):
                 return True
             if c == 0 and not is_initial(x) and x == y:
                 return False  # an equal word needs no other partner
-        return (x[0] == "." or x in FORMS) and go(i + 1, free, [*left, x], cost, met)
+        return (x[0] == "." or x in FORMS) and go(i + 1, free, [*left, x], cost, met, strong)
 
-    return go(0, ys, [], spent, 0)
+    return go(0, ys, [], spent, alike, shared not in GENERIC)
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,7 +374,7 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             xs, ys = x.split(" "), y.split(" ")
             xs.remove(t)
             ys.remove(u)
-            keep.append((t == u or t not in KNOWN or u not in KNOWN) and same_name(xs, ys, edits(t, u)))
+            keep.append((t == u or t not in KNOWN or u not in KNOWN) and same_name(xs, ys, edits(t, u), shared=t))
         yield pdf.loc[keep, ["x", "y"]]
 
 
@@ -377,8 +389,8 @@ def name_classes(names: DataFrame) -> DataFrame:
     return once(names.filter(F.col("name").isNotNull()), *[c for c in names.columns if c not in ("name", "cls")], cls=cls("name")).filter("cls <> ''")
 
 
-def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
-    """(x, y), x < y: classes of the column ``cls`` that name the same entity."""
+def candidate_pairs(classes: DataFrame, rare: int = RARE) -> DataFrame:
+    """(x, y, t, u), x < y: classes of the column ``cls`` that are to be compared, with the tokens by which they met."""
     all_tokens = F.array_distinct(F.split("cls", " "))
     flat = settled(classes.select("cls", F.explode(all_tokens).alias("token")).filter("length(token) > 1 and not startswith(token, '.')"), "tokens")
     df = settled(flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
@@ -408,8 +420,13 @@ def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
     reach = reach.unionByName(_marked_keys(common.select("cls", "t", "u", "lone"), True).select("key", F.col("cls").alias("x"), "t"))
     pairs = reach.join(own, "key").filter("x <> y")
     swap = F.col("x") > F.col("y")
-    pairs = pairs.select(*[F.when(swap, b).otherwise(F.col(a)).alias(a) for a, b in (("x", F.col("y")), ("y", F.col("x")), ("t", F.col("u")), ("u", F.col("t")))]).distinct()
-    return pairs.mapInPandas(_verified, "x string, y string").distinct()
+    pairs = pairs.select(*[F.when(swap, b).otherwise(F.col(a)).alias(a) for a, b in (("x", F.col("y")), ("y", F.col("x")), ("t", F.col("u")), ("u", F.col("t")))])
+    return pairs.distinct()
+
+
+def linked_classes(classes: DataFrame, rare: int = RARE) -> DataFrame:
+    """(x, y), x < y: classes of the column ``cls`` that name the same entity."""
+    return candidate_pairs(classes, rare).mapInPandas(_verified, "x string, y string").distinct()
 
 
 def same_entity_pairs(entities: DataFrame, mentions: DataFrame) -> DataFrame:

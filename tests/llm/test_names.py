@@ -124,12 +124,36 @@ def test_short_words(spark):
     assert {p for p in _linked(spark, some + no_t) if p[1] < len(some)} == want
 
 
-@pytest.mark.parametrize("rare", [0, 1, 3])
+@pytest.mark.parametrize("rare", [0, 1, 3, 50])
 def test_frequency_steers_the_work_only(spark, rare):
     names = [n for pair in SAME + OTHER for n in pair] + ["Pat Koudakria", "Patrick Koudakria", "Patrcik Koudakrai", "P. Koudakria", "P. Koudakrai", "nAthony iHapiaprika", "Kouleskazam Limted", "Kouleskazam Limited", "Kouleskazam", "Kouleskzaam"]
+    names += ["Zanthippe Smith", "Z. Smith", "Kim Lee", "K. Lee", "Li Wu", "L. Wu", "Adnre Fofigreibrul", "Anrde Fofigreibrul", "Andre Kiata", "Timbeer Braidoudredrus Assn", "Tmber Braidoudredrus Association", "Timber Kiata"]
+    names += ["N. Skebozoupos County", "Nabraidregom S. County", "N. Nabrizovo County", "N. Krouforum Cty."]
     cls = N.name_classes(spark.createDataFrame([(n,) for n in names], "name string")).distinct()
     got, all_compared = ({tuple(r) for r in N.linked_classes(cls, k).collect()} for k in (rare, 10**6))
     assert got == all_compared
+    linked = {frozenset(p) for p in got}
+    for a, b in (("smith zanthippe", "smith z"), ("kim lee", "k lee"), ("li wu", "l wu"), ("adnre fofigreibrul", "anrde fofigreibrul"), ("association braidoudredrus timbeer", "association braidoudredrus tmber")):
+        assert frozenset((a, b)) in linked, (a, b)
+    unlike = ("skebozoupos", "nabraidregom", "nabrizovo", "krouforum")
+    assert not any(any(w in x for w in unlike) for pair in got for x in pair)
+
+
+def test_candidates_grow_with_the_names(spark):
+    """Twice the classes of shared words make about twice the candidates, not four times as many."""
+
+    def candidates(n):
+        r = random.Random(1)
+        word = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.choice([3, 4])))
+        first, last = [word() for _ in range(60)], [word() for _ in range(n // 60)]
+        classes: set[str] = set()
+        while len(classes) < n:
+            f = r.choice(first)
+            classes.add(" ".join(sorted([f[0] if r.random() < 0.1 else f, r.choice(last)])))
+        return N.candidate_pairs(spark.createDataFrame([(c,) for c in classes], "cls string"), 5).count()
+
+    one, two, four = (candidates(n) for n in (700, 1400, 2800))
+    assert two < 2.6 * one and four < 2.6 * two
 
 
 def test_empty(spark):
