@@ -9,12 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shipped
+
 
 def fold_text(s: str) -> str:
     """Drop combining marks of the decomposed text and lower-case it."""
     return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).lower()
 
 
+@shipped
 @F.pandas_udf(T.StringType())
 def _fold_wide(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else fold_text(x))

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shipped
+
 # How steps of a path read, tried in this order at each place. A star in the pattern takes one step along. Each rule adds words:
 # "after" or "before" the words so far, or at the "end" or the "start of end" of the words that close the phrase; "1" and "2" are the starred steps.
 RENDERING = [
@@ -78,6 +80,7 @@ def render(path: str | None, a: str = "_enta", b: str = "_entb") -> str | None:
     return " ".join(words + closing)
 
 
+@shipped
 @F.pandas_udf(T.StringType())
 def render_udf(path: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """``render`` of each row."""
@@ -134,6 +137,7 @@ def is_junk(on_path: list[int], common: int, labels: list[str | None], words: li
 PATH_TYPE = T.StructType([T.StructField("path", T.StringType()), T.StructField("root", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("junk", T.BooleanType())])
 
 
+@shipped
 @F.pandas_udf(PATH_TYPE)
 def path_udf(head: pd.Series, labels: pd.Series, words: pd.Series, tags: pd.Series, ner: pd.Series, source: pd.Series, dest: pd.Series) -> pd.DataFrame:
     """[F23, P13] Path between two tokens of a sentence, its root word, number of tokens and whether it is junk."""
@@ -162,6 +166,7 @@ def head_of_span(head: list[int | None], start: int, end: int) -> int:
     return best
 
 
+@shipped
 @F.pandas_udf(T.IntegerType())
 def span_head_udf(head: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
     """Head token of each span; null where the tree or an end is null or the span is empty."""
@@ -199,6 +204,7 @@ def nearest_surface_span(phrase: str, words: list[str | None], ner: list[str | N
 SPAN_TYPE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
+@shipped
 @F.pandas_udf(SPAN_TYPE)
 def surface_udf(phrase: pd.Series, words: pd.Series, ner: pd.Series, head: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     """Span of a phrase nearest to a slot [start, end); nulls where there is none."""

@@ -286,8 +286,10 @@ def to_annotate(rank: DataFrame, gold: DataFrame, fact: list[str]) -> DataFrame:
 
 
 def matching(df: DataFrame, col: str, patterns: DataFrame) -> DataFrame:
-    """Rows joined to the patterns (pattern) that match them; patterns are a short list, which Spark broadcasts if its size allows."""
-    return df.crossJoin(patterns).filter(F.expr(f"`{col}` rlike pattern"))
+    """Rows joined to the patterns (pattern) that match them. Each distinct value is tried once against each of the patterns, a short list that
+    Spark broadcasts if its size allows; the rows are then joined by value. Null values match nothing."""
+    hits = df.select(col).filter(F.col(col).isNotNull()).distinct().crossJoin(patterns.select("pattern")).filter(F.expr(f"`{col}` rlike pattern"))
+    return df.join(hits, col)
 
 
 def compare_systems(ap: DataFrame, a: str, b: str, least: float = 0.001) -> DataFrame:

@@ -53,15 +53,15 @@ def keep_labels(df: DataFrame, label: str, unlabeled: bool, negative: bool) -> D
 
 def negatives(cells: DataFrame, rels: DataFrame, per_tuple: int, tuple_no: Column, seed: int = 0) -> DataFrame:
     """[R3, R4] For each tuple ``per_tuple`` drawn relations that the tuple doesn't have, value 0. ``rels`` has (rel, idx) with idx
-    0..n-1; a draw that hits a relation of the tuple is dropped, so a tuple can get fewer."""
+    0..n-1; a draw that hits a relation of the tuple is dropped, so a tuple can get fewer.
+
+    Cells are grouped once, by tuple, with the set of its relations (at most as many as there are relations), so draws need no join with them."""
     n = rels.count()
     key = ["arg1", "arg2"]
-    tuples = cells.select(*key).distinct().withColumn("_t", tuple_no)
-    drawn = tuples.select(*key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(per_tuple - 1)), lambda i: F.pmod(F.col("_t") * 7919 + i * 104729 + seed, F.lit(max(n, 1))))).alias("idx"))
-    named = drawn.distinct().join(rels, "idx").select(*key, F.col("rel").alias("relation"))
-    have = cells.select(F.col("arg1").alias("_a"), F.col("arg2").alias("_b"), F.col("relation").alias("_r")).distinct()
-    hit = named["arg1"].eqNullSafe(have["_a"]) & named["arg2"].eqNullSafe(have["_b"]) & (named["relation"] == have["_r"])
-    return named.join(have, hit, "left_anti").withColumn("target", F.lit(0.0))
+    tuples = cells.groupBy(*key).agg(F.collect_set("relation").alias("_own")).withColumn("_t", tuple_no)
+    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(per_tuple - 1)), lambda i: F.pmod(F.col("_t") * 7919 + i * 104729 + seed, F.lit(max(n, 1)))))
+    drawn = tuples.select(*key, "_own", F.explode(at).alias("idx")).join(rels, "idx").filter(~F.array_contains("_own", F.col("rel")))
+    return drawn.select(*key, F.col("rel").alias("relation"), F.lit(0.0).alias("target"))
 
 
 def negative_pool(rows: DataFrame, row: str, feature: str, times: int = 5, labels: list[str] | None = None, seed: int = 0) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shipped(udf: Callable[..., Column]) -> Callable[..., Column]:
+    """A Python function of columns that sends this package to the workers when it is used, if a session is there."""
+
+    @functools.wraps(udf)
+    def call(*cols):
+        if (spark := SparkSession.getActiveSession()) is not None:
+            ship(spark)
+        return udf(*cols)
+
+    return call
+
+
 def tune(spark: SparkSession) -> None:
     """Ship the package and bound Arrow batches in this session; a smaller setting of the caller stays."""
     ship(spark)
