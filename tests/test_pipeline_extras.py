@@ -63,7 +63,10 @@ def test_strings(spark):
     df = spark.createDataFrame([("0.5:REL$/a:b",), ("x:y",), ("none",), (None,)], "s string")
     s, l = text.score_label(F.col("s"))
     assert [tuple(r) for r in df.select(s, l).collect()] == [(0.5, "REL$/a:b"), (None, "y"), (None, None), (None, None)]
-    assert spark.range(1).select(text.relation_phrase(F.lit("REL$/people/person/place_of_birth"))).first()[0] == "place of birth"
+    phrase = lambda r: spark.range(1).select(text.relation_phrase(F.lit(r))).first()[0]
+    assert [phrase(r) for r in ("REL$/people/person/place_of_birth", "REL$/people/person/place_of_rest", None)] == ["was born in", "place of rest", None]
+    said = lambda r: spark.range(1).select(text.relation_sentence(F.lit("A"), F.lit(r), F.lit("B"))).first()[0]
+    assert [said(r) for r in ("REL$/location/country/capital", "REL$/book/author/works_written")] == ["A's capital is B", "A wrote B"]
 
 
 def test_experiments_and_rate():
