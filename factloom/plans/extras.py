@@ -9,7 +9,8 @@ from ..functions import paths, scoring, text
 from ..models import factor
 from ..operators import ranking
 from ..operators.deliveries import latest_per_key
-from ..sources.tables import grouped_by, ids_in, table
+from ..session import scratch
+from ..sources.tables import find, grouped_by, ids_in, index, table
 
 
 def model_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +38,15 @@ def mentions_of_people(spark: SparkSession, d: str) -> DataFrame:
     return grouped_by(m.distinct(), "entity", "label").select("entity", F.array_join("values", "|").alias("labels"))
 
 
+def indexed_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """[S19, O7] Mentions indexed by entity and by document: those of three entities, and the second ten of one of them by key."""
+    path = scratch(spark, "mentions")
+    index(table(spark, d, "entity_mentions").select("mention_key", "docid", "entity"), path, ["entity", "docid"])
+    some = ["/m/0000001", "/m/0000002", "/m/0000003"]
+    one = find(spark, path, "entity", some).select(F.lit("entities").alias("part"), "mention_key", "docid")
+    return one.unionByName(find(spark, path, "entity", some[:1], "mention_key", 10, 10).select(F.lit("page").alias("part"), "mention_key", "docid"))
+
+
 def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
     """[M19] Per pair of names: sentences and their features, a numbered line each, in order. The lines of one pair are never gathered into a row."""
     c = table(spark, d, "corpus_records").filter("sentences is not null").select("entas", "entbs", F.concat_ws("\t", "sentences", "paths", "lex").alias("line")).distinct()
@@ -87,13 +97,15 @@ def surface_mentions(spark: SparkSession, d: str) -> DataFrame:
     return m.select("filename", "sent_no", "no", x.alias("x")).select("filename", "sent_no", "no", "x.start", "x.end")
 
 
-QUERIES = {f.__name__: f for f in (model_fields, feature_union, unseen_relations, mentions_of_people, pair_evidence, relation_phrases, relation_sentences, parsed_scores, group_terms, projected_scores, surface_mentions)}
+QUERIES = {f.__name__: f for f in (model_fields, feature_union, unseen_relations, mentions_of_people, indexed_mentions, pair_evidence, relation_phrases, relation_sentences, parsed_scores, group_terms, projected_scores, surface_mentions)}
 
 ORACLE = {
     "model_fields": "SELECT rec_id, loaded_at, sentences AS \"text\", labels relation, paths short_text, length(sentences)::INTEGER text_length FROM corpus_records",
     "feature_union": "SELECT DISTINCT CASE WHEN hide THEN 'test' ELSE 'train' END part, relation FROM cells WHERE hide IS NOT NULL",
     "unseen_relations": "SELECT relation FROM cells WHERE hide EXCEPT SELECT relation FROM cells WHERE NOT hide",
     "mentions_of_people": """SELECT entity, array_to_string(list_sort(list(DISTINCT label)), '|') AS labels FROM entity_mentions WHERE label IS NOT NULL AND entity IN (SELECT guid FROM kb_entities WHERE ent_type = 'PERSON') GROUP BY 1""",
+    "indexed_mentions": """SELECT 'entities' part, mention_key, docid FROM entity_mentions WHERE entity IN ('/m/0000001', '/m/0000002', '/m/0000003')
+        UNION ALL SELECT * FROM (SELECT 'page', mention_key, docid FROM entity_mentions WHERE entity = '/m/0000001' ORDER BY mention_key LIMIT 10 OFFSET 10)""",
     "pair_evidence": """WITH l AS (SELECT DISTINCT entas, entbs, concat_ws(chr(9), sentences, paths, lex) line FROM corpus_records WHERE sentences IS NOT NULL)
         SELECT entas, entbs, line, row_number() OVER (PARTITION BY entas, entbs ORDER BY line)::INTEGER line_no FROM l""",
     "relation_sentences": f"""WITH k AS (SELECT i::INTEGER - 1 i, p FROM (SELECT unnest(range(1, {len(text.RELATION_PHRASES) + 1})) i, unnest([{", ".join("'" + text.RELATION_PHRASES[x].replace("'", "''") + "'" for x in sorted(text.RELATION_PHRASES))}]) p)),

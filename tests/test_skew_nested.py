@@ -128,3 +128,26 @@ def test_partials_go_to_their_bins(hot):
     """The exchange of an aggregate is the one by bin: nothing is shuffled between it and the sums of a bin."""
     text = skew.balanced_aggregate(hot, "k", {"n": (F.lit(1), "count")}, 8)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange shufflepartitionid") == 1 and text.count("Exchange hashpartitioning") == 1, text
+
+
+def test_keys_of_other_kinds(spark, rows):
+    """Keys that are all null, numbers, times and very long texts."""
+    none = spark.createDataFrame([(None, 1)] * 30, "k string, k_ int")
+    assert skew.dominant_keys(none, "k", 0.05, 4).count() == 0
+    assert rows(skew.balanced_aggregate(none, "k", {"n": (F.lit(1), "count")}, 4)) == [(None, 30)]
+    some = spark.range(60).select(F.when(F.col("id") < 40, 7).otherwise(F.col("id")).alias("i"), F.timestamp_seconds(F.col("id") % 2).alias("t"), F.repeat(F.lit("x"), 20_000).alias("s"), (F.col("id") % 2 == 0).alias("b"))
+    assert rows(skew.dominant_keys(some, "i", 0.5, 4), "i", "n") == [(7, 40)]
+    assert rows(skew.dominant_keys(some, "t", 0.5, 4), "n") == [(30,), (30,)] and rows(skew.dominant_keys(some, "b", 0.5, 4), "n") == [(30,), (30,)]
+    assert rows(skew.dominant_keys(some, "s", 0.5, 4), "n") == [(60,)]
+
+
+def test_mentions_of_odd_documents(spark, rows):
+    """Null and empty documents, sentences and trees; a very long sentence; extra columns."""
+    tree = "struct<root:int,head:array<int>,reltype:array<string>>"
+    s = f"filename string, _n int, sentences array<struct<tokens:array<struct<word:string,tag:string,ner:string>>,mentions:array<struct<id:int,entityguid:string,tok_from:int,tok_to:int,label:string>>,deptree:{tree}>>"
+    tok = ("w", None, None)
+    df = spark.createDataFrame(
+        [("a", 1, []), ("b", 2, None), (None, 3, [None, ([], [(1, None, 0, 2, None)], None)]), ("c", 4, [([tok] * 5000, [(1, None, 0, 9999, None), None, (2, None, 4999, 5000, None)], (0, [1] * 4999, None))])], s
+    )
+    out = nested.mention_tokens(df.withColumn("sentences", nested.sentence_parts(F.col("sentences"))), "filename")
+    assert out.count() == 5001 and rows(out.filter("head_no = -1"), "mention_id", "tok_no") == [(1, 4999), (2, 4999)]
