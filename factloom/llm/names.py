@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.folding import fold_text
-from ..session import once, settled, spread, tune
+from ..session import once, settled, sorted_join, spread, tune
 
 RARE = 50
 MIN_TOKEN = 4
@@ -246,7 +246,7 @@ def two_apart(tokens: DataFrame) -> DataFrame:
             yield pdf.loc[[edits(t, u) == 2 for t, u in zip(pdf["t"], pdf["u"])]]
 
     left = tokens.filter("length(token) >= 6").select(F.explode(rests(F.col("token"))).alias("rest"), F.col("token").alias("t"))
-    pairs = left.join(left.withColumnRenamed("t", "u"), "rest").filter("t < u").select("t", "u").distinct()
+    pairs = left.join(sorted_join(left.withColumnRenamed("t", "u")), "rest").filter("t < u").select("t", "u").distinct()
     half = settled(pairs.mapInPandas(exact, "t string, u string"), "two-apart")
     return half.unionByName(half.select(F.col("u").alias("t"), F.col("t").alias("u")))
 
@@ -396,29 +396,29 @@ def candidate_pairs(classes: DataFrame, rare: int = RARE) -> DataFrame:
     df = settled(flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
     one = settled(near_tokens(spread(df).filter(F.length("token") >= MIN_TOKEN)), "near")
     # two steps through a token on record; a token is near itself
-    two = one.select("t", F.col("u").alias("m")).join(one.select(F.col("t").alias("m"), "u"), "m").filter("t <> u").select("t", "u")
+    two = one.select("t", F.col("u").alias("m")).join(sorted_join(one.select(F.col("t").alias("m"), "u")), "m").filter("t <> u").select("t", "u")
     far = two_apart(spread(df)).withColumn("step", F.lit(False))
     near = one.unionByName(two).unionByName(df.select(F.col("token").alias("t"), F.col("token").alias("u"))).withColumn("step", F.lit(True))
     near = near.unionByName(far).groupBy("t", "u").agg(F.max("step").alias("step"))
     freq = df.select(F.col("token").alias("u"), (F.col("df") <= rare).alias("u_rare"))
-    near = settled(near.join(freq, "u"), "neighbours")
+    near = settled(near.join(sorted_join(freq), "u"), "neighbours")
 
     # a rare token without a common neighbour meets any other spelling of it by itself, so only its initial is left to look for
     flags = near.groupBy("t").agg(F.max(~F.col("u_rare")).alias("by_common"), F.max(F.when(F.col("t") == F.col("u"), F.col("u_rare"))).alias("t_rare"))
-    marked = flat.withColumnRenamed("token", "t").join(flags, "t")
+    marked = flat.withColumnRenamed("token", "t").join(sorted_join(flags), "t")
     lone = F.max(F.when(~F.col("by_common") & ~F.col("t").isin(*sorted(FORMS)) & ~_has_short("t"), F.col("t"))).alias("lone")
-    marked = settled(marked.join(marked.groupBy("cls").agg(lone), "cls"), "marked")
+    marked = settled(marked.join(sorted_join(marked.groupBy("cls").agg(lone)), "cls"), "marked")
     # one side gives its own tokens, the other the neighbours of its tokens; a common token goes with a mark of another token
     own = marked.filter("t_rare").select(F.xxhash64("t").alias("key"), F.col("cls").alias("y"), F.col("t").alias("u"))
     own = own.unionByName(_marked_keys(marked.filter("not t_rare").select("cls", "t", F.col("t").alias("u"), "lone"), False).select("key", F.col("cls").alias("y"), "u"))
-    near = near.join(flags.select("t", "t_rare"), "t")
-    reach = marked.select("cls", "t", "lone").join(near.filter("t_rare or not u_rare"), "t")
+    near = near.join(sorted_join(flags.select("t", "t_rare")), "t")
+    reach = marked.select("cls", "t", "lone").join(sorted_join(near.filter("t_rare or not u_rare")), "t")
     # two edits without a step need another token that agrees
     reach = reach.filter("step or contains(cls, ' ')")
     reach, common = reach.filter("u_rare"), reach.filter("not u_rare")
     reach = reach.select(F.xxhash64("u").alias("key"), F.col("cls").alias("x"), "t")
     reach = reach.unionByName(_marked_keys(common.select("cls", "t", "u", "lone"), True).select("key", F.col("cls").alias("x"), "t"))
-    pairs = reach.join(own, "key").filter("x <> y")
+    pairs = reach.join(sorted_join(own), "key").filter("x <> y")
     swap = F.col("x") > F.col("y")
     pairs = pairs.select(*[F.when(swap, b).otherwise(F.col(a)).alias(a) for a, b in (("x", F.col("y")), ("y", F.col("x")), ("t", F.col("u")), ("u", F.col("t")))])
     return pairs.distinct()
@@ -442,5 +442,5 @@ def same_entity_pairs(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     links = links.unionByName(wanted.filter("side = 0").select(F.col("cls").alias("x"), F.col("cls").alias("y")).distinct())
     a = wanted.filter("side = 0").select(F.col("cls").alias("x"), F.col("key").alias("ka"))
     b = wanted.select(F.col("cls").alias("y"), F.col("key").alias("kb"), "side")
-    pairs = links.join(a, "x").join(b, "y").filter("side = 1 or ka < kb")
+    pairs = links.join(sorted_join(a), "x").join(sorted_join(b), "y").filter("side = 1 or ka < kb")
     return pairs.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))

@@ -159,3 +159,18 @@ def test_candidates_grow_with_the_names(spark):
 def test_empty(spark):
     assert _linked(spark, []) == []
     assert N.linked_classes(spark.createDataFrame([], "cls string")).count() == 0
+
+
+def test_no_join_follows_the_data_to_the_driver(spark):
+    """However small the files of its tables look, nothing of the names is broadcast."""
+    e = spark.createDataFrame([(0, "Bob Koudakria"), (1, "Robert Koudakira")], "ent_key bigint, ent_name string")
+    m = spark.createDataFrame([(9, "Koudakria, R.", None)], "mention_key bigint, label string, entity string")
+    seen = []
+    settled = N.settled
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(N, "settled", lambda df, name: (seen.append(df), settled(df, name))[1])
+        seen.append(N.same_entity_pairs(e, m))
+        assert len(seen) > 5 and seen[-1].count() == 3
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, plan
