@@ -1,5 +1,8 @@
-"""Limited-memory quasi-Newton fit of a bounded parameter vector: value and gradient are summed over partitions, the two-loop recursion runs on
-the driver. For parameter sets that fit one machine (checked); larger ones are trained by ``factor``."""
+"""Limited-memory quasi-Newton fit: value and gradient are summed over partitions, the two-loop recursion runs on the driver.
+
+Parameter sets of up to ``MAX_PARAMETERS`` are one vector on the driver. Larger ones stay in blocks on the executors: the driver sees the inner
+products of the remembered steps only, in which the same recursion is written, and a block of tuples is sent the relations it has.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +10,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import pair_score, sigmoid
 from ..operators.counts import dictionary
-from ..session import settled
+from ..session import _file_system, scratch, settled, ship, sorted_join
 from .factor import tuple_key
 
-#: Parameters at most: they are sent to every worker and held by the driver.
+#: Parameters at most that are sent to every worker and held by the driver; more are fitted in blocks.
 MAX_PARAMETERS = 4_000_000
+#: Numbers of a block, of parameters or of cells.
+BLOCK = 500_000
 
 
 def minimise(value_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], x0: np.ndarray, memory: int = 4, rounds: int = 50, tolerance: float = 1e-6) -> tuple[np.ndarray, list[float]]:
@@ -117,18 +123,289 @@ def logistic_factors(cells: DataFrame, n_rel: int, n_tup: int, components: int,
     return *parts(x), values
 
 
+def _block_of(key: int) -> int:
+    """The partition of a block; one function for all tables of blocks, as Spark tells partitionings apart by it."""
+    return key
+
+
+def _normal(seed: int, ids: np.ndarray, width: int) -> np.ndarray:
+    """Normal numbers of deviation 0.1 by the hash of seed, id and place, whatever block the id is in."""
+
+    def uniform(salt: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            z = (ids.astype(np.uint64)[:, None] * np.uint64(width) + np.arange(width, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((2 * seed + salt) * 0xD1B54A32D192ED03 % 2**64)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+
+    return 0.1 * np.sqrt(-2 * np.log1p(-uniform(0))) * np.cos(2 * np.pi * uniform(1))
+
+
+def _basis(points: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rows: the steps between the points, the changes of the gradient between them, the last gradient."""
+    s = [b[0] - a[0] for a, b in zip(points, points[1:])]
+    y = [b[1] - a[1] for a, b in zip(points, points[1:])]
+    return np.stack([*s, *y, points[-1][1]])
+
+
+def _direction(gram: np.ndarray) -> np.ndarray:
+    """The two-loop recursion of ``minimise`` in places of the basis: how often each of its rows is in the direction."""
+    m = len(gram) // 2
+    d, alphas = np.zeros(len(gram)), []
+    d[-1] = -1
+    for i in reversed(range(m)):
+        a = gram[i] @ d / gram[m + i, i]
+        alphas.append(a)
+        d[m + i] -= a
+    if m:
+        d *= gram[m - 1, 2 * m - 1] / gram[2 * m - 1, 2 * m - 1]
+    for i, a in zip(range(m), reversed(alphas)):
+        d[i] += a - gram[m + i] @ d / gram[m + i, i]
+    return d
+
+
+class _Apart:
+    """Parameters and cells in blocks: block ``q`` of ``n_q`` has the relations of numbers q, q + n_q, ..., and likewise block ``p`` of the tuples,
+    together with the cells of its tuples. All tables of one side are partitioned alike, so only relation vectors and their gradients travel."""
+
+    def __init__(self, cells: DataFrame, n_rel: int, n_tup: int, components: int, l2: float, seed: int) -> None:
+        self.spark: SparkSession = cells.sparkSession
+        self.sc, self.l2, self.k, self.n_rel, self.n_tup = self.spark.sparkContext, l2, components, n_rel, n_tup
+        ship(self.spark)
+        if self.sc.getCheckpointDir() is None:
+            self.sc.setCheckpointDir(scratch(self.spark, "blocks"))
+        at_least, n_cells, k = self.sc.defaultParallelism, cells.count(), components
+        n_p = self.n_p = max(at_least, -(-n_tup * k // BLOCK), -(-n_cells // BLOCK))
+        n_q = self.n_q = max(at_least, -(-n_rel * (k + 1) // BLOCK))
+
+        def cut(batches: Iterator) -> Iterator[pd.DataFrame]:
+            """Cells by block of tuples, as arrays."""
+            held, n = [], 0
+
+            def out() -> Iterator[pd.DataFrame]:
+                rel, tup, y = (np.concatenate([h[i] for h in held]) for i in range(3))
+                order = np.argsort(tup % n_p, kind="stable")
+                rel, tup, y = rel[order], tup[order], y[order]
+                ends = np.searchsorted(tup % n_p, np.arange(n_p + 1))
+                rows = [(p, rel[a:b].tobytes(), tup[a:b].tobytes(), y[a:b].tobytes()) for p, a, b in zip(range(n_p), ends, ends[1:]) if a < b]
+                yield pd.DataFrame(rows, columns=["p", "rel", "tup", "y"])
+
+            for b in batches:
+                held.append([b["rel"].to_numpy(np.int64), b["tup"].to_numpy(np.int64), b["target"].to_numpy(float)])
+                n += len(b)
+                if n >= BLOCK:
+                    yield from out()
+                    held, n = [], 0
+            if held:
+                yield from out()
+
+        def gather(rows: Iterator) -> Iterator:
+            parts = list(rows)
+            if parts:
+                rel, tup, y = (np.concatenate([np.frombuffer(bytes(v[i]), t) for _, v in parts]) for i, t in enumerate((np.int64, np.int64, float)))
+                rels, place = np.unique(rel, return_inverse=True)
+                yield parts[0][0], ("cells", (rels, place, tup // n_p, y))
+
+        chunks = cells.select("rel", "tup", "target").mapInPandas(cut, "p int, rel binary, tup binary, y binary").rdd.map(lambda x: (x.p, (x.rel, x.tup, x.y)))
+        self.cells = chunks.partitionBy(n_p, _block_of).mapPartitions(gather, True)
+        self.cells.persist(StorageLevel.DISK_ONLY)
+        asked = self.cells.flatMap(lambda x: [(q, ("asked", x[0], x[1][1][0][x[1][1][0] % n_q == q] // n_q)) for q in range(n_q)])
+        self.asked = asked.partitionBy(n_q, _block_of).mapPartitions(lambda rows: rows, True)
+        self.asked.persist(StorageLevel.DISK_ONLY)
+
+        def start(n: int, blocks: int, width: int, salt: int, bias: bool) -> RDD:
+            def one(b: tuple[int, None]) -> tuple:
+                x = _normal(2 * seed + salt, np.arange(b[0], n, blocks), width)
+                return b[0], ("start", np.hstack([x, np.zeros((len(x), 1))]) if bias else x)
+
+            # the blocks are put in their partitions before they are filled
+            return self.sc.parallelize([(b, None) for b in range(blocks)]).partitionBy(blocks, _block_of).mapPartitions(lambda rows: map(one, rows), True)
+
+        self.starts = start(n_rel, n_q, k, 0, True), start(n_tup, n_p, k, 1, False)
+        self.points: list[tuple[RDD, RDD]] = []
+
+    def _together(self, *tables: RDD) -> RDD:
+        """Tables of one side, block beside block."""
+        out = self.sc.union(list(tables))
+        assert out.getNumPartitions() == tables[0].getNumPartitions()
+        return out
+
+    def at(self, d: np.ndarray, t: float) -> tuple[float, tuple[RDD, RDD], list[RDD]]:
+        """Value, point and what is kept for it, ``t`` times the direction from the last point, or at the start."""
+        k, l2, n_p, n_q, began = self.k, self.l2, self.n_p, self.n_q, bool(self.points)
+
+        def sides(rows: Iterator) -> tuple[int | None, dict, list]:
+            """Block number, its tables by name (its place too), and the messages to it."""
+            block, own, sent = None, {}, []
+            for b, v in rows:
+                block = b
+                if v[0] in ("asked", "sent"):
+                    sent.append(v)
+                else:
+                    own[v[0]] = v[1]
+            if began and block is not None:
+                points = [own[f"point{i}"] for i in range(len(d) // 2 + 1)]
+                basis = _basis([(x.ravel(), g.ravel()) for x, g in points])
+                own["start"] = points[-1][0] + t * (d @ basis).reshape(points[-1][0].shape)
+            return block, own, sent
+
+        def tell(rows: Iterator) -> Iterator:
+            q, own, sent = sides(rows)
+            for _, p, places in sent:
+                if len(places):
+                    yield p, ("sent", q, own["start"][places])
+
+        def cells_of(rows: Iterator) -> Iterator:
+            p, own, sent = sides(rows)
+            if p is None:
+                return
+            x = own["start"]
+            total, g, back = 0.5 * l2 * float((x * x).sum()), l2 * x, []
+            if "cells" in own:
+                rels, i, j, y = own["cells"]
+                r = np.zeros((len(rels), k + 1))
+                for _, q, v in sent:
+                    r[rels % n_q == q] = v
+                z = r[i, k] + sum(r[i, c] * x[j, c] for c in range(k))
+                total += float((np.logaddexp(0, z) - y * z).sum())
+                e = 0.5 * (1 + np.tanh(0.5 * z)) - y
+                gr = np.stack([*(np.bincount(i, e * x[j, c], len(rels)) for c in range(k)), np.bincount(i, e, len(rels))], 1)
+                g = g + np.stack([np.bincount(j, e * r[i, c], len(x)) for c in range(k)], 1) if len(x) and k else g
+                back = [(q, gr[rels % n_q == q]) for q in range(n_q)]
+            yield p, ("out", total, (x, g), back)
+
+        def relations(rows: Iterator) -> Iterator:
+            q, own, sent = sides(rows)
+            if q is None:
+                return
+            x = own["start"]
+            g = l2 * x
+            places = {v[1]: v[2] for v in sent if v[0] == "asked"}
+            for v in sorted((v for v in sent if v[0] == "sent"), key=lambda v: v[1]):
+                g[places[v[1]]] += v[2]
+            yield q, ("out", 0.5 * l2 * float((x * x).sum()), (x, g))
+
+        name = lambda i: lambda rows: ((b, (f"point{i}", v)) for b, v in rows)
+        window = self.points[-(len(d) // 2 + 1) :] if began else []
+        rel, tup = ([w[side].mapPartitions(name(i), True) for i, w in enumerate(window)] or [self.starts[side]] for side in (0, 1))
+        told = self._together(self.asked, *rel).mapPartitions(tell).partitionBy(n_p, _block_of).mapPartitions(lambda rows: rows, True)
+        done = self._together(self.cells, told, *tup).mapPartitions(cells_of, True)
+        done.persist(StorageLevel.DISK_ONLY)
+        back = done.flatMap(lambda x: [(q, ("sent", x[0], g)) for q, g in x[1][3] if len(g)]).partitionBy(n_q, _block_of).mapPartitions(lambda rows: rows, True)
+        summed = self._together(self.asked, back, *rel).mapPartitions(relations, True)
+        summed.persist(StorageLevel.DISK_ONLY)
+        value = summed.map(lambda x: x[1][1]).sum() + done.map(lambda x: x[1][1]).sum()
+        point = lambda rdd: rdd.mapPartitions(lambda rows: ((b, v[2]) for b, v in rows), True)
+        return value, (point(summed), point(done)), [summed, done]
+
+    def take(self, point: tuple[RDD, RDD], kept: list[RDD], memory: int) -> None:
+        """Makes a point the last one, written to the shared folder, and deletes those that are out of memory."""
+        for rdd in point:
+            rdd.checkpoint()
+            rdd.count()
+        for rdd in kept:
+            rdd.unpersist()
+        self.points.append(point)
+        for old in self.points[: -memory - 1]:
+            self._delete(old)
+        self.points = self.points[-memory - 1 :]
+
+    def products(self, n: int) -> tuple[np.ndarray, float, float]:
+        """Inner products of the basis of the last ``n`` points; the norm of the parameters and the sum of the absolute gradient."""
+
+        def own(rows: Iterator) -> Iterator:
+            points = [v for _, v in sorted(((i, v) for _, (i, v) in rows), key=lambda x: x[0])]
+            if points:
+                b = _basis([(x.ravel(), g.ravel()) for x, g in points])
+                yield b @ b.T, float((points[-1][0] ** 2).sum()), float(np.abs(b[-1]).sum())
+
+        tag = lambda i: lambda rows: ((b, (i, v)) for b, v in rows)
+        add = lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+        rel, tup = (self._together(*[w[side].mapPartitions(tag(i), True) for i, w in enumerate(self.points[-n:])]).mapPartitions(own).treeReduce(add) for side in (0, 1))
+        gram, xx, size = add(rel, tup)
+        return gram, float(np.sqrt(xx)), size
+
+    def _delete(self, point: tuple[RDD, RDD]) -> None:
+        for rdd in point:
+            fs, path = _file_system(self.spark, rdd.getCheckpointFile())
+            fs.delete(path, True)
+
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        """The last point as tables (_rel, _vr, b) and (_tup, _vt); everything else is deleted."""
+        n_q, n_p, k = self.n_q, self.n_p, self.k
+
+        def rows(step: int, width: int) -> Callable:
+            def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    for p, x in zip(b["p"], b["x"]):
+                        m = np.frombuffer(bytes(x)).reshape(-1, width)
+                        for a in range(0, len(m), 20_000):
+                            yield pd.DataFrame({"i": p + step * np.arange(a, min(a + 20_000, len(m))), "v": list(m[a : a + 20_000, :k]), "b": m[a : a + 20_000, -1]})
+
+            return go
+
+        flat = [self.spark.createDataFrame(rdd.map(lambda x: (x[0], bytearray(x[1][0].tobytes()))), "p int, x binary") for rdd in self.points[-1]]
+        rel, tup = (settled(df.mapInPandas(rows(n, w), "i bigint, v array<double>, b double"), "factors") for df, n, w in zip(flat, (n_q, n_p), (k + 1, k)))
+        for point in self.points:
+            self._delete(point)
+        self.cells.unpersist()
+        self.asked.unpersist()
+        return rel.withColumnsRenamed({"i": "_rel", "v": "_vr"}), tup.select(F.col("i").alias("_tup"), F.col("v").alias("_vt"))
+
+
+def factors_apart(cells: DataFrame, n_rel: int, n_tup: int, components: int, l2: float = 0.01, seed: int = 0, rounds: int = 30, memory: int = 4, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame, list[float]]:
+    """[M3, M21, A24] ``logistic_factors`` for any number of parameters: (_rel, _vr, b), (_tup, _vt) and the values. The steps are those of ``minimise``."""
+    model = _Apart(cells, n_rel, n_tup, components, l2, seed)
+    value, point, kept = model.at(np.zeros(1), 0.0)
+    values, pairs = [value], 0
+    model.take(point, kept, memory)
+    gram, norm, size = model.products(1)
+    for _ in range(rounds):
+        if np.sqrt(gram[-1, -1]) <= tolerance * max(1.0, norm):
+            break
+        d = _direction(gram)
+        slope = gram[-1] @ d
+        if slope >= 0:
+            pairs, d, slope = 0, np.array([-1.0]), -gram[-1, -1]
+        t = 1.0 if pairs else min(1.0, 1.0 / max(1e-12, size))
+        while True:
+            new, point, kept = model.at(d, t)
+            if new <= value + 1e-4 * t * slope or t < 1e-10:
+                break
+            for rdd in kept:
+                rdd.unpersist()
+            t *= 0.5
+        pairs = min(pairs + 1, memory)
+        model.take(point, kept, memory)
+        gram, norm, size = model.products(pairs + 1)
+        if gram[pairs - 1, 2 * pairs - 1] <= 1e-12:
+            pairs, gram = 0, gram[-1:, -1:]
+        done = abs(value - new) <= tolerance * max(1.0, abs(value))
+        value = new
+        values.append(value)
+        if done:
+            break
+    return *model.tables(), values
+
+
 def fit_cells(train: DataFrame, cells: DataFrame, components: int = 8, l2: float = 0.01, rounds: int = 30, seed: int = 0) -> DataFrame:
     """[M3, M13] Fits cells (relation, arg1, arg2, target) and adds ``prob`` to others (relation, arg1, arg2, ...). Relations and tuples are numbered
-    by tables; unknown ones have no bias and no factors."""
+    by tables; unknown ones have no bias and no factors. Above ``MAX_PARAMETERS`` the parameters stay in blocks (``factors_apart``)."""
     spark = train.sparkSession
     key = tuple_key()
     rel = settled(dictionary(train, "relation").withColumnRenamed("id", "_rel"), "relations")
     tup = settled(dictionary(train.select(key.alias("_key")), "_key").withColumnRenamed("id", "_tup"), "tuples")
-    numbered = train.withColumn("_key", key).join(rel, "relation").join(tup, "_key")
-    b, r, t, _ = logistic_factors(settled(numbered.select(F.col("_rel").cast("int").alias("rel"), F.col("_tup").cast("int").alias("tup"), "target"), "cells"), rel.count(), tup.count(), components, l2, seed, rounds)
-    # the driver holds the parameters (bounded by MAX_PARAMETERS) and hands them back as tables
-    rows = lambda m, *more: pd.DataFrame({"i": range(len(m)), "v": list(m), **dict(more)})
-    vr = spark.createDataFrame(rows(r.tolist(), ("b", b)), "i bigint, v array<double>, b double").withColumnsRenamed({"i": "_rel", "v": "_vr"})
-    vt = spark.createDataFrame(rows(t.tolist()), "i bigint, v array<double>").withColumnsRenamed({"i": "_tup", "v": "_vt"})
-    out = cells.withColumn("_key", key).join(rel.join(vr, "_rel"), "relation", "left").join(tup.join(vt, "_tup"), "_key", "left")
+    numbered = train.withColumn("_key", key).join(sorted_join(rel), "relation").join(sorted_join(tup), "_key")
+    numbered = settled(numbered.select(F.col("_rel").cast("int").alias("rel"), F.col("_tup").cast("int").alias("tup"), "target"), "cells")
+    n_rel, n_tup = rel.count(), tup.count()
+    if n_rel + (n_rel + n_tup) * components > MAX_PARAMETERS:
+        vr, vt, _ = factors_apart(numbered, n_rel, n_tup, components, l2, seed, rounds)
+        vr, vt = sorted_join(vr), sorted_join(vt)
+    else:
+        b, r, t, _ = logistic_factors(numbered, n_rel, n_tup, components, l2, seed, rounds)
+        # the driver holds the parameters (bounded by MAX_PARAMETERS) and hands them back as tables
+        rows = lambda m, *more: pd.DataFrame({"i": range(len(m)), "v": list(m), **dict(more)})
+        vr = spark.createDataFrame(rows(r.tolist(), ("b", b)), "i bigint, v array<double>, b double").withColumnsRenamed({"i": "_rel", "v": "_vr"})
+        vt = spark.createDataFrame(rows(t.tolist()), "i bigint, v array<double>").withColumnsRenamed({"i": "_tup", "v": "_vt"})
+    out = cells.withColumn("_key", key).join(sorted_join(rel.join(vr, "_rel")), "relation", "left").join(sorted_join(tup.join(vt, "_tup")), "_key", "left")
     return out.select(*cells.columns, sigmoid(pair_score(F.col("_vr"), F.col("_vt"), F.col("b"))).alias("prob"))

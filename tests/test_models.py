@@ -157,3 +157,34 @@ def test_partial_gradients_are_added_by_tasks(spark):
     a = lbfgs.logistic_factors(cells.repartition(20), 4, 6, 2, l2=0.001, rounds=3)
     b = lbfgs.logistic_factors(cells.coalesce(1), 4, 6, 2, l2=0.001, rounds=3)
     assert np.allclose(a[3], b[3])
+
+
+def test_factors_in_blocks(spark, blocks, monkeypatch):
+    """More parameters than the driver holds are fitted in blocks, by the same steps and to the same predictions."""
+    cells = spark.createDataFrame([(i, j, float((i + j) % 2)) for i in range(5) for j in range(7)], "rel int, tup int, target double")
+    monkeypatch.setattr(lbfgs, "BLOCK", 9)
+    vr, vt, values = lbfgs.factors_apart(cells, 5, 7, 2, l2=0.001, rounds=7)
+    vr, vt = vr.orderBy("_rel").collect(), vt.orderBy("_tup").collect()
+    r, b, t = np.array([x._vr for x in vr]), np.array([x.b for x in vr]), np.array([x._vt for x in vt])
+    assert r.shape == (5, 2) and t.shape == (7, 2)
+    # the same start, minimised in one vector
+    start = np.concatenate([np.zeros(5), lbfgs._normal(0, np.arange(5), 2).ravel(), lbfgs._normal(1, np.arange(7), 2).ravel()])
+    y = np.array([[float((i + j) % 2) for j in range(7)] for i in range(5)])
+
+    def value_gradient(x):
+        bb, rr, tt = x[:5], x[5:15].reshape(5, 2), x[15:].reshape(7, 2)
+        z = bb[:, None] + rr @ tt.T
+        g = 1 / (1 + np.exp(-z)) - y
+        return float((np.logaddexp(0, z) - y * z).sum()) + 0.0005 * float(x @ x), np.concatenate([g.sum(1), (g @ tt).ravel(), (g.T @ rr).ravel()]) + 0.001 * x
+
+    x, want = lbfgs.minimise(value_gradient, start, rounds=7)
+    assert len(values) > 6 and np.allclose(values, want)
+    assert np.allclose(b, x[:5]) and np.allclose(r.ravel(), x[5:15]) and np.allclose(t.ravel(), x[15:])
+    # a fit beyond the bound gives every cell its probability
+    train, held = blocks
+    both = train.withColumn("target", F.lit(1.0)).unionByName(train.selectExpr("concat(relation, '-') relation", "arg1", "arg2", "0.0D target"))
+    rows = spark.createDataFrame([(*h, 1.0) for h in held], both.schema)
+    inside = {tuple(x)[:3]: x.prob for x in lbfgs.fit_cells(both, rows, components=3, rounds=1).collect()}
+    monkeypatch.setattr(lbfgs, "MAX_PARAMETERS", 10)
+    beyond = {tuple(x)[:3]: x.prob for x in lbfgs.fit_cells(both, rows, components=3, rounds=1).collect()}
+    assert inside.keys() == beyond.keys() == set(held) and all(abs(inside[h] - beyond[h]) < 0.1 for h in held)
