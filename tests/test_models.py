@@ -188,3 +188,18 @@ def test_factors_in_blocks(spark, blocks, monkeypatch):
     monkeypatch.setattr(lbfgs, "MAX_PARAMETERS", 10)
     beyond = {tuple(x)[:3]: x.prob for x in lbfgs.fit_cells(both, rows, components=3, rounds=1).collect()}
     assert inside.keys() == beyond.keys() == set(held) and all(abs(inside[h] - beyond[h]) < 0.1 for h in held)
+
+
+def test_slices_of_components(spark, blocks, monkeypatch):
+    """A pointwise fit by slices of components takes the same steps, and no row is written with whole vectors."""
+    train, _ = blocks
+    cfg = factor.Config("FTB", 5, epochs=1, rate=0.5)
+    cells = train.withColumn("target", F.lit(1.0))
+    fitted = lambda: (lambda p, x: ({(r.kind, r.key): r.vec for r in p.collect()}, x))(*factor.fit_pointwise(cells, cfg, True))
+    whole, losses = fitted()
+    monkeypatch.setattr(factor, "SLICE", 2)
+    written, settled = [], factor.settled
+    monkeypatch.setattr(factor, "settled", lambda df, name: (written.append(df.columns), settled(df, name))[1])
+    got, more = fitted()
+    assert np.allclose(losses, more) and got.keys() == whole.keys() and all(np.allclose(got[k], whole[k]) for k in whole)
+    assert not any(c.startswith("v_") for columns in written for c in columns)
