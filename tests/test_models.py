@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from factloom.models import baseline, factor, lbfgs
 from factloom.operators import ranking as R
+from factloom.operators import sampling
+from factloom.plans import fits
 
 
 @pytest.fixture(scope="module")
@@ -203,3 +205,47 @@ def test_slices_of_components(spark, blocks, monkeypatch):
     got, more = fitted()
     assert np.allclose(losses, more) and got.keys() == whole.keys() and all(np.allclose(got[k], whole[k]) for k in whole)
     assert not any(c.startswith("v_") for columns in written for c in columns)
+
+
+def test_held_cells_in_blocks(spark, monkeypatch):
+    """Held cells are scored in the blocks of their tuples, as the minimum of one vector scores them; unknown relations and tuples too."""
+    monkeypatch.setattr(lbfgs, "BLOCK", 9)
+    monkeypatch.setattr(lbfgs, "BIG", 3)
+    tups = [7, -3, 1 << 61, 12, 13]
+    y = {(i, j): float((i * j) % 3 == 0) for i in range(4) for j in range(4) if (i, j) != (3, 2)} | {(3, 0): 1.0}
+    rows = [(i, tups[j], v, False) for (i, j), v in y.items()] + [(3, tups[2], 1.0, True), (None, tups[1], 0.0, True), (2, tups[4], 1.0, True), (None, tups[4], 0.0, True)]
+    cells = spark.createDataFrame(rows, "rel int, tup bigint, target double, held boolean")
+    got = lbfgs.held_out(cells, 4, 5, len(rows), 2, 5, lambda out: out, l2=0.1)
+    start = np.concatenate([np.zeros(4), lbfgs._normal(0, np.arange(4), 2).ravel(), lbfgs._normal(1, np.array(tups[:4]), 2).ravel()])
+    i, j = (np.array(x) for x in zip(*y))
+    v = np.array(list(y.values()))
+
+    def value_gradient(x):
+        r, t, out = x[4:12].reshape(4, 2), x[12:].reshape(4, 2), 0.1 * x
+        z = x[i] + (r[i] * t[j]).sum(1)
+        g = 1 / (1 + np.exp(-z)) - v
+        np.add.at(out, i, g)
+        np.add.at(out[4:12].reshape(4, 2), i, g[:, None] * t[j])
+        np.add.at(out[12:].reshape(4, 2), j, g[:, None] * r[i])
+        return float((np.logaddexp(0, z) - v * z).sum()) + 0.05 * float(x @ x), out
+
+    x, _ = lbfgs.minimise(value_gradient, start, rounds=5)
+    known = x[3] + x[4:12].reshape(4, 2)[3] @ x[12:].reshape(4, 2)[2]
+    want = sorted([(1.0, 1 / (1 + np.exp(-known))), (0.0, 0.5), (1.0, 1 / (1 + np.exp(-x[2]))), (0.0, 0.5)])
+    assert np.allclose(sorted(tuple(r) for r in got.collect()), want, atol=1e-5)
+
+
+def test_toy_run_keeps_no_parameters_in_the_driver(spark, tmp_path, monkeypatch):
+    """One hidden right cell of each tuple and half of the drawn negatives are judged, and no vector of all parameters is made, at any size."""
+    rows = [(f"{'REL$' if r < 2 else 'path#'}{t % 3}{r}", f"a{t}", f"b{t}", 1.0) for t in range(30) for r in range(3)] + [("REL$00", "a0", None, 1.0), ("path#9", "x", "y", 0.0)]
+    spark.createDataFrame(rows, "relation string, arg1 string, arg2 string, gold double").write.parquet(str(tmp_path / "cells.parquet"))
+
+    def refuse(*_, **__):
+        raise AssertionError("all parameters in the driver")
+
+    monkeypatch.setattr(lbfgs, "logistic_factors", refuse)
+    out = fits.toy_run(spark, str(tmp_path)).collect()
+    draws = spark.createDataFrame(rows[:90], "relation string, arg1 string, arg2 string, gold double")
+    rels = spark.createDataFrame([(r, i) for i, r in enumerate(sorted({x[0] for x in rows if x[0].startswith("REL$")}))], "rel string, idx bigint")
+    neg = sampling.negatives(draws, rels, 6, F.pmod(F.xxhash64("arg1", "arg2"), F.lit(1 << 30))).filter(F.pmod(F.xxhash64("relation", "arg1", "arg2"), F.lit(2)) == 0)
+    assert len(out) == 1 and out[0].tp + out[0].fn == 30 and out[0].tn + out[0].fp == neg.count() > 0
