@@ -169,33 +169,32 @@ def _direction(gram: np.ndarray) -> np.ndarray:
 
 
 class _Cells:
-    """Cells of a block: those of a relation together, the relations with the most cells first, and the order that puts those of a tuple together."""
+    """Cells of a block, those of a relation together. First come the relations with many cells, which are worked on as matrices."""
 
     def __init__(self, rel: np.ndarray, tup: np.ndarray, y: np.ndarray, seed: int, k: int) -> None:
         self.k = k
         rels, i, n = np.unique(rel, return_inverse=True, return_counts=True)
-        rank = np.lexsort((rels, -n))
-        self.rels, self.ends = rels[rank], np.concatenate([[0], np.cumsum(n[rank])])
         self.tups, j = np.unique(tup, return_inverse=True)
-        # the order of the rows doesn't depend on the order in which they came, should the block be made again
-        order = np.lexsort((y, j, np.argsort(rank)[i]))
-        self.i, self.j, self.y = np.argsort(rank)[i][order].astype(np.int32), j[order].astype(np.int32), y[order]
-        self.by_tuple = np.argsort(self.j, kind="stable").astype(np.int32)
-        self.firsts = np.searchsorted(self.j[self.by_tuple], np.arange(len(self.tups)))
-        self.big = int((n >= BIG).sum())
+        rank = np.lexsort((rels, -n))
+        self.rels, self.ends, self.big = rels[rank], np.concatenate([[0], np.cumsum(n[rank])]), int((n >= BIG).sum())
+        i = np.argsort(rank)[i]
+        # the order of the cells doesn't depend on the order in which they came, should the block be made again
+        order = np.lexsort((y, j, i))
+        self.i, self.j, self.y = i[order].astype(np.int32), j[order].astype(np.int32), y[order]
         self.start = _normal(2 * seed + 1, self.tups, k).astype(KEPT)
 
     def _slices(self) -> Iterator[tuple[int, slice]]:
         for r in range(self.big):
             yield r, slice(self.ends[r], self.ends[r + 1])
 
-    def to_tuples(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def to_tuples(self, w: list[np.ndarray], v: np.ndarray) -> np.ndarray:
         """For each tuple the sum over its cells and over the parts: weight of the cell times vector of its relation."""
-        out, rest = np.empty((len(self.i), self.k)), slice(self.ends[self.big], None)
+        one, rest, j = np.empty((self.k, len(self.i))), slice(self.ends[self.big], None), self.j.astype(np.intp)
         for r, s in self._slices():
-            out[s] = w[:, s].T @ v[:, r]
-        out[rest] = sum(a[rest, None] * b[self.i[rest]] for a, b in zip(w, v))
-        return np.add.reduceat(out[self.by_tuple], self.firsts, axis=0)
+            one[:, s] = v[:, r].T @ np.array([a[s] for a in w], float)
+        i = self.i[rest]
+        one[:, rest] = sum(a[rest].astype(float) * b[i].T for a, b in zip(w, v))
+        return np.array([np.bincount(j, c, len(self.tups)) for c in one]).T.copy()
 
     def to_relations(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
         """For each relation the sum over its cells: weight of the cell times row ``x`` of the cell, and the sum of the weights."""
@@ -206,12 +205,13 @@ class _Cells:
             out[self.big :] = np.add.reduceat(w[rest, None] * x[rest], self.ends[self.big : -1] - self.ends[self.big], axis=0)
         return np.hstack([out, np.bincount(self.i, w, len(self.rels))[:, None]])
 
-    def products(self, w: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """For each part the sum over the cells: weight of the cell times its relation's vector times row ``x`` of the cell."""
+    def products(self, w: list[np.ndarray], v: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """For each part the sum over the cells: weight of the cell times its relation's vector times the row of its tuple in ``x``."""
         out, rest = np.zeros(len(w)), slice(self.ends[self.big], None)
         for r, s in self._slices():
-            out += ((w[:, s] @ x[s]) * v[:, r]).sum(1)
-        return out + np.array([float(a[rest] @ (b[self.i[rest]] * x[rest]).sum(1)) for a, b in zip(w, v)])
+            out += ((np.array([a[s] for a in w], float) @ x.take(self.j[s], 0)) * v[:, r]).sum(1)
+        i, x = self.i[rest], x.take(self.j[rest], 0)
+        return out + np.array([float(a[rest].astype(float) @ (b[i] * x).sum(1)) for a, b in zip(w, v)])
 
     def scores(self, r: np.ndarray, x: np.ndarray) -> np.ndarray:
         out, rest = np.empty(len(self.i)), slice(self.ends[self.big], None)
@@ -239,7 +239,8 @@ class _Apart:
         ship(self.spark)
         at_least, k = self.sc.defaultParallelism, components
         n_cells = cells.count() if n_cells is None else n_cells
-        n_p = self.n_p = max(at_least, -(-n_tup * k // BLOCK), -(-n_cells // BLOCK))
+        # vectors of tuples are there only while a block is worked on
+        n_p = self.n_p = max(at_least, -(-n_tup * k // (4 * BLOCK)), -(-n_cells // BLOCK))
         n_q = self.n_q = max(at_least, -(-n_rel * (k + 1) // BLOCK))
         held = F.col("held") if "held" in cells.columns else F.lit(False)
 
@@ -353,8 +354,7 @@ class _Apart:
                 return block, None, None, None, None, rest
             t, w, v = x[0] * cells.start.astype(float), None, None
             if len(x) > 1:
-                w, v = (np.stack([past[i][n] for i in range(len(x) - 1)]).astype(float) for n in (0, 1))
-                v = v[:, :, :k]
+                w, v = [past[i][0] for i in range(len(x) - 1)], np.array([past[i][1][:, :k] for i in range(len(x) - 1)], float)
                 t += cells.to_tuples(w, v * x[1:, None, None])
             return block, cells, t, w, v, rest
 
@@ -373,12 +373,12 @@ class _Apart:
             r = np.zeros((len(cells.rels), k + 1), KEPT)
             for q, own in rest["sent"]:
                 r[cells.rels % n_q == q] = own
-            xs, exact = t[cells.j], r.astype(float)
+            xs, exact = t.take(cells.j, 0), r.astype(float)
             z = cells.scores(exact, xs)
             e = (0.5 * (1 + np.tanh(0.5 * z)) - cells.y).astype(KEPT)
             e64, start = e.astype(float), cells.start.astype(float)
-            h = cells.to_tuples(e64[None], exact[None, :, :k])
-            past = cells.products(w, v, h[cells.j]) if number else np.zeros(0)
+            h = cells.to_tuples([e], exact[None, :, :k])
+            past = cells.products(w, v, h) if number else np.zeros(0)
             sums = np.concatenate([[float((np.logaddexp(0, z) - cells.y * z).sum()), float(np.abs(h + l2 * t).sum()), float((start * start).sum()), float((h * start).sum())], past, [float((h * h).sum())]])
             back = cells.to_relations(e64, xs).astype(KEPT)
             yield p, ("past", number, e, r)
